@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .values import flag, off_by, round2
+from .values import cents, flag, from_cents, off_by
 
 # Words that mark a line as a discount.
 DISCOUNT_WORDS = [
@@ -45,12 +45,17 @@ def sign_is_plausible(agreed: Column, is_discount: Column) -> Column:
 
 def exceeds(agreed: Column, claimed: Column) -> Column:
     """More agreed than claimed, at cent precision."""
-    return round2(agreed) > round2(claimed)
+    return cents(agreed) > cents(claimed)
+
+
+def overshoot_cents(agreed: Column, claimed: Column) -> Column:
+    """Size of the excess in whole cents."""
+    return cents(agreed - claimed)
 
 
 def overshoot(agreed: Column, claimed: Column) -> Column:
     """Size of the excess, at cent precision."""
-    return round2(agreed - claimed)
+    return from_cents(overshoot_cents(agreed, claimed))
 
 
 def in_range(amount: Column, low: float = 0.01, high: float = 1) -> Column:
@@ -63,16 +68,21 @@ def at_least(amount: Column, limit: float = 50000) -> Column:
     return (amount >= F.lit(limit)) & ~F.isnan(amount)
 
 
+def residual_gap_cents(claimed: Column, agreed: Column, residual: Column) -> Column:
+    """Claimed minus agreed, minus the stated residual, in whole cents."""
+    return cents(claimed - agreed) - cents(residual)
+
+
 def residual_gap(claimed: Column, agreed: Column, residual: Column) -> Column:
     """Claimed minus agreed, minus the stated residual."""
-    return round2(claimed - agreed) - round2(residual)
+    return from_cents(residual_gap_cents(claimed, agreed, residual))
 
 
 def residual_is_off(
     claimed: Column, agreed: Column, residual: Column, tolerance: float = 0.01
 ) -> Column:
     """Residual differs by more than the tolerance, or is unknown."""
-    return off_by(residual_gap(claimed, agreed, residual), tolerance)
+    return off_by(residual_gap_cents(claimed, agreed, residual), tolerance)
 
 
 def is_negative(amount: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: exact amounts, for data whose sums outgrow what a double resolves to the cent
 MONEY = "decimal(18,2)"
 
 
@@ -13,25 +14,27 @@ def flag(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False))
 
 
-def off_by(difference: Column, tolerance: float = 0) -> Column:
-    """Tolerance test: true beyond the tolerance and for a null difference.
+def cents(amount: Column) -> Column:
+    """Whole cents as long: two decimals, ties to even.
 
-    The tolerance goes through a decimal literal, so on decimal input a value
-    exactly at the tolerance is inside it.
+    Scales by 100 and rounds the double, so doubles round as NumPy rounds them, and
+    decimals round exactly. No decimal arithmetic per row. NaN and values beyond the
+    long range give null.
     """
-    limit = F.lit(str(tolerance)).cast("decimal(18,6)")
-    return difference.isNull() | (F.abs(difference) > limit)
+    return F.rint(amount * F.lit(100)).try_cast("long")
 
 
-def money(column: Column | str) -> Column:
-    """Cents-exact amount."""
-    column = F.col(column) if isinstance(column, str) else column
-    return column.cast(MONEY)
+def from_cents(whole: Column) -> Column:
+    """Cents → amount as double."""
+    return whole / F.lit(100.0)
 
 
-def round2(column: Column) -> Column:
-    """Two decimals, ties to even."""
-    return F.bround(column, 2)
+def off_by(gap_cents: Column, tolerance: float = 0) -> Column:
+    """Tolerance test on cents: true beyond the tolerance and for an unknown gap.
+
+    The gap is an integer, so a difference of exactly the tolerance is inside it.
+    """
+    return gap_cents.isNull() | (F.abs(gap_cents) > F.lit(tolerance * 100 + 1e-6))
 
 
 def percent(part: Column, whole: Column) -> Column:

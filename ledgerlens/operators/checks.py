@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.values import flag, off_by, percent, round2, share
+from ..functions.values import cents, flag, from_cents, off_by, percent, share
 from .joins import attach
 
 
@@ -42,9 +42,10 @@ def overshoot_summary(df: DataFrame, claimed: str, agreed: str) -> DataFrame:
     """Number of overshoots and their mean size (null if there is none)."""
     c, a = F.col(claimed), F.col(agreed)
     hit = rules.exceeds(a, c)
+    total = F.sum(F.when(hit, rules.overshoot_cents(a, c)))
     return df.agg(
         F.count_if(hit).alias("error_count"),
-        share(F.sum(F.when(hit, rules.overshoot(a, c))), F.count_if(hit)).alias("avg_diff"),
+        share(from_cents(total), F.count_if(hit)).alias("avg_diff"),
     )
 
 
@@ -188,12 +189,12 @@ def reconciliation_rows(
     slim = header.select(key, claimed, agreed, *extra)
     joined = attach(slim, totals.select(key, "claimed_sum", "agreed_sum"), key)
     zero = F.lit(0)
-    claimed_gap = round2(F.col(claimed) - F.coalesce("claimed_sum", zero))
-    agreed_gap = round2(F.col(agreed) - F.coalesce("agreed_sum", zero))
+    claimed_gap = cents(F.col(claimed) - F.coalesce("claimed_sum", zero))
+    agreed_gap = cents(F.col(agreed) - F.coalesce("agreed_sum", zero))
     return joined.filter(off_by(claimed_gap) | off_by(agreed_gap)).select(
         key,
-        claimed_gap.alias("claimed_diff"),
-        agreed_gap.alias("agreed_diff"),
+        from_cents(claimed_gap).alias("claimed_diff"),
+        from_cents(agreed_gap).alias("agreed_diff"),
         *extra,
     )
 

@@ -1,25 +1,26 @@
 """Exact quantiles, outliers and histograms that scale past one task.
 
-Spark's ``percentile`` keeps every distinct value of a group in one buffer. That is
-fine up to ``SMALL_ROWS`` rows in all. Beyond, values are cut into ordered buckets by
-approximate quantiles of the whole column. The cut points only balance the work;
-the result is exact for any cut points:
+Equal values are counted first, and running totals over the ordered values of a group
+tell which value holds each wanted rank. Up to ``SMALL_ROWS`` rows in all, one window
+per group does that. Beyond, values are cut into ordered buckets by approximate
+quantiles of the whole column. The cut points only balance the work; the result is
+exact for any cut points:
 
 1. count rows per (group, bucket) – combined map-side, tiny shuffle;
 2. running totals over the buckets of a group tell which bucket holds each rank;
-3. only rows of those buckets are sorted, each bucket in its own task.
+3. only rows of those buckets are counted and sorted, each bucket in its own task.
 """
 
 from __future__ import annotations
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .joins import attach, broadcast_if_small
 
-#: row count up to which one aggregation buffer may hold all values
+#: row count up to which one task may sort all values of a group
 SMALL_ROWS = 2_000_000
 #: bounds for the number of buckets
 MIN_BUCKETS, MAX_BUCKETS = 8, 1000
@@ -74,87 +75,64 @@ def group_quantiles(
     base = rows.select(*names, F.col(value).cast("double").alias("_v")).dropna()
 
     splits = value_splits(base, ["_v"], small_rows, buckets)["_v"]
-    if not splits:
-        result = base.groupBy(*names).agg(
-            *[F.percentile("_v", F.lit(q)).alias(f"q{i}") for i, q in enumerate(quantiles)]
+    count = F.count(F.lit(1)).alias("_n")
+    ranks = _wanted_ranks(quantiles)
+    if splits:
+        cut = with_bucket(base, "_v", "_b", splits)
+        # at most one row per bucket in each window partition
+        sizes = _with_ends(cut.groupBy(*names, "_b").agg(count), names, "_b", total=True)
+        local = {
+            name: F.when(_holds(rank), rank - (F.col("_end") - F.col("_n")))
+            for name, rank in ranks.items()
+        }
+        cells = sizes.select(
+            *names, "_b", "_total", *[c.alias(name) for name, c in local.items()]
+        ).filter(F.coalesce(*[F.col(name) for name in local]).isNotNull())
+        # a side too large to broadcast leaves hot cells splittable
+        in_cell = attach(cut, broadcast_if_small(cells), [*names, "_b"], "inner")
+        counted = in_cell.groupBy(*names, "_b", "_v").agg(
+            count, *[F.any_value(c).alias(c) for c in ("_total", *ranks)]
         )
-        return result if group else result.drop("_all")
-
-    cut = with_bucket(base, "_v", "_b", splits)
-    wanted = broadcast_if_small(_rank_cells(cut, names, quantiles))
-    cells = [*names, "_b"]
-    # an inner join; a side too large to broadcast keeps hot cells splittable
-    in_cell = attach(cut, wanted, cells, "inner")
-    counted = in_cell.groupBy(*cells, "_v").agg(
-        F.count(F.lit(1)).alias("_n"), F.any_value("_targets").alias("_targets")
-    )
-    upto = Window.partitionBy(*cells).orderBy("_v").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    ranked = (
-        counted.withColumn("_end", F.sum("_n").over(upto))
-        .select(*names, "_v", "_n", "_end", F.explode("_targets").alias("_t"))
-        .filter("_t.rank >= _end - _n AND _t.rank < _end")
-    )
-    picks = []
-    for i in range(len(quantiles)):
-        for side in ("low", "high"):
-            here = (F.col("_t.quantile") == i) & (F.col("_t.side") == side)
-            picks.append(F.max(F.when(here, F.col("_v"))).alias(f"_{side}{i}"))
-        fraction = F.when(F.col("_t.quantile") == i, F.col("_t.fraction"))
-        picks.append(F.max(fraction).alias(f"_f{i}"))
-    found = ranked.groupBy(*names).agg(*picks)
-    result = found.select(
-        *names,
-        *[
-            F.expr(f"_low{i} + (_high{i} - _low{i}) * _f{i}").alias(f"q{i}")
-            for i in range(len(quantiles))
-        ],
-    )
-    return result if group else result.drop("_all")
+        values = _with_ends(counted, [*names, "_b"], "_v")
+        ranks = {name: F.col(name) for name in ranks}
+    else:
+        counted = base.groupBy(*names, "_v").agg(count)
+        values = _with_ends(counted, names, "_v", total=True)
+
+    picks = [F.max(F.when(_holds(r), F.col("_v"))).alias(n) for n, r in ranks.items()]
+    found = values.groupBy(*names).agg(F.max("_total").alias("_total"), *picks)
+    columns = []
+    for i, q in enumerate(quantiles):
+        position = F.lit(float(q)) * (F.col("_total") - 1)
+        low, high = F.col(f"_low{i}"), F.col(f"_high{i}")
+        between = low + (high - low) * (position - F.floor(position))
+        columns.append(between.alias(f"q{i}"))
+    return found.select(*group, *columns)
 
 
-def _rank_cells(cut: DataFrame, names: list[str], quantiles: list[float]) -> DataFrame:
-    """Per (group, bucket) that holds a wanted rank: the ranks within the bucket."""
-    sizes = cut.groupBy(*names, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    # at most one row per bucket in each window partition
-    in_group = Window.partitionBy(*names)
-    upto = in_group.orderBy("_b").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    placed = sizes.withColumn("_end", F.sum("_n").over(upto)).withColumn(
-        "_total", F.sum("_n").over(in_group)
-    )
-    targets = []
+def _wanted_ranks(quantiles: list[float]) -> dict[str, Column]:
+    """The two ranks around each quantile's position among ``_total`` rows."""
+    ranks = {}
     for i, q in enumerate(quantiles):
         position = F.lit(float(q)) * (F.col("_total") - 1)
-        low = F.floor(position)
-        for side, rank in (("low", low), ("high", F.ceil(position))):
-            targets.append(
-                F.struct(
-                    F.lit(i).alias("quantile"),
-                    F.lit(side).alias("side"),
-                    rank.alias("rank"),
-                    (position - low).alias("fraction"),
-                )
-            )
-    start = F.col("_end") - F.col("_n")
-    inside = F.filter(
-        F.array(*targets),
-        lambda t: (t["rank"] >= start) & (t["rank"] < F.col("_end")),
-    )
-    local = F.transform(
-        inside,
-        lambda t: F.struct(
-            t["quantile"].alias("quantile"),
-            t["side"].alias("side"),
-            (t["rank"] - start).alias("rank"),
-            t["fraction"].alias("fraction"),
-        ),
-    )
-    return placed.select(*names, "_b", local.alias("_targets")).filter(
-        F.size("_targets") > 0
-    )
+        ranks[f"_low{i}"] = F.floor(position)
+        ranks[f"_high{i}"] = F.ceil(position)
+    return ranks
+
+
+def _with_ends(
+    counts: DataFrame, names: list[str], order: str, total: bool = False
+) -> DataFrame:
+    """Running end ``_end`` of the size ``_n`` within ``names``, and the total."""
+    part = Window.partitionBy(*names)
+    upto = part.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = counts.withColumn("_end", F.sum("_n").over(upto))
+    return placed.withColumn("_total", F.sum("_n").over(part)) if total else placed
+
+
+def _holds(rank: Column) -> Column:
+    """Does the row cover the rank (counted from 0)?"""
+    return (rank >= F.col("_end") - F.col("_n")) & (rank < F.col("_end"))
 
 
 def group_outliers(
@@ -193,20 +171,19 @@ def histogram(df: DataFrame, value: str, p95: DataFrame, bins: int = 10) -> Data
     ``p95`` is a one-row table. Bins are equally wide from the smallest to the
     largest kept value. Limits enter as scalar subqueries.
     """
-    limit = p95.select(
-        F.when(F.col(p95.columns[0]) > 0, F.col(p95.columns[0]) * 1.5).otherwise(100.0)
-    ).scalar()
+    top = F.col(p95.columns[0])
+    limit = p95.select(F.when(top > 0, top * 1.5).otherwise(100.0)).scalar()
     kept = df.select(F.col(value).cast("double").alias("_v")).filter(
         F.col("_v") <= limit
     )
-    low = kept.agg(F.min("_v")).scalar()
-    high = kept.agg(F.max("_v")).scalar()
-    width = (high - low) / F.lit(float(bins))
+    ends = kept.agg(F.struct(F.min("_v").alias("low"), F.max("_v").alias("high"))).scalar()
+    placed = kept.withColumn("_ends", ends)
+    low = F.col("_ends.low")
+    width = (F.col("_ends.high") - low) / F.lit(float(bins))
     position = F.coalesce(
         F.try_divide(F.col("_v") - low, width).cast("int"), F.lit(0)
     )
-    bin_number = F.least(position, F.lit(bins - 1))
-    return kept.groupBy(bin_number.alias("bin")).agg(
+    return placed.groupBy(F.least(position, F.lit(bins - 1)).alias("bin")).agg(
         F.count(F.lit(1)).alias("occurrences"),
         F.min("_v").alias("smallest"),
         F.max("_v").alias("largest"),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.values import any_null, average, flag, percent, share
+from ..functions.values import any_null, average, flag, from_cents, percent, share
 from ..roles import HeaderRoles, LineRoles
 from .checks import sign_pair_rules
 from .uniqueness import uniqueness
@@ -48,8 +48,8 @@ def _null_row_pct(df: DataFrame, exclude: list[str]) -> Column:
 
 def _overshoot(claimed: str, agreed: str) -> tuple[Column, Column]:
     hit = rules.exceeds(F.col(agreed), F.col(claimed))
-    size = F.sum(F.when(hit, rules.overshoot(F.col(agreed), F.col(claimed))))
-    return F.count_if(hit), share(size, F.count_if(hit))
+    total = F.sum(F.when(hit, rules.overshoot_cents(F.col(agreed), F.col(claimed))))
+    return F.count_if(hit), share(from_cents(total), F.count_if(hit))
 
 
 def header_counters(header: DataFrame, roles: HeaderRoles) -> DataFrame:

@@ -9,12 +9,11 @@ from ..operators import checks, kpi
 from . import frames
 from .registry import query
 
-_EXCEEDS = f"{frames.even_cents('agreed')} > {frames.even_cents('claimed')}"
-_EXCESS = frames.even_cents("agreed - claimed")
+_EXCEEDS = f"{frames.cents_sql('agreed')} > {frames.cents_sql('claimed')}"
+_EXCESS = frames.cents_sql("agreed - claimed")
 
 OVERSHOOT_SQL = f"""{frames.LINES_SQL},
-over AS (SELECT order_id, line_no, CAST(claimed AS DOUBLE) AS claimed,
-    CAST(agreed AS DOUBLE) AS agreed, {_EXCESS} AS cents,
+over AS (SELECT order_id, line_no, claimed, agreed, {_EXCESS} AS cents,
     CAST({_EXCESS} AS DOUBLE) / 100 AS diff
   FROM lines WHERE {_EXCEEDS})"""
 
@@ -35,9 +34,8 @@ def agreed_exceeds_claimed(spark, folder):
 
 @query(
     "r1_agreed_exceeds_claimed_header",
-    f"""WITH {frames.HEADER_SQL} SELECT order_id, CAST(claimed AS DOUBLE) AS claimed,
-      CAST(agreed AS DOUBLE) AS agreed, CAST(agreed - claimed AS DOUBLE) AS diff
-    FROM header WHERE agreed > claimed""",
+    f"""WITH {frames.HEADER_SQL} SELECT order_id, claimed, agreed,
+      CAST({_EXCESS} AS DOUBLE) / 100 AS diff FROM header WHERE {_EXCEEDS}""",
 )
 def agreed_exceeds_claimed_header(spark, folder):
     return checks.overshoot_rows(
@@ -92,16 +90,14 @@ def high_value(spark, folder):
 
 
 def _residual_lines(spark, folder):
-    late = F.when(F.col("line_no") == 7, F.lit("0.02").cast("decimal(4,2)")).otherwise(
-        F.lit("0.00").cast("decimal(4,2)")
-    )
+    late = F.when(F.col("line_no") == 7, 0.02).otherwise(0.0)
     return frames.lines(spark, folder).withColumn("residual", F.col("rebate") + late)
 
 
-_CENTS = frames.even_cents
+_CENTS = frames.cents_sql
 RESIDUAL_SQL = f"""{frames.LINES_SQL},
 residual AS (SELECT order_id, line_no, ship_ts, {_CENTS('claimed - net')}
-    - {_CENTS('rebate + CASE WHEN line_no = 7 THEN 0.02 ELSE 0.00 END')} AS cents
+    - {_CENTS('rebate + CASE WHEN line_no = 7 THEN 0.02::DOUBLE ELSE 0.0::DOUBLE END')} AS cents
   FROM lines)"""
 
 
@@ -130,6 +126,8 @@ def residual_summary(spark, folder):
     return checks.rule_summary(_residual_lines(spark, folder), rule)
 
 
+RESIDUAL_OFF = f"abs({_CENTS('claimed - agreed')} - {_CENTS('residual')}) > 1"
+
 AMOUNTS = ["supplier_balance", "customer_balance", "excess"]
 _S, _C, _E = [f"coalesce({a} < 0, false)" for a in AMOUNTS]
 _ODD = {
@@ -154,8 +152,7 @@ def sign_majority_summary(spark, folder):
 @query(
     "r6_sign_majority_rows",
     f"""WITH {frames.SIGNED_SQL} SELECT order_id, line_no,
-      CAST(supplier_balance AS DOUBLE) AS supplier_balance,
-      CAST(customer_balance AS DOUBLE) AS customer_balance, CAST(excess AS DOUBLE) AS excess
+      supplier_balance, customer_balance, excess
     FROM signed WHERE {" OR ".join(_ODD.values())}""",
 )
 def sign_majority_rows(spark, folder):
@@ -191,8 +188,7 @@ def sign_pair_summary(spark, folder):
 @query(
     "r8_sign_pair_rows",
     f"""WITH {frames.SIGNED_SQL} SELECT order_id, line_no, part_name, quantity,
-      quantity_agreed, CAST(supplier_balance AS DOUBLE) AS supplier_balance,
-      CAST(customer_balance AS DOUBLE) AS customer_balance, CAST(excess AS DOUBLE) AS excess
+      quantity_agreed, supplier_balance, customer_balance, excess
     FROM signed WHERE {" OR ".join(_PAIR_SQL.values())}""",
 )
 def sign_pair_rows(spark, folder):
@@ -225,7 +221,7 @@ def discount_logic_top_texts(spark, folder):
 @query(
     "r11_discount_logic_rows",
     f"""WITH {frames.SIGNED_SQL} SELECT order_id, line_no, part_name,
-      CAST(customer_balance AS DOUBLE) AS customer_balance, is_discount
+      customer_balance, is_discount
     FROM flagged WHERE NOT is_plausible""",
 )
 def discount_logic_rows(spark, folder):
@@ -276,10 +272,10 @@ def orders_without_lines(spark, folder):
 
 
 RECONCILED_SQL = f"""{frames.HEADER_SQL},
-totals AS (SELECT l_orderkey, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS total
+totals AS (SELECT l_orderkey, sum(l_extendedprice) AS total
   FROM lineitem GROUP BY l_orderkey),
-gaps AS (SELECT order_id, ts, claimed - coalesce(total, 0) AS claimed_diff,
-    agreed - coalesce(total, 0) AS agreed_diff
+gaps AS (SELECT order_id, ts, {_CENTS('claimed - coalesce(total, 0)')} AS claimed_diff,
+    {_CENTS('agreed - coalesce(total, 0)')} AS agreed_diff
   FROM header LEFT JOIN totals ON order_id = l_orderkey)"""
 _OFF = """claimed_diff IS NULL OR claimed_diff <> 0 OR agreed_diff IS NULL
   OR agreed_diff <> 0"""
@@ -297,7 +293,7 @@ def reconciliation(spark, folder):
 @query(
     "r14_header_line_reconciliation",
     f"""WITH {RECONCILED_SQL} SELECT order_id, ts,
-      CAST(claimed_diff AS DOUBLE) AS claimed_diff, CAST(agreed_diff AS DOUBLE) AS agreed_diff
+      claimed_diff / 100.0::DOUBLE AS claimed_diff, agreed_diff / 100.0::DOUBLE AS agreed_diff
     FROM gaps WHERE {_OFF}""",
 )
 def header_line_reconciliation(spark, folder):
@@ -321,7 +317,7 @@ _SHARES = {
 h AS (SELECT count(*) AS n,
     count(*) FILTER (agreed BETWEEN 1000 AND 1100) AS count_pro_forma,
     count(*) FILTER (agreed >= 490000) AS count_high_value,
-    count(*) FILTER (abs(claimed - agreed - residual) > 0.01) AS count_residual_errors,
+    count(*) FILTER ({RESIDUAL_OFF}) AS count_residual_errors,
     count(*) FILTER (contains(lower(segment), 'build')) AS count_test_rows FROM header),
 l AS (SELECT count(*) AS n, count(*) FILTER ({_EXCEEDS}) AS count_overshoot_line,
     count(*) FILTER (NOT is_plausible) AS count_discount_errors,

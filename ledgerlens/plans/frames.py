@@ -13,7 +13,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.values import money
 from ..operators import cleaning
 from ..roles import HeaderRoles, LineRoles
 from ..sources.tables import read_raw, read_table
@@ -63,10 +62,10 @@ def raw(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def header(spark: SparkSession, folder: str) -> DataFrame:
-    orders = table(spark, folder, "orders", ["o_totalprice"])
-    customer = table(spark, folder, "customer", ["c_acctbal"])
+    orders = table(spark, folder, "orders")
+    customer = table(spark, folder, "customer")
     joined = orders.join(customer, orders.o_custkey == customer.c_custkey, "left")
-    late = F.when(F.col("o_orderstatus") == "F", 0.02).otherwise(0)
+    late = F.when(F.col("o_orderstatus") == "F", 0.02).otherwise(0.0)
     return joined.select(
         F.col("o_orderkey").alias("order_id"),
         F.col("o_custkey").alias("customer_id"),
@@ -74,23 +73,21 @@ def header(spark: SparkSession, folder: str) -> DataFrame:
         F.col("c_mktsegment").alias("segment"),
         F.col("o_orderpriority").alias("priority"),
         F.col("o_totalprice").alias("claimed"),
-        money(F.col("o_totalprice") - F.lit(250000)).alias("recommended"),
-        money(F.col("o_totalprice") + F.col("c_acctbal")).alias("agreed"),
-        money(-F.col("c_acctbal") + money(late)).alias("residual"),
+        (F.col("o_totalprice") - 250000).alias("recommended"),
+        (F.col("o_totalprice") + F.col("c_acctbal")).alias("agreed"),
+        (late - F.col("c_acctbal")).alias("residual"),
+        F.col("c_acctbal").alias("balance"),
         F.col("o_orderdate").alias("ts"),
     )
 
 
 HEADER_SQL = """header AS (
   SELECT o_orderkey AS order_id, o_custkey AS customer_id, o_orderstatus AS status,
-    c_mktsegment AS segment, o_orderpriority AS priority,
-    CAST(o_totalprice AS DECIMAL(18,2)) AS claimed,
-    CAST(CAST(o_totalprice AS DECIMAL(18,2)) - 250000 AS DECIMAL(18,2)) AS recommended,
-    CAST(CAST(o_totalprice AS DECIMAL(18,2)) + CAST(c_acctbal AS DECIMAL(18,2))
-      AS DECIMAL(18,2)) AS agreed,
-    CAST(CASE WHEN o_orderstatus = 'F' THEN 0.02 ELSE 0 END
-      - CAST(c_acctbal AS DECIMAL(18,2)) AS DECIMAL(18,2)) AS residual,
-    o_orderdate AS ts
+    c_mktsegment AS segment, o_orderpriority AS priority, o_totalprice AS claimed,
+    o_totalprice - 250000 AS recommended, o_totalprice + c_acctbal AS agreed,
+    CASE WHEN o_orderstatus = 'F' THEN 0.02::DOUBLE ELSE 0.0::DOUBLE END - c_acctbal
+      AS residual,
+    c_acctbal AS balance, o_orderdate AS ts
   FROM orders LEFT JOIN customer ON o_custkey = c_custkey)"""
 
 
@@ -117,49 +114,43 @@ CLEAN_ORDERS_SQL = """clean AS (
 
 def lines(spark: SparkSession, folder: str) -> DataFrame:
     """Line amounts straight from the line items."""
-    items = table(spark, folder, "lineitem", ["l_extendedprice", "l_discount", "l_tax"])
-    one = F.lit(1).cast("decimal(4,2)")
-    price = F.col("l_extendedprice")
-    return items.select(
+    price, discount = F.col("l_extendedprice"), F.col("l_discount")
+    return table(spark, folder, "lineitem").select(
         F.col("l_orderkey").alias("order_id"),
         F.col("l_linenumber").alias("line_no"),
         F.col("l_partkey").alias("part_id"),
         F.col("l_suppkey").alias("supplier_id"),
         F.col("l_quantity").alias("quantity"),
         price.alias("claimed"),
-        (price * (one - F.col("l_discount").cast("decimal(4,2)"))
-         * (one + F.col("l_tax").cast("decimal(4,2)"))).alias("agreed"),
-        (price * (one - F.col("l_discount").cast("decimal(4,2)"))).alias("net"),
-        (price * F.col("l_discount").cast("decimal(4,2)")).alias("rebate"),
+        (price * (1 - discount) * (1 + F.col("l_tax"))).alias("agreed"),
+        (price * (1 - discount)).alias("net"),
+        (price * discount).alias("rebate"),
         F.col("l_shipdate").alias("ship_ts"),
     )
 
 
 LINES_SQL = """lines AS (
   SELECT l_orderkey AS order_id, l_linenumber AS line_no, l_partkey AS part_id,
-    l_suppkey AS supplier_id, l_quantity AS quantity,
-    CAST(l_extendedprice AS DECIMAL(18,2)) AS claimed,
-    CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(4,2)))
-      * (1 + CAST(l_tax AS DECIMAL(4,2))) AS agreed,
-    CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(4,2))) AS net,
-    CAST(l_extendedprice AS DECIMAL(12,2)) * CAST(l_discount AS DECIMAL(4,2)) AS rebate,
+    l_suppkey AS supplier_id, l_quantity AS quantity, l_extendedprice AS claimed,
+    l_extendedprice * (1 - l_discount) * (1 + l_tax) AS agreed,
+    l_extendedprice * (1 - l_discount) AS net, l_extendedprice * l_discount AS rebate,
     l_shipdate AS ship_ts
   FROM lineitem)"""
 
 
-def even_cents(expression: str) -> str:
-    """SQL: non-negative decimal → whole cents, ties to even."""
-    micro = f"CAST(({expression}) * 1000000 AS BIGINT)"
+def cents_sql(expression: str) -> str:
+    """SQL: amount → whole cents, ties to even."""
+    scaled = f"(({expression}) * 100)"
     return (
-        f"(({micro} // 10000) + CASE WHEN {micro} % 10000 > 5000 OR "
-        f"({micro} % 10000 = 5000 AND ({micro} // 10000) % 2 = 1) THEN 1 ELSE 0 END)"
+        f"CAST(CASE WHEN abs({scaled} - trunc({scaled})) = 0.5 "
+        f"THEN 2 * round({scaled} / 2) ELSE round({scaled}) END AS BIGINT)"
     )
 
 
 def signed_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Lines with amounts of either sign, their text, and both plausibility flags."""
     base = lines(spark, folder)
-    supplier = table(spark, folder, "supplier", ["s_acctbal"]).select(
+    supplier = table(spark, folder, "supplier").select(
         F.col("s_suppkey").alias("supplier_id"),
         F.col("s_acctbal").alias("supplier_balance"),
     )
@@ -170,7 +161,7 @@ def signed_lines(spark: SparkSession, folder: str) -> DataFrame:
     )
     orders = header(spark, folder).select(
         "order_id",
-        (F.col("agreed") - F.col("claimed")).cast("decimal(18,2)").alias("customer_balance"),
+        F.col("balance").alias("customer_balance"),
         F.col("recommended").alias("excess"),
     )
     joined = (
@@ -195,9 +186,9 @@ SIGNED_SQL = (
     + """,
 signed AS (
   SELECT lines.* REPLACE (quantity - 5 AS quantity), quantity - 3 AS quantity_agreed,
-    CAST(s_acctbal AS DECIMAL(18,2)) AS supplier_balance,
+    s_acctbal AS supplier_balance,
     p_name AS part_name, p_type AS part_type,
-    CAST(header.agreed - header.claimed AS DECIMAL(18,2)) AS customer_balance,
+    balance AS customer_balance,
     recommended AS excess,
     coalesce(regexp_matches(lower(p_name), 'blue|hot'), false) AS is_discount
   FROM lines LEFT JOIN supplier ON supplier_id = s_suppkey

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import checks, cleaning, kpi, timeagg
 from ..sources.runs import RunStore
 from . import frames
-from .checks import _EXCEEDS, _EXCESS
+from .checks import _EXCEEDS, _EXCESS, RESIDUAL_OFF
 from .registry import query
 from .text import NEIGHBOUR_SQL, STATS_SQL, neighbour_mismatches, supplier_types
 
@@ -36,7 +36,7 @@ def _null_pct(columns: list[str]) -> str:
 
 _HEADER_COLUMNS = [
     "order_id", "customer_id", "status", "segment", "priority", "claimed",
-    "recommended", "agreed", "residual", "ts",
+    "recommended", "agreed", "residual", "balance", "ts",
 ]
 _LINE_COLUMNS = [
     "order_id", "line_no", "part_id", "supplier_id", "quantity", "claimed", "agreed",
@@ -58,12 +58,12 @@ h{suffix} AS (SELECT count(*) AS count_total_orders,
     count(*) FILTER (line_count IS NULL) AS count_empty_orders,
     coalesce({_null_pct(_HEADER_COLUMNS)}, 0) AS null_row_pct_orders,
     count(*) FILTER (contains(lower(segment), 'build')) AS count_test_rows,
-    count(*) FILTER (agreed > claimed) AS count_overshoot_header,
-    CAST(sum(agreed - claimed) FILTER (agreed > claimed) AS DOUBLE)
-      / count(*) FILTER (agreed > claimed) AS avg_overshoot_header,
+    count(*) FILTER ({_EXCEEDS}) AS count_overshoot_header,
+    CAST(sum({_EXCESS}) FILTER ({_EXCEEDS}) AS DOUBLE) / 100
+      / count(*) FILTER ({_EXCEEDS}) AS avg_overshoot_header,
     count(*) FILTER (agreed BETWEEN 1000 AND 1100) AS count_pro_forma,
     count(*) FILTER (agreed >= 490000) AS count_high_value,
-    count(*) FILTER (abs(claimed - agreed - residual) > 0.01) AS count_residual_errors,
+    count(*) FILTER ({RESIDUAL_OFF}) AS count_residual_errors,
     count(*) FILTER ({_ODD_HEADER}) AS count_sign_header FROM hc{suffix}),
 l{suffix} AS (SELECT count(*) AS count_total_lines,
     coalesce({_null_pct(_LINE_COLUMNS)}, 0) AS null_row_pct_lines,
@@ -113,11 +113,11 @@ def issue_counts(spark, folder):
 
 ISSUES_SQL = f"""{SCALARS_SQL}, {STATS_SQL.replace("pairs AS", "st_pairs AS").replace("FROM pairs", "FROM st_pairs")},
 {NEIGHBOUR_SQL},
-sums AS (SELECT l_orderkey, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS total
-  FROM lineitem GROUP BY 1),
+sums AS (SELECT l_orderkey, sum(l_extendedprice) AS total FROM lineitem GROUP BY 1),
 extra AS (SELECT
   (SELECT count(*) FROM header LEFT JOIN sums ON order_id = l_orderkey
-    WHERE claimed <> coalesce(total, 0) OR agreed <> coalesce(total, 0)) AS count_sum_mismatch,
+    WHERE {frames.cents_sql("claimed - coalesce(total, 0)")} <> 0
+      OR {frames.cents_sql("agreed - coalesce(total, 0)")} <> 0) AS count_sum_mismatch,
   (SELECT count(*) FROM rated WHERE is_outlier) AS count_association_outliers,
   (SELECT count(*) FROM neighbours WHERE similarity < 0.2) AS count_semantic_outliers)"""
 

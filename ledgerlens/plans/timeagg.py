@@ -7,7 +7,13 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..operators import checks, distribution, timeagg
 from . import frames
-from .checks import OVERSHOOT_SQL, RECONCILED_SQL, overshoots, reconciliation
+from .checks import (
+    OVERSHOOT_SQL,
+    RECONCILED_SQL,
+    RESIDUAL_OFF,
+    overshoots,
+    reconciliation,
+)
 from .registry import query
 
 
@@ -107,7 +113,7 @@ def _incident_rows(spark, folder):
 
 INCIDENT_SQL = f"""{RECONCILED_SQL},
 incidents AS (
-  SELECT ts, 'residual' AS category FROM header WHERE abs(claimed - agreed - residual) > 0.01
+  SELECT ts, 'residual' AS category FROM header WHERE {RESIDUAL_OFF}
   UNION ALL SELECT ts, 'high value' FROM header WHERE agreed >= 490000
   UNION ALL SELECT ts, 'sum mismatch' FROM gaps WHERE claimed_diff <> 0 OR agreed_diff <> 0),
 trend AS (SELECT CAST(date_trunc('month', ts) AS TIMESTAMP) AS month, count(*) AS incidents,
@@ -135,7 +141,7 @@ def category_filter(spark, folder):
     f"""WITH {frames.HEADER_SQL} SELECT * FROM (
       SELECT 'test data' AS category, order_id, segment, ts, NULL::DOUBLE AS claimed
       FROM header WHERE contains(lower(segment), 'build')
-      UNION ALL SELECT 'high value', order_id, NULL, ts, CAST(claimed AS DOUBLE)
+      UNION ALL SELECT 'high value', order_id, NULL, ts, claimed
       FROM header WHERE claimed >= 490000)
     WHERE CAST(ts AS DATE) BETWEEN DATE '1997-01-01' AND DATE '1997-06-30'""",
 )

@@ -33,12 +33,21 @@ class RunStore:
         except AnalysisException:
             return self.spark.createDataFrame([], _MANIFEST)
 
+    def put(self, run_id: str, name: str, df: DataFrame) -> DataFrame:
+        """Write one table without listing it, and return it as stored."""
+        write_table(df, self._path(run_id, name))
+        return self.read(run_id, name)
+
+    def publish(self, run_id: str, names: list[str]) -> None:
+        """List tables of a run; call it when all of them are written."""
+        rows = self.spark.createDataFrame([(run_id, n) for n in names], _MANIFEST)
+        rows.coalesce(1).write.mode("append").parquet(f"{self.root}/_manifest_rows")
+
     def write(self, run_id: str, tables: dict[str, DataFrame]) -> None:
         """Write the tables of a run, then list them."""
         for name, df in tables.items():
-            write_table(df, self._path(run_id, name))
-        rows = self.spark.createDataFrame([(run_id, n) for n in tables], _MANIFEST)
-        rows.coalesce(1).write.mode("append").parquet(f"{self.root}/_manifest_rows")
+            self.put(run_id, name, df)
+        self.publish(run_id, list(tables))
 
     def names(self, run_id: str) -> DataFrame:
         """Tables a run has stored."""
