@@ -135,6 +135,19 @@ def scalar_kpis(
     )
 
 
+def scalar_row(kpis: DataFrame) -> DataFrame:
+    """The scalar KPIs as one typed row: counts long, flags boolean, rest double."""
+    columns = []
+    for name in SCALAR_KPIS:
+        if name.startswith("count_"):
+            columns.append(F.col(name).cast("long").alias(name))
+        elif name.startswith("is_"):
+            columns.append((F.col(name) == 1).alias(name))
+        else:
+            columns.append(F.col(name))
+    return to_wide(kpis, SCALAR_KPIS).select(*columns)
+
+
 def count_metric(df: DataFrame, metric: str) -> DataFrame:
     """Row count of a result as a (metric, value) row."""
     return to_long(df.agg(F.count(F.lit(1)).alias(metric)))

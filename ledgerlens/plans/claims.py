@@ -315,7 +315,7 @@ def run(
     stored["scalar_metrics"] = store.put(
         run_id,
         "scalar_metrics",
-        kpi.to_wide(values, kpi.SCALAR_KPIS).withColumnsRenamed(KPI_NAMES),
+        kpi.scalar_row(values).withColumnsRenamed(KPI_NAMES),
     )
     stored["issues"] = store.put(
         run_id, "issues", kpi.issue_rollup(values).withColumnsRenamed(KPI_NAMES)

@@ -92,9 +92,12 @@ _KPI_LIST = ", ".join(
 )
 
 
-@query("k1_scalar_kpi_table", f"WITH {SCALARS_SQL} SELECT {_KPI_LIST} FROM k")
+@query(
+    "k1_scalar_kpi_table",
+    f"WITH {SCALARS_SQL} SELECT {', '.join(kpi.SCALAR_KPIS)} FROM k",
+)
 def scalar_kpi_table(spark, folder):
-    return kpi.to_wide(scalars(spark, folder), kpi.SCALAR_KPIS)
+    return kpi.scalar_row(scalars(spark, folder))
 
 
 def issue_counts(spark, folder):
@@ -148,7 +151,7 @@ def issue_rollup(spark, folder):
     ),
 )
 def wide_to_long(spark, folder):
-    return kpi.to_long(kpi.to_wide(scalars(spark, folder), kpi.SCALAR_KPIS))
+    return kpi.to_long(kpi.scalar_row(scalars(spark, folder)))
 
 
 def _long_sql(suffix: str) -> str:
