@@ -51,6 +51,9 @@ def keyword_verdict(company: Column, trade: Column, rules: Rules) -> Column:
     ``CONFLICT_WITH_<LABEL>`` for the first other rule that matches, else
     ``NO_KEYWORD_INFO``. Keywords are plain substrings of the lowercased name.
     """
+    usable = [(label, words) for label, words in rules if words]
+    if not usable:
+        return F.lit("NO_KEYWORD_INFO")
     table = F.array(
         *[
             F.struct(
@@ -58,8 +61,7 @@ def keyword_verdict(company: Column, trade: Column, rules: Rules) -> Column:
                 F.lit(f"CONFLICT_WITH_{label.upper()}").alias("conflict"),
                 F.array(*[F.lit(word.lower()) for word in words]).alias("words"),
             )
-            for label, words in rules
-            if words
+            for label, words in usable
         ]
     )
     name = F.lower(company)
