@@ -56,10 +56,8 @@ def attach_timestamps(
 def propagate_to_lines(
     lines: DataFrame, header: DataFrame, key: str, columns: list[str]
 ) -> DataFrame:
-    """Left join of header columns onto the lines."""
-    return lines.join(header.select(key, *columns), key, "left").select(
-        *lines.columns, *columns
-    )
+    """Left join of header columns onto the lines; a hot key of the lines is split."""
+    return attach(lines, header.select(key, *columns), key)
 
 
 def attach_line_count(

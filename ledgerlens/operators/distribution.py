@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .joins import attach, broadcast_if_small
+from .joins import attach, broadcast_if_small, not_null
 
 #: row count up to which one task may sort all values of a group
 SMALL_ROWS = 2_000_000
@@ -72,7 +72,8 @@ def group_quantiles(
     """
     names = group or ["_all"]
     rows = df if group else df.withColumn("_all", F.lit(0))
-    base = rows.select(*names, F.col(value).cast("double").alias("_v")).dropna()
+    columns = [*names, "_v"]
+    base = not_null(rows.withColumn("_v", F.col(value).cast("double")).select(*columns), columns)
 
     splits = value_splits(base, ["_v"], small_rows, buckets)["_v"]
     count = F.count(F.lit(1)).alias("_n")

@@ -11,17 +11,28 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 
 
+def not_null(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows without a null in the columns.
+
+    Plain null tests reach the Parquet scan, and equal the ones Spark derives for
+    joins, so that a result used twice is shuffled once.
+    """
+    for name in columns:
+        df = df.filter(F.col(name).isNotNull())
+    return df
+
+
 def attach(
     left: DataFrame, right: DataFrame, on: str | list[str], how: str = "left"
 ) -> DataFrame:
-    """Join rows to a side with at most one row per key, hot keys included.
+    """Join rows to a slim side with few rows per key, hot keys of ``left`` included.
 
     AQE can split a hot key of ``left`` only if both join inputs are plain
-    shuffles. A side that was just aggregated on the key already has the right
-    partitioning, gets no shuffle of its own and so blocks the split. Joining on
-    (hash of key, key) makes Spark shuffle the aggregate once more, which is cheap
-    as it has one row per key, and leaves both sides splittable. If that side turns
-    out small, AQE turns the join into a broadcast instead.
+    shuffles. A side that was just aggregated or joined on the key already has the
+    right partitioning, gets no shuffle of its own and so blocks the split. Joining
+    on (hash of key, key) makes Spark shuffle that side once more, which is cheap as
+    it is slim, and leaves both sides splittable. If it turns out small, AQE turns
+    the join into a broadcast instead.
     """
     keys = [on] if isinstance(on, str) else list(on)
     digest = F.xxhash64(*keys)

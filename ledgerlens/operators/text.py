@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.encoders import Encoder
 from ..functions.values import share
-from .joins import attach
+from .joins import attach, not_null
 
 #: keyword rules in priority order: (label, keywords)
 Rules = list[tuple[str, list[str]]]
@@ -26,8 +26,7 @@ def association_stats(
     a company with very many trades stays splittable.
     """
     pairs = (
-        df.select(company, trade)
-        .dropna()
+        not_null(df.select(company, trade), [company, trade])
         .groupBy(company, trade)
         .agg(F.count(F.lit(1)).alias("pair_count"))
     )
@@ -116,22 +115,25 @@ def encode_distinct(
                     {"value": texts, "vector": [v.tolist() for v in encoder(texts)]}
                 )
 
-    values = df.select(F.col(column).alias("value")).dropna().distinct()
+    values = not_null(df.select(F.col(column).alias("value")), ["value"]).distinct()
     if partitions:
         values = values.repartition(partitions, "value")
     return values.mapInPandas(run, "value string, vector array<double>")
 
 
-def cosine(left: Column, right: Column) -> Column:
-    """Cosine similarity of two vector columns; null for a zero vector."""
+def dot(left: Column, right: Column) -> Column:
+    """Sum of products of two number arrays."""
+    products = F.zip_with(left, right, lambda x, y: x.cast("double") * y.cast("double"))
+    return F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
 
-    def dot(a: Column, b: Column) -> Column:
-        products = F.zip_with(
-            a, b, lambda x, y: x.cast("double") * y.cast("double")
-        )
-        return F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
 
-    return F.try_divide(dot(left, right), F.sqrt(dot(left, left) * dot(right, right)))
+def _with_norm(vectors: DataFrame, name: str, vector: str) -> DataFrame:
+    """(value, vector) as named columns, with the vector's length."""
+    return vectors.select(
+        F.col("value").alias(name),
+        F.col("vector").alias(vector),
+        F.sqrt(dot(F.col("vector"), F.col("vector"))).alias(f"{vector}_norm"),
+    )
 
 
 def semantic_mismatches(
@@ -146,19 +148,18 @@ def semantic_mismatches(
 
     The vector tables have columns ``value`` and ``vector``. Vectors are joined to
     the distinct name pairs, not to the rows; only pairs below the threshold go back
-    to the rows.
+    to the rows. A zero vector has no similarity and never matches.
     """
-    pairs = df.select(company, trade).dropna().distinct()
-    companies = company_vectors.select(
-        F.col("value").alias(company), F.col("vector").alias("_left")
+    pairs = not_null(df.select(company, trade), [company, trade]).distinct()
+    companies = _with_norm(company_vectors, company, "_left")
+    trades = _with_norm(trade_vectors, trade, "_right")
+    scored = attach(attach(pairs, companies, company, "inner"), trades, trade, "inner")
+    cosine = F.try_divide(
+        dot(F.col("_left"), F.col("_right")), F.col("_left_norm") * F.col("_right_norm")
     )
-    trades = trade_vectors.select(
-        F.col("value").alias(trade), F.col("vector").alias("_right")
+    low = scored.select(company, trade, cosine.alias("similarity")).filter(
+        F.col("similarity") < F.lit(threshold)
     )
-    scored = attach(attach(pairs, companies, company, "inner"), trades, trade, "inner")
-    low = scored.select(
-        company, trade, cosine(F.col("_left"), F.col("_right")).alias("similarity")
-    ).filter(F.col("similarity") < F.lit(threshold))
     return (
         attach(df, low, [company, trade], "inner")
         .orderBy("similarity", company, trade)

@@ -7,11 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .joins import attach
+from .joins import attach, not_null
 
 
 def _key_counts(df: DataFrame, keys: list[str], drop_null_keys: bool) -> DataFrame:
-    rows = df.dropna(subset=keys) if drop_null_keys else df
+    rows = not_null(df, keys) if drop_null_keys else df
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
 
 
@@ -41,7 +41,7 @@ def duplicate_rows(
     The counts are pre-aggregated and joined back, so no task holds all rows of a
     key.
     """
-    rows = df.dropna(subset=keys)
+    rows = not_null(df, keys)
     repeated = _key_counts(df, keys, True).filter("_n > 1").select(*keys)
     return attach(rows.select(*(columns or df.columns)), repeated, keys, "left_semi")
 

@@ -301,7 +301,7 @@ def run(
         **order_metrics(orders, totals, settings),
         **position_metrics(positions),
     }
-    stored = {name: store.put(run_id, name, df) for name, df in tables.items()}
+    stored = store.put_all(run_id, tables)
 
     # counts of stored tables come from Parquet footers
     values = kpi.scalar_kpis(orders, positions, ORDER, POSITION)

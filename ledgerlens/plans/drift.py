@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.dates import month_label
 from ..operators import drift
 from ..operators.drift import DriftRoles
 from ..sources.drift_store import DriftStore
+from ..sources.tables import write_table
 from . import frames
 from .registry import query
 
@@ -68,6 +70,20 @@ def date_slice_swapped(spark, folder):
     return drift.date_slice(events, "ts", FIRST_HALF[1], FIRST_HALF[0])
 
 
+@query(
+    "d1_date_slice_pruned",
+    f"SELECT * FROM orders WHERE {_between('o_orderdate', YEAR_1996)}",
+)
+def date_slice_pruned(spark, folder):
+    """Orders stored by month; the slice reads the twelve folders it needs."""
+    path = frames.scratch(spark)
+    orders = frames.raw(spark, folder, "orders")
+    by_month = orders.withColumn("month", month_label("o_orderdate"))
+    write_table(by_month, path, partition_by=["month"])
+    stored = frames.read_raw(spark, path)
+    return drift.date_slice(stored, "o_orderdate", *YEAR_1996, month="month").drop("month")
+
+
 def _rounded(df):
     return df.withColumn("distance", F.round("distance", 9))
 

@@ -8,6 +8,8 @@ sort by time; "previous" is the greatest id below the current one.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +40,14 @@ class RunStore:
         write_table(df, self._path(run_id, name))
         return self.read(run_id, name)
 
+    def put_all(
+        self, run_id: str, tables: dict[str, DataFrame], parallel: int = 4
+    ) -> dict[str, DataFrame]:
+        """Write several tables, a few jobs at a time, to keep the cluster busy."""
+        with ThreadPoolExecutor(parallel) as pool:
+            stored = pool.map(lambda item: self.put(run_id, *item), tables.items())
+            return dict(zip(tables, stored))
+
     def publish(self, run_id: str, names: list[str]) -> None:
         """List tables of a run; call it when all of them are written."""
         rows = self.spark.createDataFrame([(run_id, n) for n in names], _MANIFEST)
@@ -45,8 +55,7 @@ class RunStore:
 
     def write(self, run_id: str, tables: dict[str, DataFrame]) -> None:
         """Write the tables of a run, then list them."""
-        for name, df in tables.items():
-            self.put(run_id, name, df)
+        self.put_all(run_id, tables)
         self.publish(run_id, list(tables))
 
     def names(self, run_id: str) -> DataFrame:

@@ -41,11 +41,17 @@ def write_table(
     partition_by: list[str] | None = None,
     mode: str = "overwrite",
 ) -> None:
-    """Parquet write, optionally partitioned (e.g. by month, for pruned slices)."""
-    writer = df.write.mode(mode)
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    """Parquet write, optionally partitioned (e.g. by month, for pruned slices).
+
+    Rows of a partition value meet before the write, so that there are few files;
+    the rebalance hint lets AQE split a value that holds too many rows.
+    """
+    if not partition_by:
+        df.write.mode(mode).parquet(path)
+        return
+    columns = [F.col(name) for name in partition_by]
+    writer = df.hint("rebalance", *columns).write.mode(mode)
+    writer.partitionBy(*partition_by).parquet(path)
 
 
 def export_csv(df: DataFrame, path: str) -> None:

@@ -48,6 +48,21 @@ def test_filters_reach_the_scan(spark, name, expected):
     assert any(expected in line for line in pushed)
 
 
+@needs_data
+def test_slice_of_a_table_stored_by_month_skips_other_months(spark):
+    text = physical(contract.queries()["d1_date_slice_pruned"](spark, FOLDER))
+    scan = [line for line in text.splitlines() if "PartitionFilters" in line]
+    assert "month" in scan[0].split("PartitionFilters: [")[1].split("]")[0]
+
+
+@needs_data
+def test_a_result_used_twice_is_shuffled_once(spark):
+    df = contract.queries()["t1_association_stats"](spark, FOLDER)
+    n, text = done(df)
+    final = text.split("== Initial Plan ==")[0]
+    assert n > 0 and final.count("FileScan parquet [l_partkey") == 1
+
+
 @needs_data
 def test_only_needed_columns_are_read(spark):
     text = physical(contract.queries()["a1_line_count_per_order"](spark, FOLDER))
