@@ -184,15 +184,16 @@ def jensen_shannon(
         reference,
         current,
     )
-    counted = (
-        rows.unpivot(["_ref", "_cur"], names, "column_name", "_v")
-        .filter(F.col("_v").isNotNull())
-        .groupBy("column_name", "_v")
-        .agg(F.count_if("_ref").alias("_nr"), F.count_if("_cur").alias("_nc"))
+    long = rows.unpivot(["_ref", "_cur"], names, "column_name", "_v").filter(
+        F.col("_v").isNotNull()
+    )
+    flags = F.count_if("_ref"), F.count_if("_cur")
+    counted = long.groupBy("column_name", "_v").agg(
+        flags[0].alias("_nr"), flags[1].alias("_nc")
     )
     # one row per compared column
-    totals = counted.groupBy("column_name").agg(
-        F.sum("_nr").alias("_tr"), F.sum("_nc").alias("_tc")
+    totals = long.groupBy("column_name").agg(
+        flags[0].alias("_tr"), flags[1].alias("_tc")
     )
     joined = counted.join(F.broadcast(totals), "column_name")
     p = share(F.col("_nr"), F.col("_tr"))

@@ -143,12 +143,16 @@ def semantic_mismatches(
     company_vectors: DataFrame,
     trade_vectors: DataFrame,
     threshold: float = 0.2,
+    ordered: bool = True,
 ) -> DataFrame:
     """Rows whose two names are less similar than the threshold, least similar first.
 
     The vector tables have columns ``value`` and ``vector``. Vectors are joined to
     the distinct name pairs, not to the rows; only pairs below the threshold go back
-    to the rows. A zero vector has no similarity and never matches.
+    to the rows. A zero vector has no similarity and never matches. The order uses
+    all columns after the similarity, so that rows of a frequent pair spread over the
+    sorted partitions; ``ordered=False`` leaves the sort to the reader of a stored
+    result.
     """
     pairs = not_null(df.select(company, trade), [company, trade]).distinct()
     companies = _with_norm(company_vectors, company, "_left")
@@ -160,11 +164,11 @@ def semantic_mismatches(
     low = scored.select(company, trade, cosine.alias("similarity")).filter(
         F.col("similarity") < F.lit(threshold)
     )
-    return (
-        attach(df, low, [company, trade], "inner")
-        .orderBy("similarity", company, trade)
-        .select(*df.columns, "similarity")
-    )
+    found = attach(df, low, [company, trade], "inner").select(*df.columns, "similarity")
+    if not ordered:
+        return found
+    ties = [c for c in df.columns if c not in (company, trade)]
+    return found.orderBy("similarity", company, trade, *ties)
 
 
 def percent_text(ratio: Column) -> Column:

@@ -123,6 +123,7 @@ class Settings:
     keyword_rules: text.Rules
     encoder: Encoder | None = None  # None leaves the semantic check empty
     time_dedupe: bool = False
+    rotate: bool = False  # keep this run and the one before it, drop older ones
 
 
 def clean_positions(
@@ -244,6 +245,7 @@ def _semantic(orders: DataFrame, settings: Settings) -> DataFrame:
         o.trade,
         text.encode_distinct(orders, o.company, settings.encoder),
         text.encode_distinct(orders, o.trade, settings.encoder),
+        ordered=False,
     )
 
 
@@ -331,6 +333,8 @@ def run(
     store.publish(
         run_id, ["positionsdaten", "auftragsdaten", *stored, "metric_comparison"]
     )
+    if settings.rotate:
+        store.drop_older(run_id)
     return store
 
 

@@ -264,3 +264,24 @@ def list_stored_results(spark, folder):
 def snapshot_rotation(spark, folder):
     store = _store(spark, folder)
     return store.read(store.previous("2026-02"), "high_value")
+
+
+@query(
+    "s5_rotation_keeps_two_runs",
+    f"""SELECT '2026-02' AS run_id, count(*) AS row_count FROM orders
+    UNION ALL SELECT '2026-03', count(*) FROM {_EARLY}""",
+)
+def rotation_keeps_two_runs(spark, folder):
+    """A third run; the first one goes, the others can be read."""
+    store = _store(spark, folder)
+    third = store.read("2026-01", "orders")
+    store.write("2026-03", {"orders": third})
+    store.drop_older("2026-03")
+    runs = [r["run_id"] for r in store.current_and_previous().collect()]
+    counts = [
+        store.read(run, "orders").agg(
+            F.lit(run).alias("run_id"), F.count(F.lit(1)).alias("row_count")
+        )
+        for run in runs
+    ]
+    return counts[0].unionByName(counts[1])
