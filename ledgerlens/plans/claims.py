@@ -19,10 +19,12 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.encoders import Encoder
-from ..operators import checks, cleaning, completeness, distribution, kpi, text, timeagg
+from ..operators import checks, cleaning, completeness, distribution, drift, kpi, profile
+from ..operators import text, timeagg
 from ..operators import uniqueness as unique
-from ..operators.drift import DriftRoles
+from ..operators.drift import Day, DriftRoles
 from ..roles import HeaderRoles, LineRoles
+from ..sources.drift_store import DriftStore
 from ..sources.runs import RunStore
 from ..sources.tables import read_table
 
@@ -349,3 +351,133 @@ def duplicate_numbers(orders: DataFrame) -> DataFrame:
     return unique.duplicate_rows(
         orders, [ORDER.country, ORDER.number], [ORDER.number, ORDER.country]
     )
+
+
+def follow_up(store: RunStore, run_id: str, rank_by: int = 10) -> dict[str, DataFrame]:
+    """What readers look at next, from the stored results of a run; nothing is written.
+
+    Trends and shares of the issue counts, the spread of overshoots, top lists of the
+    text checks.
+    """
+    o = ORDER
+
+    def stored(name: str) -> DataFrame:
+        return store.read(run_id, name)
+
+    incidents = timeagg.monthly_incidents(
+        {
+            "Zeitwert Fehler": stored("metric_zeitwert_errors"),
+            "Aufträge > 50k": stored("metric_above_50k"),
+            "Abweichung Summen": stored("metric_order_pos_mismatch"),
+            "Testdatensätze": stored("metric_test_data_entries"),
+        },
+        TS,
+    )
+    monthly = stored("metric_positions_over_time")
+    average = "Avg_Positionen_pro_Auftrag"
+    outliers = stored("metric_handwerker_outliers")
+    mismatches = stored("metric_semantic_mismatches")
+    values = _long(stored("scalar_metrics"), stored("issues"))
+    both = ["count_total_orders", "count_total_positions"]
+    parts = {
+        "count_zeitwert_errors": both[:1],
+        "count_above_50k": both[:1],
+        "count_abweichung_summen": both[:1],
+        "count_test_data_rows": both[:1],
+        "count_handwerker_outliers": both[:1],
+        "count_semantic_outliers": both[:1],
+        "count_plausibility_errors_df": both[:1],
+        "count_proforma_receipts": both[:1],
+        "count_false_negative_df": both[:1],
+        "count_plausibility_errors_df2": both[1:],
+        "count_discount_logic_errors": both[1:],
+        "count_false_negative_df2": both[1:],
+        "numeric_issues": both,
+        "text_issues": both,
+        "plausi_issues": both,
+    }
+    tables = {
+        "incidents_by_month": incidents,
+        "shares": checks.shares(values, parts),
+        "trend_highlights": timeagg.trend_highlights(monthly, "Zeitperiode", average),
+        "trend_class": timeagg.trend_class(monthly, "Zeitperiode", average),
+        "proforma_by_month": timeagg.rows_by_month(stored("metric_proforma"), TS),
+        "outlier_trades": timeagg.top_values(outliers, o.trade, rank_by),
+        "outlier_companies": timeagg.top_by_sum(outliers, o.company, "count", rank_by),
+        "mismatch_trades": timeagg.top_values(mismatches, o.trade, rank_by),
+        "mismatch_companies": timeagg.top_values(mismatches, o.company, rank_by),
+        "kinds_without_positions": timeagg.options(
+            stored("metric_empty_orders_dataframe"), o.kind
+        ),
+        "groups_with_outliers": timeagg.options(stored("metric_outliers_by_damage"), o.group),
+    }
+    for name, id_column in (("auftragsdaten", KEY), ("positionsdaten", POSITION.id)):
+        diffs = stored(f"metric_plausibility_diffs_{name}")
+        p95 = distribution.quantile_value(diffs, "Diff", 0.95, "p95")
+        tables[f"diff_p95_{name}"] = p95
+        tables[f"diff_histogram_{name}"] = distribution.histogram(diffs, "Diff", p95)
+        tables[f"diff_extremes_{name}"] = distribution.extreme_rows(
+            diffs, "Diff", p95, [id_column], rank_by
+        )
+    return tables
+
+
+def profiles(orders: DataFrame, positions: DataFrame) -> dict[str, DataFrame]:
+    """Column profiles and id format checks of the stored tables; nothing is written."""
+    tables: dict[str, DataFrame] = {}
+    for name, df, numeric, labels, id_columns in (
+        (
+            "auftragsdaten",
+            orders,
+            ORDER_DRIFT.numeric,
+            ["DH_ID", "Land", "Schadenart_Name", "Falltyp_Name", "Gewerk_Name", "Kundengruppe"],
+            ["AuftragID", KEY],
+        ),
+        (
+            "positionsdaten",
+            positions,
+            POSITION_DRIFT.numeric,
+            ["Mengeneinheit", "Menge", "Menge_Einigung", "Bemerkung"],
+            [KEY, POSITION.id],
+        ),
+    ):
+        tables[f"numeric_{name}"] = profile.numeric_profile(df, numeric)
+        tables[f"distinct_{name}"] = profile.distinct_values(df, labels)
+        tables[f"counts_{name}"] = profile.value_counts(df)
+        tables[f"schema_{name}"] = profile.schema_rows(df)
+        tables[f"preview_{name}"] = profile.preview(df, [id_columns[-1]])
+        for column in id_columns:
+            tables[f"id_format_{name}_{column}"] = unique.id_format_violations(df, column)
+            tables[f"id_segments_{name}_{column}"] = unique.segment_value_counts(df, column)
+    return tables
+
+
+def drift_report(
+    store: RunStore,
+    run_id: str,
+    reports: DriftStore,
+    positions: bool = False,
+    reference: tuple[Day, Day] | None = None,
+    current: tuple[Day, Day] | None = None,
+    refresh: bool = False,
+    **options,
+) -> DataFrame:
+    """Stored or new drift report of orders or positions.
+
+    Without date ranges the first half year of the orders is compared with the second.
+    """
+    name = "positionsdaten" if positions else "auftragsdaten"
+    roles = POSITION_DRIFT if positions else ORDER_DRIFT
+    if reference is None or current is None:
+        row = drift.default_windows(store.read(run_id, "auftragsdaten"), TS).first()
+        reference = reference or (row["reference_start"], row["reference_end"])
+        current = current or (row["current_start"], row["current_end"])
+    return reports.report(
+        "positions" if positions else "orders",
+        reference,
+        current,
+        lambda: drift.drift_report(
+            store.read(run_id, name), roles, reference, current, **options
+        ),
+        refresh,
+    )

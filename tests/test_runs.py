@@ -221,6 +221,8 @@ def test_claims_run(spark, sources, tmp_path):
     assert {r["Old_Value"] for r in first} == {0.0}
     assert len({r["Metric"] for r in first}) == len(first)
 
+    check_readers(spark, store, tmp_path)
+
     # the same data again: nothing has changed
     claims.run(spark, sources, str(tmp_path / "out"), "2026-02", settings)
     again = store.read("2026-02", "metric_comparison").collect()
@@ -228,6 +230,32 @@ def test_claims_run(spark, sources, tmp_path):
     assert len(again) == len(first)
 
 
+def check_readers(spark, store, tmp_path):
+    """Follow-up tables, profiles and drift of a stored run."""
+    follow = claims.follow_up(store, "2026-01")
+    pct = dict(follow["shares"].collect())
+    assert pct["count_zeitwert_errors_pct"] == pytest.approx(2 / 7 * 100)
+    assert pct["numeric_issues_pct"] == pytest.approx(5 / 14 * 100)
+    months = follow["incidents_by_month"].filter("category = 'Aufträge > 50k'").collect()
+    assert [(r["month"], r["incidents"]) for r in months] == [(datetime(2024, 2, 1), 1)]
+    assert follow["diff_p95_auftragsdaten"].first()[0] == 20.0
+    assert follow["diff_extremes_positionsdaten"].count() == 1
+    assert all(df.columns for df in follow.values())
+
+    orders, positions = store.read("2026-01", "auftragsdaten"), store.read("2026-01", "positionsdaten")
+    tables = claims.profiles(orders, positions)
+    assert tables["numeric_auftragsdaten"].count() == 4
+    assert tables["id_format_positionsdaten_Position_ID"].count() == 7
+    assert tables["schema_auftragsdaten"].count() == len(orders.columns)
+
+    reports = DriftStore(spark, str(tmp_path / "drift"))
+    ranges = {"reference": ("2024-01-01", "2024-02-01"), "current": ("2024-02-01", "2024-04-01")}
+    report = claims.drift_report(store, "2026-01", reports, **ranges)
+    assert report.count() == 9
+    lines = claims.drift_report(store, "2026-01", reports, positions=True)
+    assert lines.count() == 7 and reports.catalogue().count() == 2
+
+
 def test_claims_run_without_encoder_on_clean_data(spark, tmp_path):
     """No errors anywhere: every table exists, typed and empty."""
     paths = {name: str(tmp_path / name) for name in ("orders", "positions", "times")}
