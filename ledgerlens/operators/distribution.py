@@ -22,8 +22,11 @@ from .joins import attach, broadcast_if_small, not_null
 
 #: row count up to which one task may sort all values of a group
 SMALL_ROWS = 2_000_000
-#: bounds for the number of buckets
-MIN_BUCKETS, MAX_BUCKETS = 64, 1000
+#: rows a bucket should hold, and bounds for the number of buckets
+BUCKET_ROWS = 1_000_000
+MIN_BUCKETS, MAX_BUCKETS = 64, 10_000
+#: rows the cut points are estimated from, as in Spark's own range partitioning
+CUT_ROWS = 5_000_000
 
 
 def value_splits(
@@ -34,21 +37,23 @@ def value_splits(
 ) -> dict[str, list[float]]:
     """Cut points per double column, none for a small table.
 
-    One pass counts the rows and sketches the columns; one row with at most
-    ``MAX_BUCKETS`` numbers per column reaches the driver. The cut points balance the
-    work and do not touch the result, so an approximation is enough.
+    The number of buckets grows with the table. The cut points balance the work and
+    do not touch the result, so they are estimated, from at most about ``CUT_ROWS``
+    rows; one row with at most ``MAX_BUCKETS`` numbers per column reaches the driver.
     """
+    rows = df.count()
+    if rows <= small_rows:
+        return {c: [] for c in columns}
     if buckets is None:
-        wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        buckets = min(max(wanted, MIN_BUCKETS), MAX_BUCKETS)
+        buckets = min(max(rows // BUCKET_ROWS, MIN_BUCKETS), MAX_BUCKETS)
     steps = [i / buckets for i in range(1, buckets)]
-    sketches = [
-        F.percentile_approx(c, steps, 4 * buckets).alias(f"_s{i}")
-        for i, c in enumerate(columns)
-    ]
-    row = df.agg(F.count(F.lit(1)).alias("_rows"), *sketches).first()
-    if row["_rows"] <= small_rows:
-        return {c: [] for c in columns}
+    basis = df if rows <= CUT_ROWS else df.sample(CUT_ROWS / rows, seed=17)
+    row = basis.agg(
+        *[
+            F.percentile_approx(c, steps, 4 * buckets).alias(f"_s{i}")
+            for i, c in enumerate(columns)
+        ]
+    ).first()
     return {c: sorted(set(row[f"_s{i}"] or [])) for i, c in enumerate(columns)}
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import checks, cleaning, kpi, timeagg
+from ..operators import cleaning, kpi, timeagg
 from ..sources.runs import RunStore
 from . import frames
 from .checks import _EXCEEDS, _EXCESS, RESIDUAL_OFF

@@ -60,6 +60,16 @@ def test_outliers_match_pandas(spark, skewed, options):
     assert mirrored.count() == found.count()
 
 
+def test_result_does_not_depend_on_the_cut_points(spark, skewed, monkeypatch):
+    """Cut points from a handful of rows: uneven buckets, same quantiles."""
+    df = spark.createDataFrame(skewed).replace(float("nan"), None)
+    qs = [0.01, 0.5, 0.99]
+    plain = distribution.group_quantiles(df, ["g"], "v", qs).collect()
+    monkeypatch.setattr(distribution, "CUT_ROWS", 20)
+    rough = distribution.group_quantiles(df, ["g"], "v", qs, small_rows=0, buckets=5)
+    assert sorted(map(tuple, rough.collect())) == sorted(map(tuple, plain))
+
+
 def test_histogram_keeps_every_value_below_the_limit(spark):
     df = spark.createDataFrame([(float(i),) for i in range(101)], "diff double")
     p95 = distribution.quantile_value(df, "diff", 0.95, "p95")
