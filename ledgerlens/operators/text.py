@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -50,30 +51,29 @@ def keyword_verdict(company: Column, trade: Column, rules: Rules) -> Column:
     ``CONFLICT_WITH_<LABEL>`` for the first other rule that matches, else
     ``NO_KEYWORD_INFO``. Keywords are plain substrings of the lowercased name.
     """
-    usable = [(label, words) for label, words in rules if words]
-    if not usable:
-        return F.lit("NO_KEYWORD_INFO")
-    table = F.array(
-        *[
-            F.struct(
-                F.lit(label).alias("label"),
-                F.lit(f"CONFLICT_WITH_{label.upper()}").alias("conflict"),
-                F.array(*[F.lit(word.lower()) for word in words]).alias("words"),
-            )
-            for label, words in usable
-        ]
-    )
-    name = F.lower(company)
-    matches = F.filter(
-        table, lambda r: F.exists(r["words"], lambda w: F.contains(name, w))
-    )
-    own = F.exists(matches, lambda r: r["label"].eqNullSafe(trade))
-    others = F.filter(matches, lambda r: ~r["label"].eqNullSafe(trade))
-    return (
-        F.when(company.isNull(), F.lit("NO_KEYWORD_INFO"))
-        .when(own, F.lit("CONFIRMED_BY_NAME"))
-        .otherwise(F.coalesce(F.get(others, F.lit(0))["conflict"], F.lit("NO_KEYWORD_INFO")))
-    )
+    return _verdict(F.lower(company), trade, rules)
+
+
+def _verdict(name: Column, trade: Column, rules: Rules) -> Column:
+    # plain conditions in rule order: they stay in generated code, lambdas would not
+    confirmed, conflicts = [], []
+    for label, words in rules:
+        if not words:
+            continue
+        match = reduce(lambda a, b: a | b, [F.contains(name, F.lit(w.lower())) for w in words])
+        own = trade.eqNullSafe(F.lit(label))
+        confirmed.append(F.when(own & match, F.lit("CONFIRMED_BY_NAME")))
+        conflict = F.lit(f"CONFLICT_WITH_{label.upper()}")
+        conflicts.append(F.when(~own & match, conflict))
+    return F.coalesce(*confirmed, *conflicts, F.lit("NO_KEYWORD_INFO"))
+
+
+def with_keyword_verdict(
+    df: DataFrame, company: str, trade: str, rules: Rules, name: str = "check_result"
+) -> DataFrame:
+    """Add the verdict; the name is lowercased once per row, not once per keyword."""
+    lowered = df.withColumn("_name", F.lower(F.col(company)))
+    return lowered.withColumn(name, _verdict(F.col("_name"), F.col(trade), rules)).drop("_name")
 
 
 def load_keyword_rules(rows: DataFrame, max_rules: int = 10_000) -> Rules:
@@ -91,8 +91,7 @@ def association_outliers(
     stats: DataFrame, company: str, trade: str, rules: Rules
 ) -> DataFrame:
     """Flagged pairs only, with the verdict of the keyword rules."""
-    verdict = keyword_verdict(F.col(company), F.col(trade), rules)
-    return stats.filter("is_outlier").withColumn("check_result", verdict)
+    return with_keyword_verdict(stats.filter("is_outlier"), company, trade, rules)
 
 
 def encode_distinct(

@@ -95,8 +95,7 @@ def outlier_filter(spark, folder):
 )
 def keyword_classification(spark, folder):
     part = frames.table(spark, folder, "part").select("p_partkey", "p_name", "p_type")
-    verdict = text.keyword_verdict(F.col("p_name"), F.col("p_type"), PART_RULES)
-    return part.withColumn("check_result", verdict)
+    return text.with_keyword_verdict(part, "p_name", "p_type", PART_RULES)
 
 
 NEIGHBOUR_SQL = """neighbours AS (
