@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pieces, sharding, tokencount, urlrules
+from . import decontaminate, langid, pieces, sharding, tokencount, urlrules
 from .common import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,6 +59,57 @@ def op3_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.encode_digests(docs, PIECE_MODEL, {"doc_id": "doc_id"})
 
 
+@query(
+    "op4_decontamination",
+    r"""WITH docs AS (
+      SELECT doc_id, row_number() OVER () AS d, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+    items AS (
+      SELECT item_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+    item_starts AS (
+      SELECT item_id, w, least(len(w), 10) AS n,
+        unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM items WHERE len(w) > 0),
+    windows AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS gram FROM item_starts),
+    sizes AS (SELECT DISTINCT n FROM windows),
+    doc_starts AS (
+      SELECT d, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, sizes WHERE len(w) >= n),
+    hits AS (
+      SELECT d, i, s.n, item_id FROM doc_starts s JOIN windows v
+        ON s.n = v.n AND array_to_string(w[i:i + s.n - 1], ' ') = gram),
+    covered AS (
+      SELECT d, count(DISTINCT p) AS n_hit
+      FROM (SELECT d, unnest(range(i, i + n)) AS p FROM hits) GROUP BY d),
+    found AS (
+      SELECT d, count(*) AS n_items,
+        string_agg(item, ',' ORDER BY item) AS list
+      FROM (SELECT DISTINCT d, item_id::VARCHAR AS item FROM hits) GROUP BY d)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+      coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(list, '')) AS items_sha256,
+      coalesce(n_hit, 0) > 0 AS contaminated
+    FROM docs LEFT JOIN covered USING (d) LEFT JOIN found USING (d)""",
+)
+def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contamination(
+        table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    )
+
+
+def held_out() -> Column:
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(3)) == 1
+
+
+@query("op6_language_id")
+def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Profiles from two thirds of the labelled documents, applied to all."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    profiles = langid.learn(docs.where(~held_out()))
+    judged = langid.identify(docs, profiles, {"doc_id": "doc_id"})
+    return judged.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 @query("op7_token_counts")
 def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
