@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, pieces, sharding, tokencount, urlrules
+from . import decontaminate, jaccard, langid, pieces, sharding, tokencount, urlrules
 from .common import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,6 +116,33 @@ def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return tokencount.token_counts(docs, BYTE_FILE, 1024, {"doc_id": "doc_id"})
 
 
+@query(
+    "op9_jaccard_join",
+    """WITH RECURSIVE docs AS (
+      SELECT doc_id, list_filter(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+    starts AS (
+      SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM docs WHERE len(w) > 0),
+    grams AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS g FROM starts),
+    sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+    pairs AS (
+      SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k
+      FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+    links AS (
+      SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+      WHERE 100 * k >= 85 * (x.n + y.n - k)),
+    reach AS (
+      SELECT doc_id AS node, doc_id AS r FROM docs
+      UNION SELECT links.b, reach.r FROM reach JOIN links ON links.a = reach.node),
+    best AS (SELECT node, min(r) AS component_id FROM reach GROUP BY node)
+    SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id
+    FROM docs LEFT JOIN sizes USING (doc_id) LEFT JOIN best ON best.node = doc_id""",
+)
+def op9_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.similar_groups(table(spark, folder, "documents"))
+
+
 URL_RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 
 
