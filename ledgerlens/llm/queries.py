@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, langid, pieces, sharding, tokencount, urlrules
+from . import ann, decontaminate, jaccard, langid, pieces, sharding, tokencount, urlrules
 from .common import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -143,6 +143,13 @@ def op9_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.similar_groups(table(spark, folder, "documents"))
 
 
+@query("op8_nearest_vectors")
+def op8_nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Five nearest of every vector whose id is divisible by 50."""
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return ann.nearest(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 URL_RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 
 
