@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, jaccard, langid, pieces, sharding, tokencount, urlrules
+from . import ann, decontaminate, jaccard, langid, pieces, pii, sharding, tokencount, urlrules
 from .common import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,6 +97,11 @@ def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op5_personal_data")
+def op5_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.personal_data(table(spark, folder, "documents"), {"doc_id": "doc_id"})
+
+
 def held_out() -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(3)) == 1
 
