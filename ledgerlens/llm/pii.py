@@ -157,7 +157,7 @@ def features(span: Column) -> dict[str, Column]:
         "kind": span["kind"],
         "size": F.least(F.floor(span["size"] / 6), F.lit(6)).cast("int"),
         "share": F.floor(4 * span["digits"] / F.greatest(span["size"], F.lit(1))).cast("int"),
-        **{name: span[name] for name in LABELERS[1:]},
+        **{name: span[name] for name in LABELERS},
     }
 
 
@@ -215,8 +215,8 @@ def fit(docs: DataFrame, text: str = "text") -> Model:
     of votes and features, which are small integers.
     """
     spans = docs.select(F.explode(candidates(F.coalesce(column(text), F.lit("")))).alias("s"))
-    columns = {**features(F.col("s")), "strict": F.col("s.strict")}
-    rows = spans.groupBy(*[c.alias(n) for n, c in columns.items()]).count().collect()
+    columns = [c.alias(n) for n, c in features(F.col("s")).items()]
+    rows = spans.groupBy(*columns).count().collect()
     rows = sorted(rows)
     if not rows:
         return Model(-1.0, {}, {})
