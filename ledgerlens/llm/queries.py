@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, jaccard, langid, pieces, pii, sharding, tokencount, urlrules
+from . import ann, decontaminate, jaccard, langid, licenses, pieces, pii, sharding, tokencount, urlrules
 from .common import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +37,14 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_license_scan")
+def op1_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Notices of known licenses in all documents, near copies of the wording included."""
+    rows = [(k, license_, text) for k, (license_, text) in enumerate(licenses.NOTICES)]
+    templates = spark.createDataFrame(rows, "template_id int, license string, text string")
+    return licenses.license_matches(table(spark, folder, "documents"), templates, {"doc_id": "doc_id"})
+
+
 @query("op2_sharding")
 def op2_sharding(spark: SparkSession, folder: str) -> DataFrame:
     """Eight shards of all documents; row counts at most one apart."""
