@@ -19,17 +19,17 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD), F.lit(0))
 
 
-def gram_at(words: str, start: Column, size: int) -> Column:
+def gram_at(words: Column, start: Column, size: int) -> Column:
     """``size`` words from ``start`` (1-based), joined by spaces."""
     return F.concat_ws(" ", *[F.element_at(words, (start + k).cast("int")) for k in range(size)])
 
 
-def hash_at(words: str, start: Column, size: int) -> Column:
+def hash_at(words: Column, start: Column, size: int) -> Column:
     """Hash of ``size`` words from ``start`` (1-based), without joining them."""
     return F.xxhash64(*[F.element_at(words, (start + k).cast("int")) for k in range(size)])
 
 
-def starts(words: str, size: int) -> Column:
+def starts(words: Column, size: int) -> Column:
     """Start places of all windows of ``size`` words."""
     number = F.size(words)
     return F.when(number >= size, F.sequence(F.lit(1), number - (size - 1))).otherwise(
@@ -43,7 +43,7 @@ def test_windows(items: DataFrame, item_id: str, text: str, size: int) -> DataFr
     cut = cut.where("item IS NOT NULL AND size(w) > 0")
     whole = cut.where(F.size("w") < size).select("item", F.concat_ws(" ", "w").alias("gram"), F.size("w").alias("n"))
     long = cut.where(F.size("w") >= size)
-    grams = F.transform(starts("w", size), lambda i: gram_at("w", i, size))
+    grams = F.transform(starts(F.col("w"), size), lambda i: gram_at(F.col("w"), i, size))
     long = long.select("item", F.explode(grams).alias("gram"), F.lit(size).alias("n"))
     return long.unionByName(whole).distinct()
 
@@ -65,14 +65,24 @@ def span(start: Column, size: int, gram: Column) -> Column:
     return F.struct(start.alias("start"), F.lit(size).alias("n"), gram.alias("gram"))
 
 
-def spans_at(places: Column, size: int) -> Column:
-    return F.transform(places, lambda i: span(i, size, gram_at("_w", i, size)))
+def spans_at(words: Column, places: Column, size: int) -> Column:
+    return F.transform(places, lambda i: span(i, size, gram_at(words, i, size)))
 
 
-def verified(size: int, hashes: list[int], grams: list[str]) -> Column:
+def verified(words: Column, size: int, hashes: list[int], grams: list[str]) -> Column:
     """Windows of ``size`` words whose hash is in the set and whose words are, too."""
-    hits = F.filter(starts("_w", size), lambda i: hash_at("_w", i, size).isin(hashes))
-    return F.filter(spans_at(hits, size), lambda s: s["gram"].isin(grams))
+    hits = F.filter(starts(words, size), lambda i: hash_at(words, i, size).isin(hashes))
+    return F.filter(spans_at(words, hits, size), lambda s: s["gram"].isin(grams))
+
+
+def with_words(text: Column, make) -> Column:
+    """``make(words)`` with the words cut out once.
+
+    The words are bound as a lambda variable: as a column of their own, a filter that
+    Spark moves below it would cut the text anew for every window.
+    """
+    words = F.coalesce(words_of(text), F.array().cast("array<string>"))
+    return F.transform(F.array(words), make)[0]
 
 
 def scan(
@@ -86,30 +96,33 @@ def scan(
     plan and no row is moved; beyond it windows and test windows are joined.
     """
     windows = pin(test_windows(items, item_id, item_text, size))
-    out = docs.select(
-        *(column(c).alias(n) for n, c in keep.items()),
-        F.coalesce(words_of(column(text)), F.array().cast("array<string>")).alias("_w"),
-    )
+    out = docs.select(*(column(c).alias(n) for n, c in keep.items()), column(text).alias("_text"))
     empty = F.array().cast("array<struct<start:int,n:int,gram:string>>")
-    number = F.size("_w").cast("long").alias("n_words")
     sizes = [r["n"] for r in windows.select("n").distinct().orderBy("n").collect()]
     if windows.count() > set_size:
         out = pin(out.withColumn("_row", F.monotonically_increasing_id()))
-        every = [spans_at(starts("_w", n), n) for n in sizes]
-        own = out.select("_row", F.inline(F.concat(*every)))
+        every = with_words(
+            F.col("_text"), lambda w: F.concat(*[spans_at(w, starts(w, n), n) for n in sizes])
+        )
+        own = out.select("_row", F.inline(every))
         hits = own.join(windows.select("gram", "n").distinct(), ["gram", "n"])
         hits = hits.groupBy("_row").agg(F.array_sort(F.collect_set(F.struct("start", "n", "gram"))).alias("spans"))
         out = out.join(hits, "_row", "left")
-        return out.select(*keep, number, F.coalesce("spans", empty).alias("spans"))
-    found = [empty]
+        number = with_words(F.col("_text"), F.size)
+        return out.select(*keep, number.cast("long").alias("n_words"), F.coalesce("spans", empty).alias("spans"))
+    sets = []
     for n in sizes:
         own = windows.where(F.col("n") == n).select("gram").distinct()
         own = own.withColumn("_v", F.split("gram", " "))
-        rows = own.select("gram", hash_at("_v", F.lit(1), n).alias("hash")).collect()
-        hashes, grams = list({r["hash"] for r in rows}), [r["gram"] for r in rows]
-        found.append(verified(n, hashes, grams))
-    spans = F.array_sort(F.concat(*found)) if len(found) > 1 else empty
-    return out.select(*keep, number, spans.alias("spans"))
+        rows = own.select("gram", hash_at(F.col("_v"), F.lit(1), n).alias("hash")).collect()
+        sets.append((n, list({r["hash"] for r in rows}), [r["gram"] for r in rows]))
+
+    def look(words: Column) -> Column:
+        found = [verified(words, *own) for own in sets]
+        return F.struct(F.size(words).alias("n"), F.array_sort(F.concat(empty, *found)).alias("spans"))
+
+    out = out.withColumn("_f", with_words(F.col("_text"), look))
+    return out.select(*keep, F.col("_f.n").cast("long").alias("n_words"), F.col("_f.spans").alias("spans"))
 
 
 def contamination(
