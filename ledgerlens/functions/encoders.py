@@ -1,52 +1,14 @@
 """Text encoders for the similarity check: pandas batches of text → vectors.
 
 An encoder is a function ``list[str] -> 2-d array`` with unit-length rows. It runs
-inside Spark tasks on Arrow batches of *distinct* values only.
+inside Spark tasks on Arrow batches of *distinct* values only. None is shipped: the
+built-in n-gram vectors are column expressions (``operators.text.ngram_vectors``).
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable
 
 import numpy as np
 
 Encoder = Callable[[list[str]], np.ndarray]
-
-
-def trigram_encoder(dimension: int = 64) -> Encoder:
-    """Deterministic hashed character 3-grams; needs no model files."""
-
-    def encode(texts: list[str]) -> np.ndarray:
-        vectors = np.zeros((len(texts), dimension), dtype=np.float64)
-        for row, text in enumerate(texts):
-            padded = f"  {text.lower()} "
-            for i in range(len(padded) - 2):
-                gram = padded[i : i + 3].encode("utf-8")
-                vectors[row, zlib.crc32(gram) % dimension] += 1.0
-        norms = np.linalg.norm(vectors, axis=1, keepdims=True)
-        return vectors / np.where(norms == 0, 1.0, norms)
-
-    return encode
-
-
-def sentence_encoder(
-    model_name: str = "paraphrase-multilingual-MiniLM-L12-v2", batch_size: int = 128
-) -> Encoder:
-    """Sentence-transformer encoder; the model is loaded once per task."""
-    loaded: dict[str, object] = {}
-
-    def encode(texts: list[str]) -> np.ndarray:
-        if "model" not in loaded:
-            try:
-                from sentence_transformers import SentenceTransformer
-            except ImportError as error:  # optional dependency
-                raise RuntimeError(
-                    "sentence_encoder needs the sentence_transformers package"
-                ) from error
-            loaded["model"] = SentenceTransformer(model_name)
-        return loaded["model"].encode(
-            texts, batch_size=batch_size, normalize_embeddings=True
-        )
-
-    return encode

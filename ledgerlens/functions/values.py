@@ -17,13 +17,18 @@ def flag(condition: Column) -> Column:
 def cents(amount: Column) -> Column:
     """Whole cents as long: two decimals, ties to even.
 
-    Scales by 100 and rounds the double, so doubles round as NumPy rounds them, and
-    decimals round exactly. No decimal arithmetic per row. NaN and values beyond the
-    long range give null.
+    Scales by 100 and rounds the double, so doubles round as NumPy rounds them; the
+    nearest double of a decimal with two places has the right cents below 2^53. NaN and
+    values beyond the long range give null. ``exact_cents`` is for larger decimals.
     """
     return F.rint(amount * F.lit(100)).try_cast("long")
 
 
+def exact_cents(amount: Column) -> Column:
+    """Whole cents of a decimal as long: ties to even, exact at any size."""
+    return F.bround(amount * F.lit(100), 0).try_cast("long")
+
+
 def from_cents(whole: Column) -> Column:
     """Cents → amount as double."""
     return whole / F.lit(100.0)

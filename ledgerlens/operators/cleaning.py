@@ -63,8 +63,8 @@ def propagate_to_lines(
 def attach_line_count(
     header: DataFrame, counts: DataFrame, key: str, name: str = "line_count"
 ) -> DataFrame:
-    """Left join of a count per key as short; no lines gives null."""
-    return attach(header, counts, key).withColumn(name, F.col(name).cast("short"))
+    """Left join of a count per key as int; no lines gives null."""
+    return attach(header, counts, key).withColumn(name, F.col(name).cast("int"))
 
 
 def placeholders_to_null(

@@ -6,6 +6,7 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: rows up to which a *counted* result side may be broadcast
 BROADCAST_ROWS = 100_000
@@ -32,9 +33,15 @@ def attach(
     right partitioning, gets no shuffle of its own and so blocks the split. Joining
     on (hash of key, key) makes Spark shuffle that side once more, which is cheap as
     it is slim, and leaves both sides splittable. If it turns out small, AQE turns
-    the join into a broadcast instead.
+    the join into a broadcast instead. A side of one row per order (line totals, line
+    counts) is not slim; its second shuffle is the price of splitting hot keys.
+
+    Keys of different types are cast to their common type first: hashes of an int and
+    of the equal bigint differ. Types without a common one, such as text and numbers,
+    are refused.
     """
     keys = [on] if isinstance(on, str) else list(on)
+    left, right = with_common_keys(left, right, keys)
     digest = F.xxhash64(*keys)
     joined = left.withColumn("_key_hash", digest).join(
         right.withColumn("_key_hash", digest), ["_key_hash", *keys], how
@@ -43,6 +50,24 @@ def attach(
     return joined.select(*(left.columns if how in ("left_semi", "left_anti") else columns))
 
 
+def with_common_keys(
+    left: DataFrame, right: DataFrame, keys: list[str]
+) -> tuple[DataFrame, DataFrame]:
+    """Both sides with their keys in one type each; unchanged where types agree."""
+    widest = None
+    for key in keys:
+        a, b = left.schema[key].dataType, right.schema[key].dataType
+        if a == b:
+            continue
+        if isinstance(a, T.StringType) != isinstance(b, T.StringType):
+            raise TypeError(f"key {key}: {a.simpleString()} and {b.simpleString()}")
+        if widest is None:  # Spark's own rules for the union of both sides
+            widest = left.select(*keys).union(right.select(*keys)).schema
+        cast = F.col(key).cast(widest[key].dataType)
+        left, right = left.withColumn(key, cast), right.withColumn(key, cast)
+    return left, right
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the cluster's shared checkpoint folder; a temporary one only locally."""
     context = spark.sparkContext

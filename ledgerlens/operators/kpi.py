@@ -15,9 +15,11 @@ from .uniqueness import uniqueness
 
 
 def to_long(row: DataFrame) -> DataFrame:
-    """One-row frame → (metric, value); booleans 1/0, null or non-numeric 0."""
+    """One-row frame → (metric, value); booleans 1/0, null, NaN or non-numeric 0."""
     cast = [
-        F.coalesce(F.col(c).cast("string").try_cast("double"), _truth(c)).alias(c)
+        F.coalesce(
+            F.nanvl(F.col(c).cast("string").try_cast("double"), F.lit(0.0)), _truth(c)
+        ).alias(c)
         for c in row.columns
     ]
     return row.select(*cast).unpivot([], row.columns, "metric", "value")
@@ -41,6 +43,12 @@ def stack_rows(rows: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [to_long(r) for r in rows])
 
 
+def with_not_run(kpis: DataFrame, metrics: list[str]) -> DataFrame:
+    """Null instead of a number for checks that did not run."""
+    ran = ~F.col("metric").isin(metrics)
+    return kpis.withColumn("value", F.when(ran, F.col("value"))) if metrics else kpis
+
+
 def _null_row_pct(df: DataFrame, exclude: list[str]) -> Column:
     checked = [c for c in df.columns if c not in exclude]
     return F.coalesce(average(any_null(checked)) * 100.0, F.lit(0.0))
@@ -169,7 +177,10 @@ DUPLICATES = "count_duplicate_rows"
 
 
 def issue_rollup(counts: DataFrame) -> DataFrame:
-    """One row: three issue groups, their total plus duplicates, and the counts."""
+    """One row: three issue groups, their total plus duplicates, and the counts.
+
+    A count that is missing from the input is null, "not run", and adds nothing.
+    """
     parts = [*NUMERIC_ISSUES, *TEXT_ISSUES, *PLAUSIBILITY_ISSUES, DUPLICATES]
     wide = to_wide(counts, parts)
 
@@ -192,28 +203,28 @@ def issue_rollup(counts: DataFrame) -> DataFrame:
         total(TEXT_ISSUES).cast("long").alias("text_issues"),
         total(PLAUSIBILITY_ISSUES).cast("long").alias("plausibility_issues"),
         total(parts).cast("long").alias("overall_issues"),
-        *[F.coalesce(c, F.lit(0.0)).cast("long").alias(c) for c in kept],
+        *[F.col(c).cast("long").alias(c) for c in kept],  # null: the check did not run
     )
 
 
 def compare_runs(current: DataFrame, previous: DataFrame | None) -> DataFrame:
-    """Change of each metric against the previous run; missing old values are 0.
+    """Change of each metric against the previous run; missing old metrics are 0.
 
-    Percent: 0 → 0 is 0, 0 → x is 100, else change / old · 100 with two decimals.
+    Percent: 0 → 0 is 0, 0 → x is 100, else change / old · 100 with two decimals. A
+    null value means that the check did not run; its changes are null.
     """
     new = current.select("metric", F.col("value").alias("current_value"))
     if previous is None:
         both = new.withColumn("old_value", F.lit(0.0))
     else:
-        old = previous.select("metric", F.col("value").alias("old_value"))
-        both = new.join(old, "metric", "left").withColumn(
-            "old_value", F.coalesce("old_value", F.lit(0.0))
-        )
+        old = previous.select("metric", F.struct("value").alias("old"))
+        value = F.when(F.col("old").isNull(), 0.0).otherwise(F.col("old.value"))
+        both = new.join(old, "metric", "left").withColumn("old_value", value).drop("old")
     change = F.col("current_value") - F.col("old_value")
     relative = (
         F.when(F.col("old_value") != 0, F.bround(percent(change, F.col("old_value")), 2))
         .when(F.col("current_value") == 0, 0.0)
-        .otherwise(100.0)
+        .when(change.isNotNull(), 100.0)
     )
     return both.select(
         "metric",

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -51,44 +50,58 @@ def keyword_verdict(company: Column, trade: Column, rules: Rules) -> Column:
     ``CONFLICT_WITH_<LABEL>`` for the first other rule that matches, else
     ``NO_KEYWORD_INFO``. Keywords are plain substrings of the lowercased name.
     """
-    return _verdict(F.lower(company), trade, rules)
+    return _verdict(matching_labels(company, rules_array(rules)), trade)
 
 
-def _verdict(name: Column, trade: Column, rules: Rules) -> Column:
-    # plain conditions in rule order: they stay in generated code, lambdas would not
-    confirmed, conflicts = [], []
-    for label, words in rules:
-        if not words:
-            continue
-        match = reduce(lambda a, b: a | b, [F.contains(name, F.lit(w.lower())) for w in words])
-        own = trade.eqNullSafe(F.lit(label))
-        confirmed.append(F.when(own & match, F.lit("CONFIRMED_BY_NAME")))
-        conflict = F.lit(f"CONFLICT_WITH_{label.upper()}")
-        conflicts.append(F.when(~own & match, conflict))
-    return F.coalesce(*confirmed, *conflicts, F.lit("NO_KEYWORD_INFO"))
+def rules_array(rules: Rules | DataFrame) -> Column:
+    """Rules as one array of (label, lower-case words) in order of priority.
 
-
-def with_keyword_verdict(
-    df: DataFrame, company: str, trade: str, rules: Rules, name: str = "check_result"
-) -> DataFrame:
-    """Add the verdict; the name is lowercased once per row, not once per keyword."""
-    lowered = df.withColumn("_name", F.lower(F.col(company)))
-    return lowered.withColumn(name, _verdict(F.col("_name"), F.col(trade), rules)).drop("_name")
+    A list becomes a literal; a table (priority, label, keywords) a scalar subquery, so
+    that it never passes through the driver.
+    """
+    if isinstance(rules, DataFrame):
+        words = F.transform("keywords", F.lower)
+        rule = F.struct("priority", "label", words.alias("words"))
+        return rules.agg(F.array_sort(F.collect_list(rule))).scalar()
+    if not rules:
+        return F.array().cast("array<struct<label:string,words:array<string>>>")
+    words = [F.array(*[F.lit(w.lower()) for w in found]).cast("array<string>") for _, found in rules]
+    return F.array(
+        *[F.struct(F.lit(r[0]).alias("label"), w.alias("words")) for r, w in zip(rules, words)]
+    )
 
 
-def load_keyword_rules(rows: DataFrame, max_rules: int = 10_000) -> Rules:
-    """Rules from a table (priority, label, keywords array).
+def matching_labels(company: Column, rules: Column) -> Column:
+    """Labels of the rules with a keyword in the name, by priority.
 
-    A rule table is small by nature; more than ``max_rules`` rows is an error.
+    The plan has one lambda whatever the number of rules, so it compiles for any table.
     """
-    found = rows.orderBy("priority").limit(max_rules + 1).collect()
-    if len(found) > max_rules:
-        raise ValueError(f"more than {max_rules} keyword rules")
-    return [(row["label"], list(row["keywords"])) for row in found]
+    name = F.lower(company)
+    hit = F.filter(rules, lambda r: F.exists(r["words"], lambda w: F.contains(name, w)))
+    return F.transform(hit, lambda r: r["label"])
+
+
+def _verdict(labels: Column, trade: Column) -> Column:
+    other = F.filter(labels, lambda label: ~label.eqNullSafe(trade))
+    conflict = F.concat(F.lit("CONFLICT_WITH_"), F.upper(F.try_element_at(other, F.lit(1))))
+    confirmed = F.when(F.array_contains(labels, trade), F.lit("CONFIRMED_BY_NAME"))
+    return F.coalesce(confirmed, conflict, F.lit("NO_KEYWORD_INFO"))
+
+
+def with_keyword_verdict(
+    df: DataFrame, company: str, trade: str, rules: Rules | DataFrame, name: str = "check_result"
+) -> DataFrame:
+    """Add the verdict; each distinct name is matched with the keywords once."""
+    names = not_null(df.select(F.col(company).alias("_name")), ["_name"]).distinct()
+    labels = matching_labels(F.col("_name"), F.col("_rules")).alias("_labels")
+    labelled = names.withColumn("_rules", rules_array(rules))
+    labelled = labelled.select(F.col("_name").alias(company), labels)
+    verdict = _verdict(F.col("_labels"), F.col(trade))
+    return attach(df, labelled, company).withColumn(name, verdict).drop("_labels")
 
 
 def association_outliers(
-    stats: DataFrame, company: str, trade: str, rules: Rules
+    stats: DataFrame, company: str, trade: str, rules: Rules | DataFrame
 ) -> DataFrame:
     """Flagged pairs only, with the verdict of the keyword rules."""
     return with_keyword_verdict(stats.filter("is_outlier"), company, trade, rules)
@@ -103,7 +116,9 @@ def encode_distinct(
 ) -> DataFrame:
     """One unit vector per distinct non-null value: columns ``value``, ``vector``.
 
-    Each distinct value is encoded once, in Arrow batches on the executors.
+    Each distinct value is encoded once, in Arrow batches on the executors. The values
+    are spread over ``partitions`` tasks (default: one per core of the cluster), as the
+    encoder is what costs; without that a small set of values would be one task.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -115,11 +130,37 @@ def encode_distinct(
                 )
 
     values = not_null(df.select(F.col(column).alias("value")), ["value"]).distinct()
-    if partitions:
-        values = values.repartition(partitions, "value")
+    tasks = partitions or max(df.sparkSession.sparkContext.defaultParallelism, 2)
+    # by a hash: Spark would take a shuffle on the value itself for the one just made
+    values = values.repartition(tasks, F.xxhash64("value"))
     return values.mapInPandas(run, "value string, vector array<double>")
 
 
+def ngram_vectors(df: DataFrame, column: str, dimension: int = 64, size: int = 3) -> DataFrame:
+    """Built-in encoder: hashed character n-grams as unit vectors (``value``, ``vector``).
+
+    The lower-cased value is padded by ``size`` - 1 spaces in front and one behind; an
+    n-gram counts in the place that the first 32 bits of its MD5 give. Column
+    expressions only, each distinct value once.
+    """
+    values = not_null(df.select(F.col(column).alias("value")), ["value"]).distinct()
+    padded = F.concat(F.lit(" " * (size - 1)), F.lower("value"), F.lit(" "))
+    places = F.sequence(F.lit(1), F.char_length(padded) - (size - 1))
+    grams = F.transform(places, lambda i: F.substring(padded, i, size))
+    buckets = F.transform(
+        grams, lambda g: F.conv(F.substring(F.md5(g), 1, 8), 16, 10).cast("long") % dimension
+    )
+    counted = values.withColumn("_b", buckets)
+    numbers = F.transform(
+        F.sequence(F.lit(0), F.lit(dimension - 1)),
+        lambda k: F.size(F.filter("_b", lambda b: b == k)).cast("double"),
+    )
+    counted = counted.select("value", numbers.alias("_n"))
+    norm = F.sqrt(dot(F.col("_n"), F.col("_n")))
+    normed = counted.withColumn("_norm", norm)
+    return normed.select("value", F.transform("_n", lambda x: x / F.col("_norm")).alias("vector"))
+
+
 def dot(left: Column, right: Column) -> Column:
     """Sum of products of two number arrays."""
     products = F.zip_with(left, right, lambda x, y: x.cast("double") * y.cast("double"))

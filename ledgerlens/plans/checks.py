@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..operators import checks, kpi
+from ..operators import checks, cleaning, kpi
 from . import frames
 from .registry import query
 
@@ -300,6 +300,58 @@ def header_line_reconciliation(spark, folder):
     return reconciliation(spark, folder)
 
 
+# Header amounts made from the line sums: equal, within half a cent, beyond it, null.
+_AMOUNTS_SQL = f"""sums AS (
+  SELECT o_orderkey AS order_id, coalesce(claimed_sum, 0) AS claimed_sum,
+    coalesce(agreed_sum, 0) AS agreed_sum
+  FROM orders LEFT JOIN (
+    SELECT l_orderkey, sum(l_extendedprice) AS claimed_sum,
+      sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)) AS agreed_sum
+    FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey),
+amounts AS (
+  SELECT *, claimed_sum + CASE order_id % 4 WHEN 1 THEN 0.004::DOUBLE WHEN 2 THEN 0.02::DOUBLE
+      ELSE 0::DOUBLE END AS claimed,
+    CASE WHEN order_id % 97 <> 0 THEN agreed_sum + CASE order_id % 5 WHEN 0 THEN 0.004::DOUBLE
+      WHEN 1 THEN -5::DOUBLE ELSE 0::DOUBLE END END AS agreed FROM sums),
+gaps AS (
+  SELECT order_id, {_CENTS("claimed - claimed_sum")} AS claimed_diff,
+    {_CENTS("agreed - agreed_sum")} AS agreed_diff FROM amounts)"""
+_AMOUNT_ROWS_SQL = f"""WITH {_AMOUNTS_SQL} SELECT order_id,
+      claimed_diff / 100.0::DOUBLE AS claimed_diff, agreed_diff / 100.0::DOUBLE AS agreed_diff
+    FROM gaps WHERE {_OFF}"""
+
+
+def made_amounts(spark, folder):
+    """Headers with amounts near their line sums, and the line totals."""
+    totals = checks.line_totals(frames.lines(spark, folder), "order_id", "claimed", "agreed")
+    orders = frames.table(spark, folder, "orders").select(F.col("o_orderkey").alias("order_id"))
+    joined = orders.join(totals, "order_id", "left")
+    key, zero = F.col("order_id"), F.lit(0.0)
+    claimed = F.when(key % 4 == 1, 0.004).when(key % 4 == 2, 0.02).otherwise(0.0)
+    agreed = F.when(key % 5 == 0, 0.004).when(key % 5 == 1, -5.0).otherwise(0.0)
+    header = joined.select(
+        "order_id",
+        (F.coalesce("claimed_sum", zero) + claimed).alias("claimed"),
+        F.when(key % 97 != 0, F.coalesce("agreed_sum", zero) + agreed).alias("agreed"),
+    )
+    return header, totals
+
+
+@query("r14_reconciled_amounts", _AMOUNT_ROWS_SQL)
+def reconciled_amounts(spark, folder):
+    header, totals = made_amounts(spark, folder)
+    return checks.reconciliation_rows(header, totals, "order_id", "claimed", "agreed", [])
+
+
+@query("r14_narrowed_header", _AMOUNT_ROWS_SQL)
+def narrowed_header(spark, folder):
+    """The header's key as int, that of the lines as bigint."""
+    header, totals = made_amounts(spark, folder)
+    narrow = cleaning.narrow_integers(header)
+    found = checks.reconciliation_rows(narrow, totals, "order_id", "claimed", "agreed", [])
+    return found.withColumn("order_id", F.col("order_id").cast("long"))
+
+
 _SHARES = {
     "count_pro_forma": ["count_total_orders"],
     "count_high_value": ["count_total_orders"],

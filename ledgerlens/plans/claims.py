@@ -122,8 +122,8 @@ COMPARISON_NAMES = {
 class Settings:
     """What a run needs besides the data."""
 
-    keyword_rules: text.Rules
-    encoder: Encoder | None = None  # None leaves the semantic check empty
+    keyword_rules: text.Rules | DataFrame
+    encoder: Encoder | None = None  # None: the semantic check does not run, its count is null
     time_dedupe: bool = False
     rotate: bool = False  # keep this run and the one before it, drop older ones
 
@@ -291,7 +291,11 @@ def run(
     raw_positions = read_table(spark, sources["positions"])
     times = read_table(spark, sources["times"])
 
-    timed = time_orders(cleaning.narrow_integers(raw_orders), times, settings.time_dedupe)
+    timed = store.put(
+        run_id,
+        "_timed_orders",
+        time_orders(cleaning.narrow_integers(raw_orders), times, settings.time_dedupe),
+    )
     positions = store.put(run_id, "positionsdaten", clean_positions(raw_positions, timed))
     totals = store.put(
         run_id,
@@ -309,11 +313,13 @@ def run(
 
     # counts of stored tables come from Parquet footers
     values = kpi.scalar_kpis(orders, positions, ORDER, POSITION)
-    for metric, name in (
-        ("count_sum_mismatch", "metric_order_pos_mismatch"),
-        ("count_association_outliers", "metric_handwerker_outliers"),
-        ("count_semantic_outliers", "metric_semantic_mismatches"),
-    ):
+    counted = {
+        "count_sum_mismatch": "metric_order_pos_mismatch",
+        "count_association_outliers": "metric_handwerker_outliers",
+    }
+    if settings.encoder is not None:
+        counted["count_semantic_outliers"] = "metric_semantic_mismatches"
+    for metric, name in counted.items():
         values = values.unionByName(kpi.count_metric(stored[name], metric))
     values = store.put(run_id, "_kpi_values", values)
     stored["scalar_metrics"] = store.put(
@@ -341,9 +347,11 @@ def run(
 
 
 def _long(scalars: DataFrame, issues: DataFrame) -> DataFrame:
-    """Both KPI rows as (metric, value), each metric once."""
+    """Both KPI rows as (metric, value), each metric once; null means "not run"."""
     new = [c for c in issues.columns if c not in scalars.columns]
-    return kpi.stack_rows([scalars, issues.select(*new)])
+    stacked = kpi.stack_rows([scalars, issues.select(*new)])
+    row = issues.first()  # one row
+    return kpi.with_not_run(stacked, [c for c in new if row[c] is None])
 
 
 def duplicate_numbers(orders: DataFrame) -> DataFrame:

@@ -86,7 +86,7 @@ def propagate_timestamp(spark, folder):
 
 @query(
     "c3_attach_line_count",
-    """SELECT o_orderkey AS order_id, o_orderdate, CAST(n AS SMALLINT) AS line_count
+    """SELECT o_orderkey AS order_id, o_orderdate, CAST(n AS INTEGER) AS line_count
     FROM orders LEFT JOIN (SELECT l_orderkey, count(l_linenumber) AS n FROM lineitem
       GROUP BY l_orderkey) ON o_orderkey = l_orderkey""",
 )
@@ -98,6 +98,19 @@ def attach_line_count(spark, folder):
     return cleaning.attach_line_count(orders, counts, "order_id")
 
 
+@query(
+    "c3_attach_line_count_narrowed",
+    """SELECT o_orderkey::INTEGER::BIGINT AS order_id, CAST(n AS INTEGER) AS line_count
+    FROM orders LEFT JOIN (SELECT l_orderkey, count(l_linenumber) AS n FROM lineitem
+      GROUP BY l_orderkey) ON o_orderkey = l_orderkey""",
+)
+def attach_line_count_narrowed(spark, folder):
+    """Narrowed header keys against the keys of the lines as they are."""
+    counts = timeagg.line_counts(frames.lines(spark, folder), "order_id", "line_no")
+    orders = frames.table(spark, folder, "orders").select(F.col("o_orderkey").alias("order_id"))
+    return cleaning.attach_line_count(cleaning.narrow_integers(orders), counts, "order_id")
+
+
 @query("c4_placeholder_to_null", f"WITH {frames.CLEAN_ORDERS_SQL} SELECT * FROM clean")
 def placeholder_to_null(spark, folder):
     return frames.clean_orders(spark, folder)

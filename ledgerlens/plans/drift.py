@@ -150,6 +150,31 @@ def drift_report_orders(spark, folder):
     return _rounded(drift.drift_report(orders, ORDER_ROLES, YEAR_1995, YEAR_1996))
 
 
+# Amounts and labels of the later year are moved, so that both kinds drift.
+_MOVED_SQL = """(SELECT o_orderdate,
+  o_totalprice * CASE WHEN year(o_orderdate) = 1996 THEN 1.5::DOUBLE ELSE 1::DOUBLE END AS moved,
+  o_totalprice AS kept,
+  CASE WHEN year(o_orderdate) = 1996 AND o_orderstatus = 'F' THEN 'O' ELSE o_orderstatus END
+    AS label FROM orders)"""
+MOVED_ROLES = DriftRoles("o_orderdate", ["moved", "kept"], ["label"])
+
+
+@query(
+    "d4_drift_report_moved",
+    _report_sql(_MOVED_SQL, "o_orderdate", MOVED_ROLES, YEAR_1995, YEAR_1996),
+)
+def drift_report_moved(spark, folder):
+    later = F.year("o_orderdate") == 1996
+    orders = frames.table(spark, folder, "orders").select(
+        "o_orderdate",
+        (F.col("o_totalprice") * F.when(later, 1.5).otherwise(1.0)).alias("moved"),
+        F.col("o_totalprice").alias("kept"),
+        F.when(later & (F.col("o_orderstatus") == "F"), "O")
+        .otherwise(F.col("o_orderstatus")).alias("label"),
+    )
+    return _rounded(drift.drift_report(orders, MOVED_ROLES, YEAR_1995, YEAR_1996))
+
+
 @query(
     "d4_drift_report_lines",
     _report_sql("lineitem", "l_shipdate", LINE_ROLES, YEAR_1995, YEAR_1996),

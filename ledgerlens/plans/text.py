@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.encoders import trigram_encoder
 from ..operators import text
 from . import frames
 from .registry import query
@@ -15,6 +14,19 @@ PART_RULES = [
     ("SMALL", ["ring", "gear"]),
     ("PROMO", ["gizmo", "anvil"]),
 ]
+# Many rules, as a trade keyword table has: 64 labels with six phrases each.
+_COLOURS = ["blue", "cold", "hot", "large", "new", "old", "red", "small"]
+_THINGS = ["anvil", "bolt", "gear", "gizmo", "plate", "ring", "rod", "widget"]
+MANY_RULES = [
+    (
+        ["STANDARD", "ECONOMY", "MEDIUM", "PROMO", "LARGE", "SMALL"][(5 * i + j) % 6]
+        if (i + j) % 3 == 0 else f"TRADE {i}{j}",
+        [f"{_COLOURS[i]} {_THINGS[(j + k) % 8]}" for k in (0, 3)]
+        + [f"{colour}-{_THINGS[j]}" for colour in ("grey", "pink", "white", "black")],
+    )
+    for i in range(8)
+    for j in range(8)
+]
 
 
 def supplier_types(spark, folder):
@@ -42,15 +54,15 @@ def association_stats(spark, folder):
     return supplier_types(spark, folder)
 
 
-def _verdict_sql(name: str, trade: str) -> str:
-    hit = {
-        label: "(" + " OR ".join(f"contains(lower({name}), '{w}')" for w in words) + ")"
-        for label, words in PART_RULES
-    }
-    own = " OR ".join(f"({hit[label]} AND {trade} = '{label}')" for label in hit)
+def _verdict_sql(name: str, trade: str, rules=PART_RULES) -> str:
+    hits = [
+        (label, "(" + " OR ".join(f"contains(lower({name}), '{w}')" for w in words) + ")")
+        for label, words in rules
+    ]
+    own = " OR ".join(f"({hit} AND {trade} = '{label}')" for label, hit in hits)
     conflicts = " ".join(
-        f"WHEN {hit[label]} AND {trade} IS DISTINCT FROM '{label}' THEN 'CONFLICT_WITH_{label}'"
-        for label in hit
+        f"WHEN {hit} AND {trade} IS DISTINCT FROM '{label}' THEN 'CONFLICT_WITH_{label}'"
+        for label, hit in hits
     )
     return f"CASE WHEN {own} THEN 'CONFIRMED_BY_NAME' {conflicts} ELSE 'NO_KEYWORD_INFO' END"
 
@@ -98,6 +110,17 @@ def keyword_classification(spark, folder):
     return text.with_keyword_verdict(part, "p_name", "p_type", PART_RULES)
 
 
+@query(
+    "t3_keyword_classification_many_rules",
+    f"""SELECT p_partkey, p_name, p_type, {_verdict_sql('p_name', 'p_type', MANY_RULES)}
+      AS check_result
+    FROM part""",
+)
+def keyword_classification_many_rules(spark, folder):
+    part = frames.table(spark, folder, "part").select("p_partkey", "p_name", "p_type")
+    return text.with_keyword_verdict(part, "p_name", "p_type", MANY_RULES)
+
+
 NEIGHBOUR_SQL = """neighbours AS (
   SELECT a.vec_id AS company, b.vec_id AS trade, list_cosine_similarity(
       CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS similarity
@@ -126,25 +149,51 @@ def semantic_mismatch(spark, folder):
 def part_name_mismatches(spark, folder):
     """Part names against part types, with the built-in 3-gram encoder."""
     part = frames.table(spark, folder, "part").select("p_partkey", "p_name", "p_type")
-    encoder = trigram_encoder()
     return text.semantic_mismatches(
         part,
         "p_name",
         "p_type",
-        text.encode_distinct(part, "p_name", encoder),
-        text.encode_distinct(part, "p_type", encoder),
+        text.ngram_vectors(part, "p_name"),
+        text.ngram_vectors(part, "p_type"),
     )
 
 
-@query("t4_semantic_mismatch_encoded")
+def _vectors_sql(name: str, column: str) -> str:
+    """CTEs: distinct values of a part column with their 3-gram vectors."""
+    return f"""{name}_buckets AS (
+  SELECT value, list_transform(range(1, length(value) + 2), lambda i:
+      ('0x' || substr(md5(substr('  ' || lower(value) || ' ', i, 3)), 1, 8))::BIGINT % 64) AS b
+  FROM (SELECT DISTINCT {column} AS value FROM part WHERE {column} IS NOT NULL)),
+{name}_counts AS (
+  SELECT value, list_transform(range(0, 64), lambda k:
+      len(list_filter(b, lambda x: x = k))::DOUBLE) AS n FROM {name}_buckets),
+{name} AS (
+  SELECT value, list_transform(n, lambda x: x / sqrt(list_dot_product(n, n))) AS vector
+  FROM {name}_counts)"""
+
+
+@query(
+    "t4_semantic_mismatch_encoded",
+    f"""WITH {_vectors_sql("names", "p_name")}, {_vectors_sql("types", "p_type")},
+    scored AS (
+      SELECT p_partkey, p_name, p_type, list_cosine_similarity(a.vector, b.vector) AS similarity
+      FROM part JOIN names a ON a.value = p_name JOIN types b ON b.value = p_type)
+    SELECT p_partkey, p_name, p_type, round(similarity, 9) AS similarity FROM scored
+    WHERE similarity < 0.2""",
+)
 def semantic_mismatch_encoded(spark, folder):
-    return part_name_mismatches(spark, folder)
+    found = part_name_mismatches(spark, folder)
+    return found.withColumn("similarity", F.round("similarity", 9))
 
 
-@query("t5_distinct_value_encode")
+@query(
+    "t5_distinct_value_encode",
+    f"""WITH {_vectors_sql("names", "p_name")}
+    SELECT value, list_transform(vector, lambda x: round(x, 9)) AS vector FROM names""",
+)
 def distinct_value_encode(spark, folder):
-    part = frames.table(spark, folder, "part")
-    return text.encode_distinct(part, "p_name", trigram_encoder())
+    vectors = text.ngram_vectors(frames.table(spark, folder, "part"), "p_name")
+    return vectors.withColumn("vector", F.transform("vector", lambda x: F.round(x, 9)))
 
 
 @query(

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.drift import Day, ordered
-from .tables import read_raw, write_table
+from .tables import read_if_there, read_raw, write_table
 
 KEYS = ["source", "reference_start", "reference_end", "current_start", "current_end"]
 
@@ -35,19 +34,16 @@ class DriftStore:
     ) -> DataFrame:
         """The stored report, or a new one if there is none or on ``refresh``."""
         path = self._path([source, *ordered(*reference), *ordered(*current)])
-        if not refresh:
-            try:
-                return read_raw(self.spark, path)
-            except AnalysisException:
-                pass
+        stored = None if refresh else read_if_there(self.spark, path)
+        if stored is not None:
+            return stored
         write_table(compute().coalesce(1), path)
         return read_raw(self.spark, path)
 
     def catalogue(self) -> DataFrame:
         """Source and date ranges of all stored reports."""
-        try:
-            stored = read_raw(self.spark, self.root)
-        except AnalysisException:
+        stored = read_if_there(self.spark, self.root)
+        if stored is None:
             schema = ", ".join(f"{k} string" for k in KEYS)
             return self.spark.createDataFrame([], schema)
         return stored.select(*[F.col(k).cast("string") for k in KEYS]).distinct()

@@ -1,22 +1,22 @@
 """Named result tables of batch runs, with the previous run at hand.
 
 Layout under a root folder: ``run_id=<id>/<table>`` for results and a ``_manifest_rows``
-table (run_id, table_name) that says what a run has written. A table is listed once
-its data are complete, so a job that lost its way leaves nothing half listed. Run ids
-sort by time; "previous" is the greatest id below the current one.
+table (run_id, table_name), partitioned by run, that says what a run has written. A
+table is listed once its data are complete, so a job that lost its way leaves nothing
+half listed; a run that is dropped loses its part of the list first. The list is never
+rewritten. Run ids sort by time; "previous" is the greatest id below the current one.
 """
 
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import read_raw, write_table
+from .tables import read_if_there, read_raw, write_table
 
-_MANIFEST = "run_id string, table_name string"
+_MANIFEST = "table_name string, run_id string"
 
 
 class RunStore:
@@ -30,10 +30,10 @@ class RunStore:
         return f"{self.root}/run_id={run_id}/{name}"
 
     def manifest(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(_MANIFEST).parquet(f"{self.root}/_manifest_rows")
-        except AnalysisException:
+        path = f"{self.root}/_manifest_rows"
+        if read_if_there(self.spark, path) is None:
             return self.spark.createDataFrame([], _MANIFEST)
+        return self.spark.read.schema(_MANIFEST).parquet(path)
 
     def put(self, run_id: str, name: str, df: DataFrame) -> DataFrame:
         """Write one table without listing it, and return it as stored."""
@@ -50,8 +50,8 @@ class RunStore:
 
     def publish(self, run_id: str, names: list[str]) -> None:
         """List tables of a run; call it when all of them are written."""
-        rows = self.spark.createDataFrame([(run_id, n) for n in names], _MANIFEST)
-        rows.coalesce(1).write.mode("append").parquet(f"{self.root}/_manifest_rows")
+        rows = self.spark.createDataFrame([(n, run_id) for n in names], _MANIFEST).coalesce(1)
+        rows.write.mode("append").partitionBy("run_id").parquet(f"{self.root}/_manifest_rows")
 
     def write(self, run_id: str, tables: dict[str, DataFrame]) -> None:
         """Write the tables of a run, then list them."""
@@ -89,21 +89,21 @@ class RunStore:
     def drop_older(self, run_id: str) -> list[str]:
         """Keep a run and its previous one, drop the results of all before.
 
-        The manifest is rewritten first, so readers never see a dropped table.
+        Of each run its part of the manifest goes first, then its tables: readers never
+        see a dropped table, and a driver lost in between leaves tables nobody lists.
         """
         keep = self.previous(run_id)
         if keep is None:
             return []
-        rows = self.manifest().collect()  # run names only, a few per run
-        old = sorted({r["run_id"] for r in rows if r["run_id"] < keep})
-        if not old:
-            return []
-        left = [(r["run_id"], r["table_name"]) for r in rows if r["run_id"] >= keep]
-        rewritten = self.spark.createDataFrame(left, _MANIFEST).coalesce(1)
-        rewritten.write.mode("overwrite").parquet(f"{self.root}/_manifest_rows")
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        runs = self.manifest().filter(F.col("run_id") < keep).select("run_id").distinct()
+        old = sorted(r["run_id"] for r in runs.collect())  # one row per run
         for old_id in old:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/run_id={old_id}")
-            path.getFileSystem(conf).delete(path, True)
+            self._delete(f"{self.root}/_manifest_rows/run_id={old_id}")
+            self._delete(f"{self.root}/run_id={old_id}")
         return old
+
+    def _delete(self, folder: str) -> None:
+        """Remove a folder of the store; Spark itself has no call for that."""
+        context = self.spark.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

@@ -4,7 +4,7 @@ from datetime import datetime
 
 import pytest
 
-from ledgerlens.functions.encoders import trigram_encoder
+from encoder_helper import trigram_encoder
 from ledgerlens.operators import kpi
 from ledgerlens.plans import claims
 from ledgerlens.sources.drift_store import DriftStore
@@ -266,4 +266,9 @@ def test_claims_run_without_encoder_on_clean_data(spark, tmp_path):
     store = claims.run(spark, paths, str(tmp_path / "out"), "r1", claims.Settings([]))
     assert store.read("r1", "metric_fn_stats_df2").columns == ["Kategorie", "Anzahl"]
     assert store.read("r1", "metric_semantic_mismatches").count() == 0
-    assert store.read("r1", "issues").first()["overall_issues"] == 0
+    issues = store.read("r1", "issues").first()
+    assert issues["overall_issues"] == 0
+    assert issues["count_semantic_outliers"] is None  # not run is not "no finding"
+    again = claims.run(spark, paths, str(tmp_path / "out"), "r2", claims.Settings([]))
+    row = again.read("r2", "metric_comparison").filter("Metric = 'count_semantic_outliers'").first()
+    assert row["Current_Value"] is None and row["Percent_Change"] is None

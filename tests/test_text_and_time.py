@@ -3,7 +3,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.encoders import trigram_encoder
+from encoder_helper import trigram_encoder
 from ledgerlens.operators import text, timeagg
 
 RULES = [
@@ -46,9 +46,44 @@ def test_rules_from_a_table_keep_their_order(spark):
     table = spark.createDataFrame(
         [(2, "B", ["x"]), (1, "A", ["x", "y"])], "priority int, label string, keywords array<string>"
     )
-    assert text.load_keyword_rules(table) == [("A", ["x", "y"]), ("B", ["x"])]
-    with pytest.raises(ValueError):
-        text.load_keyword_rules(table, max_rules=1)
+    df = spark.createDataFrame([("x", "A"), ("x", "C"), ("y", "B")], "company string, trade string")
+    found = text.with_keyword_verdict(df, "company", "trade", table).collect()
+    verdicts = {(r["company"], r["trade"]): r["check_result"] for r in found}
+    assert verdicts == {
+        ("x", "A"): "CONFIRMED_BY_NAME",
+        ("x", "C"): "CONFLICT_WITH_A",
+        ("y", "B"): "CONFLICT_WITH_A",
+    }
+
+
+def test_many_keyword_rules_compile_and_equal_brute_force(spark):
+    rules = [(f"T{i}", [f"w{i}x{k}" for k in range(6)]) for i in range(62)]
+    rows = [(f"a w{i}x{i % 6} and W{(7 * i) % 62}x{k} z", f"T{k * 9}") for i in range(62) for k in range(6)]
+    df = spark.createDataFrame(rows, "company string, trade string")
+
+    def verdict(name, trade):
+        hits = [label for label, words in rules if any(w in name.lower() for w in words)]
+        if trade in hits:
+            return "CONFIRMED_BY_NAME"
+        return f"CONFLICT_WITH_{hits[0]}" if hits else "NO_KEYWORD_INFO"
+
+    found = text.with_keyword_verdict(df, "company", "trade", rules)
+    assert {tuple(r) for r in found.collect()} == {(*r, verdict(*r)) for r in rows}
+
+
+def test_encoding_uses_more_than_one_task(spark):
+    names = spark.range(30_000).selectExpr("concat('name ', id) AS n")
+    made = text.encode_distinct(names, "n", trigram_encoder(8))
+    tasks = made.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks > 1
+
+
+def test_ngram_vectors_are_unit_vectors_per_distinct_value(spark):
+    df = spark.createDataFrame([("Ab",), ("Ab",), ("",), (None,)], "n string")
+    found = {r["value"]: r["vector"] for r in text.ngram_vectors(df, "n").collect()}
+    assert set(found) == {"Ab", ""}
+    assert sum(x * x for x in found["Ab"]) == pytest.approx(1.0)
+    assert sorted(found["Ab"])[-3:] == pytest.approx([3**-0.5] * 3)
 
 
 def test_association_outliers(spark):
