@@ -1,10 +1,9 @@
 """Exact quantiles, outliers and histograms that scale past one task.
 
 Equal values are counted first, and running totals over the ordered values of a group
-tell which value holds each wanted rank. Up to ``SMALL_ROWS`` rows in all, one window
-per group does that. Beyond, values are cut into ordered buckets by approximate
-quantiles of the whole column. The cut points only balance the work; the result is
-exact for any cut points:
+tell which value holds each wanted rank. Values are cut into ordered buckets of about
+``BUCKET_ROWS`` rows by approximate quantiles of the whole column; a table that fits one
+bucket has no cut points. They only balance the work; the result is exact for any:
 
 1. count rows per (group, bucket) – combined map-side, tiny shuffle;
 2. running totals over the buckets of a group tell which bucket holds each rank;
@@ -20,11 +19,8 @@ from pyspark.sql.window import Window
 
 from .joins import attach, broadcast_if_small, not_null
 
-#: row count up to which one task may sort all values of a group
-SMALL_ROWS = 2_000_000
-#: rows a bucket should hold, and bounds for the number of buckets
+#: rows a bucket should hold: what one task sorts at most, whatever the table's size
 BUCKET_ROWS = 1_000_000
-MIN_BUCKETS, MAX_BUCKETS = 64, 10_000
 #: rows the cut points are estimated from, as in Spark's own range partitioning
 CUT_ROWS = 5_000_000
 
@@ -32,20 +28,19 @@ CUT_ROWS = 5_000_000
 def value_splits(
     df: DataFrame,
     columns: list[str],
-    small_rows: int = SMALL_ROWS,
     buckets: int | None = None,
 ) -> dict[str, list[float]]:
-    """Cut points per double column, none for a small table.
+    """Cut points per double column: one less than the buckets, so none for one bucket.
 
     The number of buckets grows with the table. The cut points balance the work and
     do not touch the result, so they are estimated, from at most about ``CUT_ROWS``
-    rows; one row with at most ``MAX_BUCKETS`` numbers per column reaches the driver.
+    rows; per column one number for each ``BUCKET_ROWS`` rows reaches the driver.
     """
     rows = df.count()
-    if rows <= small_rows:
-        return {c: [] for c in columns}
     if buckets is None:
-        buckets = min(max(rows // BUCKET_ROWS, MIN_BUCKETS), MAX_BUCKETS)
+        buckets = -(-rows // BUCKET_ROWS)
+    if buckets <= 1:
+        return {c: [] for c in columns}
     steps = [i / buckets for i in range(1, buckets)]
     basis = df if rows <= CUT_ROWS else df.sample(CUT_ROWS / rows, seed=17)
     row = basis.agg(
@@ -73,7 +68,6 @@ def group_quantiles(
     group: list[str],
     value: str,
     quantiles: list[float],
-    small_rows: int = SMALL_ROWS,
     buckets: int | None = None,
 ) -> DataFrame:
     """Linear-interpolated quantiles per group: columns ``q0``, ``q1``, ….
@@ -86,7 +80,7 @@ def group_quantiles(
     columns = [*names, "_v"]
     base = not_null(rows.withColumn("_v", F.col(value).cast("double")).select(*columns), columns)
 
-    splits = value_splits(base, ["_v"], small_rows, buckets)["_v"]
+    splits = value_splits(base, ["_v"], buckets)["_v"]
     count = F.count(F.lit(1)).alias("_n")
     ranks = _wanted_ranks(quantiles)
     if splits:
@@ -107,7 +101,7 @@ def group_quantiles(
         )
         values = _with_ends(counted, [*names, "_b"], "_v")
         ranks = {name: F.col(name) for name in ranks}
-    else:
+    else:  # every value is in the only bucket, so there is none to look for
         counted = base.groupBy(*names, "_v").agg(count)
         values = _with_ends(counted, names, "_v", total=True)
 

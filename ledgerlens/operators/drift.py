@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import math
+from dataclasses import dataclass, field, replace
 from datetime import date, datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.values import share
-from .distribution import SMALL_ROWS, value_splits, with_bucket
+from .distribution import value_splits, with_bucket
 
 Day = date | datetime | str
 
@@ -85,7 +87,6 @@ def wasserstein(
     current: tuple[Day, Day],
     normed: bool = False,
     min_scale: float = 0.001,
-    small_rows: int = SMALL_ROWS,
     buckets: int | None = None,
 ) -> DataFrame:
     """Area between the two distribution functions, per numeric column.
@@ -103,7 +104,7 @@ def wasserstein(
         reference,
         current,
     )
-    splits = value_splits(rows, names, small_rows, buckets)
+    splits = value_splits(rows, names, buckets)
     args = [F.lit(len(names))]
     for i, name in enumerate(names):
         rows = with_bucket(rows, name, f"_b{i}", splits[name])
@@ -120,6 +121,8 @@ def wasserstein(
         F.count_if("_ref").alias("_cr"),
         F.count_if("_cur").alias("_cc"),
         F.min("_v").alias("_low"),
+        F.avg(F.when(F.col("_ref"), F.col("_v"))).alias("_mean"),
+        F.var_pop(F.when(F.col("_ref"), F.col("_v"))).alias("_var"),
     )
     column = Window.partitionBy("column_name")
     upto = column.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -155,10 +158,17 @@ def wasserstein(
     )
     if not normed:
         return distance
+    # the deviation of a column from those of its buckets: no further scan
+    all_rows = F.sum("_cr").over(column)
+    mean = F.try_divide(F.sum(F.col("_cr") * F.col("_mean")).over(column), all_rows)
+    spread = F.col("_cr") * (F.col("_var") + F.pow(F.col("_mean") - F.col("_all"), F.lit(2)))
+    deviation = F.sqrt(F.try_divide(F.sum(spread), F.sum(F.when(spread.isNotNull(), F.col("_cr")))))
     scale = (
-        long.filter("_ref")
+        cells.withColumn("_all", mean)
         .groupBy("column_name")
-        .agg(F.greatest(F.stddev_pop("_v"), F.lit(min_scale)).alias("_scale"))
+        .agg(F.greatest(deviation, F.lit(min_scale)).alias("_scale"), F.sum("_cr").alias("_rows"))
+        .filter("_rows > 0")
+        .drop("_rows")
     )
     # both sides have one row per compared column
     return distance.join(scale, "column_name", "left").select(
@@ -171,8 +181,9 @@ def jensen_shannon(
     roles: DriftRoles,
     reference: tuple[Day, Day],
     current: tuple[Day, Day],
+    base: float = 2.0,
 ) -> DataFrame:
-    """Jensen–Shannon distance (base 2) of the category shares, per column.
+    """Jensen–Shannon distance of the category shares, per column; ``base`` of the logarithm.
 
     Nulls are left out. An empty slice gives null.
     """
@@ -201,7 +212,7 @@ def jensen_shannon(
     middle = (p + q) / 2
 
     def term(x: Column) -> Column:
-        return F.when(x > 0, x * F.log2(x / middle)).otherwise(0.0)
+        return F.when(x > 0, x * F.ln(x / middle) / F.lit(math.log(base))).otherwise(0.0)
 
     both = (F.max("_tr") > 0) & (F.max("_tc") > 0)
     # rounding may push a zero sum just below zero
@@ -220,22 +231,35 @@ def drift_report(
     thresholds: dict[str, float] | None = None,
     normed: bool = True,
     dataset_share: float = 0.5,
+    methods: dict[str, str] | None = None,
+    base: float = 2.0,
     **options,
 ) -> DataFrame:
-    """One row per column and one for the dataset (share of drifted columns)."""
+    """One row per column and one for the dataset (share of drifted columns).
+
+    ``methods`` chooses per column: ``wasserstein_normed``, ``wasserstein`` or
+    ``jensen_shannon`` (which takes numbers as labels); others are refused. Without a
+    choice the kind of the column and ``normed`` decide.
+    """
+    usual = "wasserstein_normed" if normed else "wasserstein"
+    chosen = {**dict.fromkeys(roles.numeric, usual), **dict.fromkeys(roles.categorical, "jensen_shannon")}
+    for name, method in (methods or {}).items():
+        allowed = ["jensen_shannon"] + ["wasserstein_normed", "wasserstein"] * (name in roles.numeric)
+        if name not in chosen or method not in allowed:
+            raise ValueError(f"column {name}: method {method}")
+        chosen[name] = method
     parts = []
-    if roles.numeric:
-        numeric = wasserstein(df, roles, reference, current, normed, **options)
-        method = "wasserstein_normed" if normed else "wasserstein"
-        parts.append(numeric.withColumns({"kind": F.lit("numeric"), "method": F.lit(method)}))
-    if roles.categorical:
-        labels = jensen_shannon(df, roles, reference, current)
-        parts.append(
-            labels.withColumns(
-                {"kind": F.lit("categorical"), "method": F.lit("jensen_shannon")}
-            )
-        )
-    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    for method in sorted(set(chosen.values())):
+        names = [c for c, m in chosen.items() if m == method]
+        if method == "jensen_shannon":
+            own = replace(roles, numeric=[], categorical=names)
+            found = jensen_shannon(df, own, reference, current, base)
+        else:
+            own = replace(roles, numeric=names, categorical=[])
+            found = wasserstein(df, own, reference, current, method == "wasserstein_normed", **options)
+        kind = F.when(F.col("column_name").isin(roles.numeric), "numeric").otherwise("categorical")
+        parts.append(found.withColumns({"kind": kind, "method": F.lit(method)}))
+    rows = reduce(DataFrame.unionByName, parts)
     limit = F.lit(float(threshold))
     for name, own in (thresholds or {}).items():
         limit = F.when(F.col("column_name") == name, F.lit(float(own))).otherwise(limit)

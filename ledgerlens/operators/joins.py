@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: rows up to which a *counted* result side may be broadcast
-BROADCAST_ROWS = 100_000
+#: bytes up to which a counted result side may be broadcast
+BROADCAST_BYTES = 8_000_000
 
 
 def not_null(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -68,6 +70,13 @@ def with_common_keys(
     return left, right
 
 
+def local_folder(prefix: str) -> str:
+    """Folder of a local session; it goes when the process ends."""
+    folder = tempfile.mkdtemp(prefix=prefix)
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the cluster's shared checkpoint folder; a temporary one only locally."""
     context = spark.sparkContext
@@ -77,7 +86,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if configured:
         context.setCheckpointDir(configured)
     elif context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerlens-checkpoint-"))
+        context.setCheckpointDir(local_folder("ledgerlens-checkpoint-"))
     else:
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
 
@@ -88,11 +97,18 @@ def pin(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Pin, count, and mark for broadcast only within the row limit.
+def row_bytes(df: DataFrame) -> int:
+    """Estimated bytes of a row: 16 per number, 64 per text or nested value."""
+    wide = (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType)
+    return sum(64 if isinstance(f.dataType, wide) else 16 for f in df.schema.fields)
+
+
+def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Pin, count, and mark for broadcast only if rows × estimated width fit.
 
     Beyond the limit the pinned side is returned as it is, and the caller's join
     becomes a shuffle join.
     """
     pinned = pin(df)
-    return F.broadcast(pinned) if pinned.count() <= max_rows else pinned
+    small = pinned.count() * row_bytes(pinned) <= max_bytes
+    return F.broadcast(pinned) if small else pinned

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .distribution import SMALL_ROWS, group_quantiles
+from .distribution import group_quantiles
 
 
 def numeric_profile(
-    df: DataFrame, columns: list[str], small_rows: int = SMALL_ROWS
+    df: DataFrame, columns: list[str], buckets: int | None = None
 ) -> DataFrame:
     """Count, mean, std, min, quartiles and max, one row per column."""
     values = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
@@ -22,7 +22,7 @@ def numeric_profile(
         F.max("value").alias("max"),
     )
     quartiles = group_quantiles(
-        long, ["column_name"], "value", [0.25, 0.5, 0.75], small_rows
+        long, ["column_name"], "value", [0.25, 0.5, 0.75], buckets
     ).withColumnsRenamed({"q0": "p25", "q1": "p50", "q2": "p75"})
     # both sides have one row per profiled column
     return basics.join(quartiles, "column_name", "left").select(
@@ -37,7 +37,10 @@ def distinct_values(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Frequency of each non-null value of every column, in one job."""
+    """Frequency of each non-null value of every column, in one job.
+
+    Most frequent first within a column, ties by value.
+    """
     columns = columns or df.columns
     texts = df.select(*[F.col(c).cast("string").alias(c) for c in columns])
     return (
@@ -45,6 +48,7 @@ def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
         .filter(F.col("value").isNotNull())
         .groupBy("column_name", "value")
         .agg(F.count(F.lit(1)).alias("occurrences"))
+        .orderBy("column_name", F.desc("occurrences"), "value")
     )
 
 

@@ -107,7 +107,7 @@ def wasserstein(spark, folder):
 def wasserstein_bucketed(spark, folder):
     items = frames.table(spark, folder, "lineitem")
     found = drift.wasserstein(
-        items, LINE_ROLES, YEAR_1995, YEAR_1996, normed=True, small_rows=0
+        items, LINE_ROLES, YEAR_1995, YEAR_1996, normed=True, buckets=64
     )
     return _rounded(found)
 

@@ -7,13 +7,13 @@ DataFrame here has a SQL twin (a CTE) that the reference SQL of the queries uses
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cleaning
+from ..operators.joins import local_folder
 from ..roles import HeaderRoles, LineRoles
 from ..sources.tables import read_raw, read_table
 
@@ -207,5 +207,5 @@ def scratch(spark: SparkSession) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="ledgerlens-")
+        base = local_folder("ledgerlens-")
     return os.path.join(base, f"results-{uuid.uuid4().hex}")

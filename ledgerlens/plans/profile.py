@@ -43,7 +43,7 @@ def numeric_profile_lines(spark, folder):
 @query("p1_numeric_profile_bucketed", _profile_sql("lineitem", LINE_NUMBERS))
 def numeric_profile_bucketed(spark, folder):
     items = frames.table(spark, folder, "lineitem")
-    return _rounded(profile.numeric_profile(items, LINE_NUMBERS, small_rows=0))
+    return _rounded(profile.numeric_profile(items, LINE_NUMBERS, buckets=64))
 
 
 @query(

@@ -204,7 +204,7 @@ def group_quantile_outliers_bucketed(spark, folder):
     items = frames.table(spark, folder, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice"
     )
-    return distribution.group_outliers(items, "l_suppkey", "l_extendedprice", small_rows=0)
+    return distribution.group_outliers(items, "l_suppkey", "l_extendedprice", buckets=64)
 
 
 _P95 = "p AS (SELECT coalesce(quantile_cont(diff, 0.95), 0) AS p95 FROM over)"

@@ -9,7 +9,7 @@ import pytest
 from ledgerlens.operators import distribution, drift, profile
 from ledgerlens.operators.drift import DriftRoles
 
-BUCKETED = {"small_rows": 0, "buckets": 7}
+BUCKETED = {"buckets": 7}
 
 
 @pytest.fixture(scope="module")
@@ -66,7 +66,7 @@ def test_result_does_not_depend_on_the_cut_points(spark, skewed, monkeypatch):
     qs = [0.01, 0.5, 0.99]
     plain = distribution.group_quantiles(df, ["g"], "v", qs).collect()
     monkeypatch.setattr(distribution, "CUT_ROWS", 20)
-    rough = distribution.group_quantiles(df, ["g"], "v", qs, small_rows=0, buckets=5)
+    rough = distribution.group_quantiles(df, ["g"], "v", qs, buckets=5)
     assert sorted(map(tuple, rough.collect())) == sorted(map(tuple, plain))
 
 
@@ -84,7 +84,7 @@ def test_histogram_keeps_every_value_below_the_limit(spark):
 
 def test_profile_matches_pandas(spark, skewed):
     df = spark.createDataFrame(skewed[["v"]]).replace(float("nan"), None)
-    row = profile.numeric_profile(df, ["v"], small_rows=0).first()
+    row = profile.numeric_profile(df, ["v"], buckets=64).first()
     want = skewed["v"].describe()
     names = {"count": "count", "mean": "mean", "std": "std", "min": "min", "p25": "25%",
              "p50": "50%", "p75": "75%", "max": "max"}

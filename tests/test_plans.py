@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from ledgerlens.operators import checks, timeagg, uniqueness
-from ledgerlens.operators.joins import attach, broadcast_if_small
+from ledgerlens.operators.joins import attach, broadcast_if_small, row_bytes
 
 FOLDER = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables missing")
@@ -127,7 +127,8 @@ def test_header_side_with_a_hot_key_is_split(spark, splitting):
 def test_broadcast_only_within_the_row_limit(spark):
     left = spark.range(1000).withColumnRenamed("id", "key")
     side = spark.range(100).select(F.col("id").alias("key"), F.lit(1).alias("x"))
-    small = physical(left.join(broadcast_if_small(side, 100), "key"))
+    width = row_bytes(side)
+    small = physical(left.join(broadcast_if_small(side, 100 * width), "key"))
     assert "BroadcastHashJoin" in small
-    hinted = plan(left.join(broadcast_if_small(side, 99), "key"))
+    hinted = plan(left.join(broadcast_if_small(side, 100 * width - 1), "key"))
     assert "strategy=broadcast" not in hinted
