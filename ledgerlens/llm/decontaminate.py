@@ -100,14 +100,14 @@ def scan(
     empty = F.array().cast("array<struct<start:int,n:int,gram:string>>")
     sizes = [r["n"] for r in windows.select("n").distinct().orderBy("n").collect()]
     if windows.count() > set_size:
-        out = pin(out.withColumn("_row", F.monotonically_increasing_id()))
+        out = pin(out.withColumn("_place", F.monotonically_increasing_id()))
         every = with_words(
             F.col("_text"), lambda w: F.concat(*[spans_at(w, starts(w, n), n) for n in sizes])
         )
-        own = out.select("_row", F.inline(every))
+        own = out.select("_place", F.inline(every))
         hits = own.join(windows.select("gram", "n").distinct(), ["gram", "n"])
-        hits = hits.groupBy("_row").agg(F.array_sort(F.collect_set(F.struct("start", "n", "gram"))).alias("spans"))
-        out = out.join(hits, "_row", "left")
+        hits = hits.groupBy("_place").agg(F.array_sort(F.collect_set(F.struct("start", "n", "gram"))).alias("spans"))
+        out = out.join(hits, "_place", "left")
         number = with_words(F.col("_text"), F.size)
         return out.select(*keep, number.cast("long").alias("n_words"), F.coalesce("spans", empty).alias("spans"))
     sets = []

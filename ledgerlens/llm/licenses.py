@@ -6,12 +6,12 @@ import re
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import column, mix, slices
 
@@ -171,20 +171,28 @@ def align(template: np.ndarray, words: np.ndarray, low: int, high: int) -> tuple
     return best[1], best[2], best[3]
 
 
-def scan_batches(templates: Templates, keep: list[str], arrow: pa.Schema):
+FOUND = [
+    ("template_id", "int"), ("license", "string"), ("start", "int"), ("end", "int"),
+    ("matched", "int"), ("words", "int"), ("coverage", "double"),
+]
+
+
+def scan_batches(templates: Templates, arrow: pa.Schema):
+    """Adds the matches of one pass to ``_found``, of overlapping ones the best."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [n for n, _ in FOUND]
         for batch in batches:
             for start, texts in slices(batch.column("_text")):
-                owners, found = [], []
-                for k, text in enumerate(texts):
+                part = batch.slice(start, len(texts))
+                found = []
+                for text, before in zip(texts, part.column("_found").to_pylist()):
                     own = templates.scan(text) if text else []
-                    owners += [start + k] * len(own)
-                    found += own
-                rows = batch.take(pa.array(owners, pa.int64()))
-                arrays = [rows.column(n).cast(arrow.field(n).type) for n in keep]
-                columns = list(zip(*found)) if found else [()] * 7
-                names = arrow.names[len(keep):]
-                arrays += [pa.array(list(c), arrow.field(n).type) for n, c in zip(names, columns)]
+                    if before:
+                        own = best_of(own + [tuple(m[n] for n in names) for m in before])
+                    found.append([dict(zip(names, m)) for m in own])
+                arrays = [part.column(f.name).cast(f.type) for f in arrow if f.name != "_found"]
+                arrays.append(pa.array(found, arrow.field("_found").type))
                 yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
     return run
@@ -206,19 +214,19 @@ def license_matches(
     known = templates.where("template_id IS NOT NULL AND license IS NOT NULL AND text IS NOT NULL")
     sized = known.select("template_id", "license", "text", F.char_length("text").alias("n"))
     passes = (sized.agg(F.sum("n")).first()[0] or 0) // (4 * PASS_WORDS) + 1
-    frame = docs.select(*(column(c).alias(n) for n, c in keep.items()), column(text).alias("_text"))
-    declared = ", ".join(f"`{n}` {frame.schema[n].dataType.simpleString()}" for n in keep)
-    schema = f"{declared}, template_id int, license string, `start` int, `end` int, matched int, words int, coverage double"
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    out = docs.sparkSession.createDataFrame([], schema)
-    arrow = to_arrow_schema(out.schema)
-    results = []
+    kind = "array<struct<" + ",".join(f"`{n}`:{t}" for n, t in FOUND) + ">>"
+    found = docs.select(
+        *(column(c).alias(n) for n, c in keep.items()), column(text).alias("_text"),
+        F.array().cast(kind).alias("_found"),
+    )
+    indexes = []
     for part in range(passes):
         own = sized.where(F.pmod(F.xxhash64("template_id"), F.lit(passes)) == part).drop("n").orderBy("template_id")
         rows = [tuple(r) for r in own.collect()]
         rows = [r for r in rows if len(WORD.findall(r[2])) >= GRAM]
         if rows:
-            index = Templates(rows, threshold)
-            results.append(frame.mapInArrow(scan_batches(index, list(keep), arrow), out.schema))
-    return reduce(DataFrame.unionByName, results) if results else out
+            indexes.append(Templates(rows, threshold))
+    for k, index in enumerate(indexes, 1):  # the last pass has no more use for the texts
+        out = (found if k < len(indexes) else found.drop("_text")).schema
+        found = found.mapInArrow(scan_batches(index, to_arrow_schema(out)), out)
+    return found.select(*keep, F.inline("_found"))
