@@ -59,12 +59,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the documents of a folder; each result is stored in the shared folder."""
+    """All stages on the documents of a folder.
+
+    Each result is stored in the shared checkpoint folder, in a folder of this run, and
+    read again as the next stage's input; the tables stay there for whoever reads the
+    last one.
+    """
     ensure_checkpoint_dir(spark)
-    shared = spark.sparkContext.getCheckpointDir()
+    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     out = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        path = f"{shared}/pipeline-{uuid.uuid4().hex}/{name}"
+        path = f"{folder}/{name}"
         stage(spark, out, sf_dir).write.parquet(path)
         out = spark.read.parquet(path)
     return out

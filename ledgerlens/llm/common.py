@@ -14,6 +14,8 @@ from ..operators.joins import pin
 
 #: texts handled together inside one Arrow batch, by characters
 SLICE_CHARS = 2_000_000
+#: edges that a task reduces to a forest at once
+FOREST_EDGES = 300_000
 #: largest table of ids that is sent to every executor, in bytes
 BROADCAST_BYTES = 16_000_000
 
@@ -106,19 +108,56 @@ def skewed_join(left: DataFrame, right: DataFrame, on: list[str], how: str) -> D
     return joined.drop("_h")
 
 
+def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) of a partition → every vertex with the smallest one it reaches there.
+
+    Works on ``FOREST_EDGES`` edges at a time, so that memory is bounded; what meets
+    over the borders of these runs is left to the joins.
+    """
+    parent: dict[int, int] = {}
+    edges = 0
+
+    def find(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent.setdefault(up, up)
+        return x
+
+    def stars() -> pa.RecordBatch:
+        rows = [(x, find(x)) for x in list(parent)]
+        kept = [r for r in rows if r[0] != r[1]]
+        columns = [pa.array([r[k] for r in kept], pa.int64()) for k in (0, 1)]
+        return pa.RecordBatch.from_arrays(columns, names=["a", "b"])
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+            x, y = find(a), find(b)
+            parent[max(x, y)] = min(x, y)
+        edges += batch.num_rows
+        if edges >= FOREST_EDGES:
+            yield stars()
+            parent.clear()
+            edges = 0
+    yield stars()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): rows (node, component), smallest id wins.
 
     Each round hooks every vertex to its smallest neighbour and contracts the graph;
     vertices that keep a larger neighbour disappear, so that the edges shrink by a
-    constant factor. Only vertices of edges get a row. Nothing is collected.
+    constant factor. Before a round every task replaces its edges by a spanning forest
+    of stars, which leaves few rounds. Only vertices of edges get a row. Nothing is
+    collected, and no task gathers a component.
     """
-    pairs = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    pairs = pin(pairs.where("a != b").distinct())
+
+    def slim(found: DataFrame) -> DataFrame:
+        return pin(found.where("a != b").distinct().mapInArrow(forest, "a long, b long"))
+
+    pairs = slim(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     labels = nodes.withColumn("component", F.col("node"))
     while not pairs.isEmpty():
-        near = pairs.select("a", "b").union(pairs.select("b", "a"))
+        near = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hook = near.groupBy("a").agg(F.min("b").alias("m"))
         hook = pin(hook.select("a", F.least("a", "m").alias("m")))
         moved = labels.withColumnRenamed("component", "a")
@@ -127,6 +166,5 @@ def components(edges: DataFrame) -> DataFrame:
         other = hook.select(F.col("a").alias("b"), F.col("m").alias("n"))
         moved = skewed_join(skewed_join(pairs, hook, ["a"], "inner"), other, ["b"], "inner")
         moved = moved.select(F.greatest("m", "n").alias("a"), F.least("m", "n").alias("b"))
-        pairs = pin(moved.where("a != b").distinct())
-        labels = pin(labels)
-    return labels
+        pairs = slim(moved)
+    return pin(labels)

@@ -30,10 +30,8 @@ from ..operators.joins import pin
 from .bpe import Memory
 from .common import column, components, if_small, map_texts, mix, skewed_join, slices
 
-#: candidate groups up to this size are one tile; larger ones have blocks of at least this size
-TILE = 64
-#: blocks a band of a group is cut into, until blocks have ``TILE_MOST`` documents
-BLOCKS, TILE_MOST = 32, 4096
+#: least and most documents of a block; a tile has two blocks
+TILE, TILE_MOST = 64, 4096
 BITS_MOST = 1 << 16
 
 
@@ -206,24 +204,28 @@ def tile_links(percent: int):
 
 
 def tiles_of(members: DataFrame, percent: int) -> DataFrame:
-    """(component, node, n, hashes) → the same rows for each tile (t) they are in, with side.
+    """(component, node, n) → component, node, n and the tiles (t, side) each row is in.
 
-    The blocks of a band depend on how many documents of the group are in it; blocks of
-    a band meet each other and those of the next band, as no linked pair is further apart.
+    A group that fits a block is one tile. In a larger one every band is cut into
+    blocks of at most half of what a task handles on average, so that the group spreads
+    over the tasks without being copied more often than that takes. Blocks of a band
+    meet each other and those of the next band; no linked pair is further apart.
     """
+    spark = members.sparkSession
     lows = [1]
     while lows[-1] < 1 << 40:
         lows.append(lows[-1] * 100 // percent + 1)
     band = F.size(F.filter(F.array(*[F.lit(x).cast("long") for x in lows]), lambda x: x <= F.col("n")))
     sized = pin(members.withColumn("band", band))
+    share = sized.count() // (2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    block = min(max(share, TILE), TILE_MOST)
     counts = sized.groupBy("component", "band").agg(F.count("*").alias("c"))
-    block = F.greatest(F.lit(TILE), F.least(F.lit(TILE_MOST), F.col("c") / BLOCKS))
     blocks = F.struct("band", F.ceil(F.col("c") / block).cast("int").alias("blocks"))
     info = counts.groupBy("component").agg(
         F.sum("c").alias("total"), F.map_from_entries(F.collect_list(blocks)).alias("blocks")
     )
     rows = skewed_join(sized, info, ["component"], "inner")
-    here = F.col("band")
+    here, own = F.col("band"), F.col("own")
 
     def blocks_at(which):
         return F.coalesce(F.element_at("blocks", which), F.lit(0))
@@ -234,7 +236,6 @@ def tiles_of(members: DataFrame, percent: int) -> DataFrame:
     def tile(b1, i, b2, j, side):
         return F.struct(F.concat_ws("-", b1, i, b2, j).alias("t"), side.cast("int").alias("side"))
 
-    own = F.col("own")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), blocks_at(here)).cast("int"))
     same = F.transform(places(blocks_at(here)), lambda j: tile(
         here, F.least(own, j), here, F.greatest(own, j),
@@ -242,8 +243,8 @@ def tiles_of(members: DataFrame, percent: int) -> DataFrame:
     above = F.transform(places(blocks_at(here + 1)), lambda j: tile(here, own, here + 1, j, F.lit(0)))
     below = F.transform(places(blocks_at(here - 1)), lambda j: tile(here - 1, j, here, own, F.lit(1)))
     single = F.array(F.struct(F.lit("-").alias("t"), F.lit(2).alias("side")))
-    every = F.when(F.col("total") <= TILE, single).otherwise(F.concat(same, above, below))
-    return rows.select("component", F.inline(every), "node", "n", "hashes")
+    every = F.when(F.col("total") <= block, single).otherwise(F.concat(same, above, below))
+    return rows.select("component", "node", "n", every.alias("tiles"))
 
 
 def similar_groups(
@@ -276,11 +277,13 @@ def similar_groups(
     stars = first.where("node != a").select("a", F.col("node").alias("b")).distinct()
     groups = components(stars)
 
-    wanted = if_small(groups.select("node").distinct(), 16)
+    sizes = named.select(F.col("doc_id").alias("node"), "n").distinct()
+    placed = pin(tiles_of(groups.join(sizes, "node"), percent))
+    wanted = if_small(placed.select("node").distinct(), 16)
     sets = texts.join(wanted, "node", "left_semi")
     sets = map_texts(sets, {"node": "node"}, "_text", set_bytes(size), "n long, hashes binary")
-    members = sets.join(groups, "node")
-    tiles = tiles_of(members, percent).groupBy("component", "t")
+    tiles = sets.join(placed, ["node", "n"]).select("component", F.inline("tiles"), "node", "n", "hashes")
+    tiles = tiles.groupBy("component", "t")
     links = tiles.applyInArrow(tile_links(percent), "a long, b long")
     linked = components(links.unionByName(copies))
     out = base.join(linked.withColumnRenamed("node", "doc_id"), "doc_id", "left")
