@@ -22,7 +22,7 @@ def physical(df) -> str:
 
 
 @needs_data
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(contract.QUERIES))
 def test_no_cross_join_and_no_row_python(spark, name):
     text = physical(contract.queries()[name](spark, FOLDER))
     for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython",
