@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 
 from ..operators.joins import pin
 from .bpe import Memory
-from .common import column, components, if_small, map_texts, mix, skewed_join, slices
+from .common import BROADCAST_BYTES, column, components, if_small, map_texts, mix, skewed_join, slices
 
-#: least and most documents of a block; a tile has two blocks
+#: groups up to this size are one tile; most documents of a block (a tile has two)
 TILE, TILE_MOST = 64, 4096
 BITS_MOST = 1 << 16
 
@@ -206,26 +206,30 @@ def tile_links(percent: int):
 def tiles_of(members: DataFrame, percent: int) -> DataFrame:
     """(component, node, n) → component, node, n and the tiles (t, side) each row is in.
 
-    A group that fits a block is one tile. In a larger one every band is cut into
-    blocks of at most half of what a task handles on average, so that the group spreads
-    over the tasks without being copied more often than that takes. Blocks of a band
-    meet each other and those of the next band; no linked pair is further apart.
+    A group no larger than a task's share of all rows is one tile. A larger one is cut
+    into size bands, and a band into blocks; every two blocks of a band are a tile, and
+    so are blocks of neighbouring bands, with those rows that reach over the border.
+    The copies of a row grow with the number of blocks, the tiles with its square: the
+    square root of a band's share of the tasks suffices to spread it over them. Blocks
+    never exceed ``TILE_MOST`` rows.
     """
     spark = members.sparkSession
     lows = [1]
     while lows[-1] < 1 << 40:
-        lows.append(lows[-1] * 100 // percent + 1)
-    band = F.size(F.filter(F.array(*[F.lit(x).cast("long") for x in lows]), lambda x: x <= F.col("n")))
-    sized = pin(members.withColumn("band", band))
-    share = sized.count() // (2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    block = min(max(share, TILE), TILE_MOST)
+        lows.append(max(2 * lows[-1], lows[-1] * 100 // percent + 1))
+    edges = F.array(*[F.lit(x).cast("long") for x in lows])
+    sized = pin(members.withColumn("band", F.size(F.filter(edges, lambda x: x <= F.col("n")))))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    every = max(sized.count(), 1)
     counts = sized.groupBy("component", "band").agg(F.count("*").alias("c"))
-    blocks = F.struct("band", F.ceil(F.col("c") / block).cast("int").alias("blocks"))
+    spread = F.sqrt(F.col("c") * F.lit(2.0 * tasks / every))
+    number = F.ceil(F.greatest(F.least(spread, F.col("c") / 16), F.col("c") / TILE_MOST)).cast("int")
     info = counts.groupBy("component").agg(
-        F.sum("c").alias("total"), F.map_from_entries(F.collect_list(blocks)).alias("blocks")
+        F.sum("c").alias("total"),
+        F.map_from_entries(F.collect_list(F.struct("band", number.alias("blocks")))).alias("blocks"),
     )
     rows = skewed_join(sized, info, ["component"], "inner")
-    here, own = F.col("band"), F.col("own")
+    here, own, n = F.col("band"), F.col("own"), F.col("n")
 
     def blocks_at(which):
         return F.coalesce(F.element_at("blocks", which), F.lit(0))
@@ -237,14 +241,19 @@ def tiles_of(members: DataFrame, percent: int) -> DataFrame:
         return F.struct(F.concat_ws("-", b1, i, b2, j).alias("t"), side.cast("int").alias("side"))
 
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), blocks_at(here)).cast("int"))
+    up = F.floor(n * 100 / percent) >= F.element_at(edges, here + 1)
+    down = n * percent <= 100 * (F.element_at(edges, here) - 1)
     same = F.transform(places(blocks_at(here)), lambda j: tile(
         here, F.least(own, j), here, F.greatest(own, j),
         F.when(own < j, 0).when(own > j, 1).otherwise(2)))
-    above = F.transform(places(blocks_at(here + 1)), lambda j: tile(here, own, here + 1, j, F.lit(0)))
-    below = F.transform(places(blocks_at(here - 1)), lambda j: tile(here - 1, j, here, own, F.lit(1)))
+    above = F.transform(places(F.when(up, blocks_at(here + 1)).otherwise(0)),
+                        lambda j: tile(here, own, here + 1, j, F.lit(0)))
+    below = F.transform(places(F.when(down, blocks_at(here - 1)).otherwise(0)),
+                        lambda j: tile(here - 1, j, here, own, F.lit(1)))
     single = F.array(F.struct(F.lit("-").alias("t"), F.lit(2).alias("side")))
-    every = F.when(F.col("total") <= block, single).otherwise(F.concat(same, above, below))
-    return rows.select("component", "node", "n", every.alias("tiles"))
+    share = max(TILE, min(every // (2 * tasks), TILE_MOST))
+    tiles = F.when(F.col("total") <= share, single).otherwise(F.concat(same, above, below))
+    return rows.select("component", "node", "n", tiles.alias("tiles"))
 
 
 def similar_groups(
@@ -279,9 +288,12 @@ def similar_groups(
 
     sizes = named.select(F.col("doc_id").alias("node"), "n").distinct()
     placed = pin(tiles_of(groups.join(sizes, "node"), percent))
+    copied = placed.agg(F.sum(F.size("tiles"))).first()[0] or 0
     wanted = if_small(placed.select("node").distinct(), 16)
     sets = texts.join(wanted, "node", "left_semi")
     sets = map_texts(sets, {"node": "node"}, "_text", set_bytes(size), "n long, hashes binary")
+    if copied * 64 <= BROADCAST_BYTES:  # about what the table of tiles takes in a task
+        placed = F.broadcast(placed)
     tiles = sets.join(placed, ["node", "n"]).select("component", F.inline("tiles"), "node", "n", "hashes")
     tiles = tiles.groupBy("component", "t")
     links = tiles.applyInArrow(tile_links(percent), "a long, b long")

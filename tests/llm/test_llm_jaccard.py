@@ -55,7 +55,10 @@ def corpus():
     return rows
 
 
-def test_components_equal_brute_force(spark):
+@pytest.mark.parametrize("tile, most", [(64, 4096), (1, 10)])
+def test_components_equal_brute_force(spark, monkeypatch, tile, most):
+    monkeypatch.setattr(jaccard, "TILE", tile)
+    monkeypatch.setattr(jaccard, "TILE_MOST", most)  # many blocks, many bands
     rows = corpus()
     want = brute(rows)
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, component_id string")
