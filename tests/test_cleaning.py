@@ -45,7 +45,7 @@ def test_line_count_is_null_without_lines(spark, rows):
     header = spark.createDataFrame([("a",), ("b",)], "id string")
     counts = spark.createDataFrame([("a", 3)], "id string, line_count long")
     done = cleaning.attach_line_count(header, counts, "id")
-    assert dict(done.dtypes)["line_count"] == "smallint"
+    assert dict(done.dtypes)["line_count"] == "int"
     assert rows(done.orderBy("id")) == [("a", 3), ("b", None)]
 
 
