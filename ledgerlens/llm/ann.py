@@ -2,9 +2,10 @@
 
 Centroids are fitted on a bounded sample by balanced splitting. Every vector is posted
 to its nearest lists (boundary vectors to several), a query reads the lists whose
-centroid is not much further away than the nearest one. Both searches walk a neighbour
-graph of the centroids in memory. Lists are cut into blocks, so that neither a full
-list nor a list that many queries read is one task.
+centroid is not much further away than the nearest one, however many these are: few
+where vectors form clusters, most where they do not. Posting walks a neighbour graph of
+the centroids in memory, a query measures all of them. Lists are cut into blocks, so
+that neither a full list nor a list that many queries read is one task.
 """
 
 from __future__ import annotations
@@ -24,13 +25,14 @@ from .common import column, skewed_join
 
 #: vectors, about, that the centroids are fitted on; the only thing that is sampled
 SAMPLE = 20_000
-#: vectors per list aimed at, and most lists: bounds the centroids that every task holds
-LIST, MOST_LISTS = 512, 2_000
+#: vectors per list aimed at, and most lists: bounds the rows that a query is sent as
+LIST, MOST_LISTS = 512, 256
 #: most lists a vector is posted to, and how much further off than the nearest they may be
-COPIES, COPY_RATIO = 4, 1.3
-#: the same for the lists a query reads
-PROBES, PROBE_RATIO = 24, 1.5
-BLOCK = 4096
+COPIES, COPY_RATIO = 2, 1.03
+#: how much further off than the nearest the lists are that a query reads, and the nearest
+#: ones that it reads at any distance; there is no upper limit to their number
+PROBE_RATIO, LEAST_PROBES = 1.3, 8
+BLOCK = 16_384
 DEGREE, BEAM = 16, 64
 
 
@@ -117,21 +119,33 @@ class Index:
         distance = np.sqrt(np.maximum(2 * apart[:, :keep], 0))
         return ids[:, :keep], distance
 
+    def measure(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All centroids and their distances, nearest first."""
+        apart = np.sqrt(np.maximum(2 - 2 * (queries @ self.centroids.T), 0))
+        ids = np.argsort(apart, axis=1, kind="stable")
+        return ids, np.take_along_axis(apart, ids, axis=1)
+
 
 def matrix(array: pa.Array) -> np.ndarray:
     flat = array.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(array), -1)
 
 
-def post(index: Index, keep: int, ratio: float):
-    """(vid, v) → one row per list that is near enough: (list, vid, v)."""
+def post(index: Index, keep: int | None, ratio: float, least: int = 1):
+    """(vid, v) → one row per list that is near enough: (list, vid, v).
+
+    At most ``keep`` lists, all that are near enough without it; the ``least`` nearest
+    at any distance.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 1024):
                 batch = whole.slice(start, 1024)
-                ids, apart = index.search(unit(matrix(batch.column("v"))), keep)
+                v = unit(matrix(batch.column("v")))
+                ids, apart = index.search(v, keep) if keep else index.measure(v)
                 near = np.isfinite(apart) & (apart <= ratio * apart[:, :1] + 1e-12)
+                near[:, :least] |= np.isfinite(apart[:, :least])
                 row, at = np.nonzero(near)
                 taken = batch.take(pa.array(row))
                 lists = pa.array(ids[row, at].astype(np.int32))
@@ -153,9 +167,10 @@ def nearest_in_block(keep: int):
             v, q = matrix(vectors["v"].combine_chunks())[order], matrix(queries["v"].combine_chunks())
             vn, qn = (np.sqrt((x * x).sum(axis=1)) for x in (v, q))
             take = min(len(v), keep + 10)
-            for start in range(0, len(q), 512):
-                part = slice(start, start + 512)
-                rough = unit(q[part]) @ unit(v).T
+            directions = unit(v).T
+            for start in range(0, len(q), 256):
+                part = slice(start, start + 256)
+                rough = unit(q[part]) @ directions
                 found = np.argpartition(-rough, take - 1, axis=1)[:, :take]
                 # one row at a time, so that equal vectors get equal scores
                 score = (q[part][:, None, :] * v[found]).sum(axis=2) / (qn[part][:, None] * vn[found])
@@ -221,7 +236,7 @@ def nearest(
     slim = points.select("vid", "v")
     posted = pin(slim.mapInArrow(post(index, COPIES, COPY_RATIO), schema))
     ids = wanted.select(F.col("qid").alias("vid")).distinct()
-    probes = pin(slim.join(ids, "vid", "left_semi").mapInArrow(post(index, PROBES, PROBE_RATIO), schema))
+    probes = pin(slim.join(ids, "vid", "left_semi").mapInArrow(post(index, None, PROBE_RATIO, LEAST_PROBES), schema))
 
     def cut(frame, name):
         return frame.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))

@@ -1,4 +1,6 @@
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 from ledgerlens.llm import ann
 
@@ -76,3 +78,25 @@ def test_balanced_lists_and_graph_search():
     assert same > 0.95 and (np.diff(apart, axis=1) >= -1e-12).all()
     own = np.bincount(np.argmax(points @ index.centroids.T, axis=1), minlength=len(index.centroids))
     assert own.max() <= 6 * own.mean()
+
+
+def test_recall_without_clusters_and_with_hundreds_of_lists(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LIST", 160)
+    fitted, fit = [], ann.Index.fit
+    monkeypatch.setattr(ann.Index, "fit", staticmethod(lambda *a: fitted.append(fit(*a)) or fitted[-1]))
+    df = spark.range(0, 40_000, 1, 8).select(
+        F.col("id").alias("vec_id"), F.array(*(F.randn(k) for k in range(64))).alias("embedding")
+    ).localCheckpoint()
+    found = {(r["query_id"], r["vec_id"]) for r in ann.nearest(df, df.where("vec_id % 50 = 0")).collect()}
+    unit = ann.unit(ann.matrix(df.orderBy("vec_id").toArrow()["embedding"].combine_chunks()))
+    scores = unit[::50] @ unit.T
+    scores[np.arange(800), np.arange(0, 40_000, 50)] = -2
+    want = {(50 * q, int(v)) for q in range(800) for v in np.argpartition(-scores[q], 5)[:5]}
+    assert len(fitted[0].centroids) >= 200 and len(found & want) >= 0.97 * len(want)
+
+
+def test_a_query_reads_the_nearest_lists_at_any_distance():
+    index = ann.Index.fit(ann.unit(np.random.default_rng(5).normal(size=(400, 6))), 40)
+    batch = pa.RecordBatch.from_pylist([{"vid": 7, "v": index.centroids[3].tolist()}])
+    (rows,) = ann.post(index, None, ann.PROBE_RATIO, 5)([batch])
+    assert rows.num_rows == 5 and 3 in rows.column("list").to_pylist()
