@@ -33,6 +33,8 @@ COPIES, COPY_RATIO = 2, 1.03
 #: ones that it reads at any distance; there is no upper limit to their number
 PROBE_RATIO, LEAST_PROBES = 1.3, 8
 BLOCK = 16_384
+#: more than rounding can move a cosine of unit vectors
+MARGIN = 1e-9
 DEGREE, BEAM = 16, 64
 
 
@@ -166,19 +168,25 @@ def nearest_in_block(keep: int):
             vid, qid = vectors["vid"].to_numpy()[order], queries["vid"].to_numpy()
             v, q = matrix(vectors["v"].combine_chunks())[order], matrix(queries["v"].combine_chunks())
             vn, qn = (np.sqrt((x * x).sum(axis=1)) for x in (v, q))
-            take = min(len(v), keep + 10)
+            take = min(len(v), keep)
             directions = unit(v).T
             for start in range(0, len(q), 256):
                 part = slice(start, start + 256)
                 rough = unit(q[part]) @ directions
-                found = np.argpartition(-rough, take - 1, axis=1)[:, :take]
-                # one row at a time, so that equal vectors get equal scores
-                score = (q[part][:, None, :] * v[found]).sum(axis=2) / (qn[part][:, None] * vn[found])
-                best = np.lexsort((vid[found], -score), axis=1)[:, :keep]
-                rows = np.arange(len(found))[:, None]
-                out[0].append(np.repeat(qid[part], best.shape[1]))
-                out[1].append(vid[found[rows, best]].ravel())
-                out[2].append(score[rows, best].ravel())
+                least = -np.partition(-rough, take - 1, axis=1)[:, take - 1]
+                row, at = np.nonzero(rough >= least[:, None] - MARGIN)
+                score = np.empty(len(row))
+                for few in range(0, len(row), 65_536):
+                    own = slice(few, few + 65_536)
+                    r, k = start + row[own], at[own]
+                    # one row at a time, so that equal vectors get equal scores
+                    score[own] = (q[r] * v[k]).sum(axis=1) / (qn[r] * vn[k])
+                order = np.lexsort((vid[at], -score, row))
+                row, at, score = row[order], at[order], score[order]
+                best = np.arange(len(row)) - np.searchsorted(row, row) < take
+                out[0].append(qid[start + row[best]])
+                out[1].append(vid[at[best]])
+                out[2].append(score[best])
         columns = [np.concatenate(x) if x else np.zeros(0) for x in out]
         types = (pa.int64(), pa.int64(), pa.float64())
         return pa.table({n: pa.array(x.astype(t.to_pandas_dtype())) for n, x, t in zip(("qid", "vid", "score"), columns, types)})

@@ -100,3 +100,19 @@ def test_a_query_reads_the_nearest_lists_at_any_distance():
     batch = pa.RecordBatch.from_pylist([{"vid": 7, "v": index.centroids[3].tolist()}])
     (rows,) = ann.post(index, None, ann.PROBE_RATIO, 5)([batch])
     assert rows.num_rows == 5 and 3 in rows.column("list").to_pylist()
+
+
+def test_parallel_vectors_that_tie_keep_the_smallest_ids():
+    v = np.array([0.3, -1.7, 0.9, 2.1])
+    rows = [{"vid": i, "v": (v * 2.0 ** (i % 9 - 4)).tolist()} for i in range(200)]
+    vectors = pa.Table.from_pylist(rows[::-1])
+    found = ann.nearest_in_block(6)(vectors.slice(0, 40), vectors)
+    assert found["vid"].to_pylist() == list(range(6)) * 40
+    # multiples whose scores differ by rounding alone: the order is that of the scores
+    v = np.random.default_rng(0).normal(size=64)
+    given = [v * (i + 1) for i in range(200)]
+    table = pa.Table.from_pylist([{"vid": i, "v": w.tolist()} for i, w in enumerate(given)])
+    q = given[5]
+    exact = sorted((-(q * w).sum() / (np.sqrt((q * q).sum()) * np.sqrt((w * w).sum())), i) for i, w in enumerate(given))
+    found = ann.nearest_in_block(6)(table.slice(5, 1), table)
+    assert found["vid"].to_pylist() == [i for _, i in exact[:6]]
