@@ -1,10 +1,11 @@
-"""License scan: winnowed fingerprints of templates, then banded alignment."""
+"""License scan: fingerprints and key words of templates, then banded alignment."""
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,7 +52,11 @@ def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
 
 
 class Templates:
-    """Inverted index from fingerprints to the places of templates."""
+    """Inverted index from fingerprints and key words to the places of templates.
+
+    A match leaves at most ``n - need`` of the template's ``n`` words out, so it holds one
+    of any ``n - need + 1`` of them: its key words, those in the fewest templates.
+    """
 
     def __init__(self, rows: list[tuple[int, str, str]], threshold: float):
         self.threshold = threshold
@@ -66,6 +71,15 @@ class Templates:
             for place in winnow(mix(codes.astype(np.uint64)), WINDOW):
                 self.index[int(codes[place])].append((k, int(place)))
         self.prints = np.array(sorted(self.index), np.int64)
+        self.need = [max(1, math.ceil(threshold * len(s) - 1e-9)) for s in self.sequences]
+        spread = Counter(w for ws in words for w in set(ws))
+        self.keys: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for k, ws in enumerate(words):
+            rarest = sorted(range(len(ws)), key=lambda i: (spread[ws[i]], -len(ws[i]), i))
+            for place in rarest[: max(1, len(ws) - self.need[k] + 1)]:
+                self.keys[self.known[ws[place]]].append((k, place))
+        self.is_key = np.zeros(self.base, bool)  # the last place is that of unknown words
+        self.is_key[list(self.keys)] = True
 
     def codes(self, ids: np.ndarray) -> np.ndarray:
         """A number for every run of ``GRAM`` words; −1 where a word is in no template."""
@@ -82,37 +96,39 @@ class Templates:
     def scan(self, text: str) -> list[tuple]:
         """(template, license, start, end, matched, words, coverage) of what is found.
 
-        Places are code points. Hits of a template whose starts lie within the band of
-        each other are one candidate; each is aligned once.
+        Places are code points. Every start that a hit of a template points to is aligned
+        by itself, within a band around it, if enough of the words there are in the template.
         """
         words = WORD.findall(text.lower())
         ids = np.fromiter((self.known.get(w, -1) for w in words), np.int64, len(words))
+        by_template: dict[int, set[int]] = defaultdict(set)
         codes = self.codes(ids)
-        at = np.searchsorted(self.prints, codes)
-        hits = np.flatnonzero(self.prints[np.minimum(at, len(self.prints) - 1)] == codes) if len(codes) else []
-        by_template: dict[int, list[int]] = defaultdict(list)
-        for place in hits:
-            for template, offset in self.index[int(codes[place])]:
-                by_template[template].append(int(place) - offset)
+        if len(self.prints) and len(codes):
+            at = np.searchsorted(self.prints, codes)
+            for place in np.flatnonzero(self.prints[np.minimum(at, len(self.prints) - 1)] == codes):
+                for template, offset in self.index[int(codes[place])]:
+                    by_template[template].add(int(place) - offset)
+        for place in np.flatnonzero(self.is_key[ids]):
+            for template, offset in self.keys[int(ids[place])]:
+                by_template[template].add(int(place) - offset)
         found, spans = [], None
-        for template, begins in sorted(by_template.items()):
-            sequence = self.sequences[template]
-            band = max(3, len(sequence) // 10)
-            begins.sort()
-            groups = [[begins[0], begins[0]]]
-            for begin in begins[1:]:
-                if begin - groups[-1][1] <= band:
-                    groups[-1][1] = begin
-                else:
-                    groups.append([begin, begin])
-            for low, high in groups:
-                matched, first, last = align(sequence, ids, low - band, high + band)
+        for template, starts in sorted(by_template.items()):
+            sequence, need = self.sequences[template], self.need[template]
+            # below the least match, so that a band around one holds no other whole one
+            band = min(max(3, len(sequence) // 10), need - 1)
+            begins = np.array(sorted(starts))
+            inside = np.append(0, np.cumsum(np.isin(ids, sequence)))
+            low, high = (np.clip(begins + x, 0, len(ids)) for x in (-band, len(sequence) + band))
+            own = set()
+            for begin in begins[inside[high] - inside[low] >= need].tolist():
+                matched, first, last = align(sequence, ids, begin - band, begin + band)
+                if matched >= need:
+                    own.add((first, last, matched))
+            if own and spans is None:
+                lowered = [m.span() for m in WORD.finditer(text.lower())]
+                spans = lowered if len(text.lower()) == len(text) else original_spans(text)
+            for first, last, matched in sorted(own):
                 coverage = matched / len(sequence)
-                if coverage < self.threshold:
-                    continue
-                if spans is None:
-                    lowered = [m.span() for m in WORD.finditer(text.lower())]
-                    spans = lowered if len(text.lower()) == len(text) else original_spans(text)
                 found.append((*self.ids[template], spans[first][0], spans[last][1], matched, len(sequence), coverage))
         return best_of(found)
 
@@ -206,8 +222,9 @@ def license_matches(
     ``templates`` has template_id, license and text. ``coverage`` is the share of the
     template's words that the best alignment finds in the text, at least ``threshold``;
     of overlapping matches the one with most equal words counts;
-    start and end are code points, the end exclusive. Every stretch of six words that a
-    text shares with a template makes a candidate. Templates with a null or without words
+    start and end are code points, the end exclusive. Any match that reaches ``threshold``
+    is a candidate; its alignment may drift by a tenth of the template's words, at least
+    three. Templates with a null or without words
     match nothing. Null, empty and unmatched texts have no row; repeated rows have
     their rows each; an empty table gives an empty table.
     """
@@ -223,7 +240,7 @@ def license_matches(
     for part in range(passes):
         own = sized.where(F.pmod(F.xxhash64("template_id"), F.lit(passes)) == part).drop("n").orderBy("template_id")
         rows = [tuple(r) for r in own.collect()]
-        rows = [r for r in rows if len(WORD.findall(r[2])) >= GRAM]
+        rows = [r for r in rows if WORD.search(r[2])]
         if rows:
             indexes.append(Templates(rows, threshold))
     for k, index in enumerate(indexes, 1):  # the last pass has no more use for the texts

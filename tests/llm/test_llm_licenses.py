@@ -68,3 +68,26 @@ def test_templates_in_several_passes_and_odd_ones(spark, monkeypatch):
     monkeypatch.setattr(licenses, "PASS_WORDS", 60)
     assert sorted(map(tuple, scan(spark, rows, odd))) == sorted(map(tuple, whole)) and len(whole) == 2
     assert scan(spark, rows, odd[-4:]) == []
+
+
+def test_every_near_copy_of_a_short_notice_is_found(spark):
+    """Each notice with one word left out, changed or put in, against alignment with every template."""
+    short = [t for t in TEMPLATES if len(licenses.WORD.findall(t[2])) <= 14]
+    texts = [(0, "Licensed under Apache License, Version 2.0"), (1, "Released under the MIT Licence"),
+             (2, "Released under an MIT License"), (3, "Released under MIT License")]
+    for _, _, notice in short:
+        words = notice.split()
+        for i in range(len(words)):
+            for new in ([], ["other"], [words[i], "other"]):
+                texts.append((len(texts), "x " + " ".join(words[:i] + new + words[i + 1 :]) + " y"))
+    want = set()
+    for k, text in texts:
+        words = licenses.WORD.findall(text.lower())
+        for _, _, notice in TEMPLATES:
+            known = licenses.WORD.findall(notice.lower())
+            number = {w: n for n, w in enumerate({*words, *known})}
+            both = (np.array([number[w] for w in ws]) for ws in (known, words))
+            matched, _, _ = licenses.align(*both, -len(known), len(words))
+            if matched >= 0.8 * len(known):
+                want.add(k)
+    assert {r["doc_id"] for r in scan(spark, texts)} == want and {0, 1, 2, 3} <= want
