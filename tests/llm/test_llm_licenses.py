@@ -91,3 +91,9 @@ def test_every_near_copy_of_a_short_notice_is_found(spark):
             if matched >= 0.8 * len(known):
                 want.add(k)
     assert {r["doc_id"] for r in scan(spark, texts)} == want and {0, 1, 2, 3} <= want
+
+
+def test_repeated_lines_and_short_templates_have_a_row_each(spark):
+    rows = [(1, "All rights reserved.\n" * 50), (2, "Released under MIT License\n" * 7), (3, "Copyright X. Copyright Y")]
+    found = [r["doc_id"] for r in scan(spark, rows, TEMPLATES + [(50, "none", "copyright")])]
+    assert [found.count(k) for k in (1, 2, 3)] == [50, 7, 2]
