@@ -97,3 +97,11 @@ def test_repeated_lines_and_short_templates_have_a_row_each(spark):
     rows = [(1, "All rights reserved.\n" * 50), (2, "Released under MIT License\n" * 7), (3, "Copyright X. Copyright Y")]
     found = [r["doc_id"] for r in scan(spark, rows, TEMPLATES + [(50, "none", "copyright")])]
     assert [found.count(k) for k in (1, 2, 3)] == [50, 7, 2]
+
+
+def test_more_licenses_have_their_own_row():
+    templates = licenses.Templates(TEMPLATES, 0.8)
+    for _, license_, text in TEMPLATES[14:]:
+        (found,) = templates.scan("Copyright X. " + text + " End of the file.")
+        assert found[1] == license_ and found[6] == 1.0
+    assert len(TEMPLATES) >= 20
