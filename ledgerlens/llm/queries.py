@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, jaccard, langid, licenses, pieces, pii, sharding, tokencount, urlrules
+from . import ann, decontaminate, jaccard, langid, licenses, pieces, pii, sharding, tokencount, urlrules, whitening
 from .common import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -186,3 +186,16 @@ URL_RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 def op10_url_rules(spark: SparkSession, folder: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return urlrules.judge_urls(table(spark, folder, "pages"), rules, "page_id")
+
+
+@query("op11_embedding_whitening")
+def op11_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Whitened values of all usable vectors along the four components of most variance."""
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    spaces = whitening.fit(vectors, components=4)
+    white = whitening.whiten(vectors, spaces, {"vec_id": "vec_id"})
+    pairs = F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "pair")
+    return white.select("vec_id", "n", "deviation", "identity_error", pairs).select(
+        "vec_id", (F.col("at") + 1).alias("component"), "n", "deviation",
+        "pair.whitened", "pair.explained", "identity_error",
+    )
