@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, jaccard, langid, licenses, pieces, pii, sharding, tokencount, urlrules, whitening
-from .common import table
+from . import ann, decontaminate, jaccard, langid, licenses, merkle, pieces, pii, sharding, tokencount, urlrules, whitening
+from .common import scratch, table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_SQL: dict[str, str] = {}
@@ -199,3 +199,81 @@ def op11_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
         "vec_id", (F.col("at") + 1).alias("component"), "n", "deviation",
         "pair.whitened", "pair.explained", "identity_error",
     )
+
+
+CRC_SQL = """xor(list_reduce(list_prepend(4294967295::BIGINT,
+      list_transform(range(1, length(d) + 1), lambda k: ascii(d[k])::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(0, 8)),
+      lambda t, k: xor(t >> 1, (t & 1) * 3988292384))), 4294967295)"""
+
+
+def leaf_sql(text: str) -> str:
+    """Leaf of a document in SQL, with another expression for its text."""
+    shown = ["doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text]
+    return "sha256(" + " || ".join(f"coalesce(strlen({s}) || ':' || {s}, '-')" for s in shown) + ")"
+
+
+@query(
+    "op12_merkle_manifest",
+    f"""WITH RECURSIVE docs AS (
+      SELECT *, row_number() OVER () AS r, doc_id::VARCHAR AS d FROM documents),
+    leaves AS (
+      SELECT r, doc_id, source, {leaf_sql("text")} AS leaf,
+        {leaf_sql("replace(text, chr(10), '')")} AS cut,
+        coalesce({CRC_SQL} % 2 = 0, false) AS odd
+      FROM docs),
+    placed AS (
+      SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, r) - 1 AS i,
+        count(*) OVER (PARTITION BY source) AS n FROM leaves),
+    up AS (
+      SELECT source, 0 AS lvl, i, n, leaf AS h FROM placed
+      UNION ALL SELECT source, lvl + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i))
+      FROM up WHERE n > 1 GROUP BY source, lvl, i // 3, n),
+    subroots AS (
+      SELECT source, lvl, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS n
+      FROM up WHERE n = 1),
+    over AS (
+      SELECT 0 AS lvl, i, n, h FROM subroots
+      UNION ALL SELECT lvl + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i))
+      FROM over WHERE n > 1 GROUP BY lvl, i // 3, n),
+    groups AS (
+      SELECT u.source, 0 AS part, u.lvl, u.i // 3 AS run, u.n, list(u.h ORDER BY u.i) AS hs
+      FROM up u GROUP BY u.source, u.lvl, u.i // 3, u.n
+      UNION ALL SELECT NULL, 1, lvl, i // 3, n, list(h ORDER BY i) FROM over GROUP BY lvl, i // 3, n),
+    walk AS (
+      SELECT p.r, p.source, s.i AS top, 0 AS part, 0 AS lvl, p.i, p.n,
+        CASE WHEN odd THEN cut ELSE leaf END AS h, '' AS proof
+      FROM placed p JOIN subroots s ON p.source IS NOT DISTINCT FROM s.source
+      UNION ALL
+      SELECT w.r, w.source, w.top,
+        CASE WHEN w.n = 1 THEN 1 ELSE w.part END, CASE WHEN w.n = 1 THEN 0 ELSE w.lvl + 1 END,
+        CASE WHEN w.n = 1 THEN w.top ELSE w.i // 3 END,
+        CASE WHEN w.n = 1 THEN (SELECT count(*) FROM subroots) ELSE (w.n + 2) // 3 END,
+        CASE WHEN w.n = 1 THEN w.h ELSE sha256(array_to_string(hs[:(w.i % 3)::INT], '') || w.h
+          || array_to_string(hs[(w.i % 3 + 2)::INT:], '')) END,
+        CASE WHEN w.n = 1 THEN w.proof ELSE w.proof || array_to_string(hs[:(w.i % 3)::INT], '')
+          || array_to_string(hs[(w.i % 3 + 2)::INT:], '') END
+      FROM walk w JOIN groups g ON w.part = g.part AND w.lvl = g.lvl AND w.i // 3 = g.run
+        AND (w.part = 1 OR w.source IS NOT DISTINCT FROM g.source)
+      WHERE w.part = 0 OR w.n > 1)
+    SELECT p.doc_id, p.leaf, s.h AS subroot, o.h AS root, sha256(w.proof) AS proof_sha256,
+      w.h AS folded_root, w.h = o.h AS verified
+    FROM placed p JOIN walk w ON p.r = w.r AND w.part = 1 AND w.n = 1
+      JOIN subroots s ON p.source IS NOT DISTINCT FROM s.source
+      JOIN over o ON o.n = 1""",
+)
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Leaves, subroots and proofs of all documents; half of them tampered with and checked."""
+    docs = table(spark, folder, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    text = F.when(tampered, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    cut = merkle.leaf([F.col(c) for c in fields[:-1]] + [text])
+    made = merkle.build(docs, fields, "doc_id", "source", scratch(spark, "manifest"), {"cut": cut})
+    root = F.lit(made.root).cast("string")
+    fold = merkle.folded(F.col("cut"), F.col("path"))
+    return made.rows.select(
+        "doc_id", merkle.text_of(F.col("leaf")).alias("leaf"),
+        merkle.text_of(F.col("subroot")).alias("subroot"), root.alias("root"),
+        merkle.proof(F.col("path")).alias("proof_sha256"), fold.alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
