@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, jaccard, langid, licenses, merkle, pieces, pii, sharding, tokencount, urlrules, whitening
+from . import ann, decontaminate, jaccard, langid, licenses, merkle, pieces, pii, sharding, tokencount, urlrules, warc, whitening
 from .common import scratch, table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -277,3 +277,30 @@ def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
         merkle.text_of(F.col("subroot")).alias("subroot"), root.alias("root"),
         merkle.proof(F.col("path")).alias("proof_sha256"), fold.alias("folded_root"),
     ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query(
+    "op13_warc_archives",
+    """WITH sized AS (
+      SELECT page_id, row_number() OVER () AS r, strlen(coalesce(html, '')) AS payload_bytes,
+        sha256(coalesce(html, '')) AS payload_digest FROM pages),
+    ranked AS (
+      SELECT *, row_number() OVER (PARTITION BY payload_digest ORDER BY page_id NULLS LAST, r) AS k,
+        first_value(page_id) OVER (PARTITION BY payload_digest ORDER BY page_id NULLS LAST, r) AS origin
+      FROM sized)
+    SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+      CASE WHEN k > 1 AND payload_bytes >= 100 THEN 'revisit' ELSE 'response' END AS record_type,
+      CASE WHEN k > 1 AND payload_bytes >= 100 THEN origin END AS refers_to
+    FROM ranked""",
+)
+def op13_warc_archives(spark: SparkSession, folder: str) -> DataFrame:
+    """All pages written to WARC archives, repeated payloads as revisits, and read back."""
+    pages = table(spark, folder, "pages")
+    path = f"{scratch(spark, 'warc')}/archives"
+    warc.write(pages, path, "page_id", "url", "html")
+    whole = pages.schema["page_id"].dataType
+    read = warc.resolved(warc.read(spark, path))
+    return read.select(
+        F.col("source_id").cast(whole).alias("page_id"), "payload_bytes", "payload_digest",
+        "record_type", F.col("refers_to").cast(whole).alias("refers_to"),
+    )
