@@ -63,7 +63,7 @@ def with_siblings(nodes: DataFrame, fanout: int) -> DataFrame:
         )
         joined = joined.withColumn("_place", place)
         on = (F.col("tree") == F.col("_tree")) & (F.col("_place") == F.col("_at"))
-        joined = joined.join(other, on, "left").drop("_tree", "_at", "_place")
+        joined = joined.join(other.hint("merge"), on, "left").drop("_tree", "_at", "_place")
     nothing = F.lit(b"")
 
     def side(left: bool) -> Column:
@@ -95,6 +95,7 @@ def climb(nodes: DataFrame, largest: int, fanout: int, folder: str) -> list[Data
     A level holds the trees that reach it, a finished one with its root (size 1). The
     next level and the way down read it. Tables and not checkpoints: a checkpoint keeps
     Spark's size estimate of its plan, and estimates of self-joins multiply per level.
+    The joins merge sorted sides, as a broadcast per level would add up on the driver.
     """
     spark, levels = nodes.sparkSession, []
     while True:
@@ -119,27 +120,31 @@ def roots(levels: list[DataFrame]) -> DataFrame:
     return out
 
 
-def descend(levels: list[DataFrame], tops: DataFrame, fanout: int) -> DataFrame:
+def descend(levels: list[DataFrame], tops: DataFrame, fanout: int, folder: str) -> DataFrame:
     """Columns of the lowest level, subroot and path of each of its nodes.
 
-    ``tops`` has tree, height, subroot and the path of each tree's root.
+    ``tops`` has tree, height, subroot and the path of each tree's root. The paths of the
+    levels above the lowest are tables in the folder, so that every step is a short plan.
     """
-    above = None
+    spark, above = tops.sparkSession, None
     for k, level in reversed(list(enumerate(levels))):
         ends = tops.where(F.col("height") == k).select("tree", F.lit(0).cast("long").alias("at"), "subroot", "path")
         kept = ["tree", "at"]
         if not k:
             kept = [c for c in level.columns if c not in ("size", "before", "after")]
             single = level.where("size = 1").select(*kept)
-            ends = single.join(ends.drop("at"), "tree").select(*kept, "subroot", "path")
+            ends = single.join(ends.drop("at").hint("merge"), "tree").select(*kept, "subroot", "path")
         if above is not None:
             step = F.array(F.struct("before", "after")).cast(PATH).alias("_step")
             up = level.where("size > 1").select(*kept, step, F.expr(f"at div {fanout}").alias("_up"))
             over = above.select(F.col("tree").alias("_tree"), F.col("at").alias("_at"), "subroot", "path")
             on = (F.col("tree") == F.col("_tree")) & (F.col("_up") == F.col("_at"))
-            went = up.join(over, on).select(*kept, "subroot", F.concat("_step", "path").alias("path"))
+            went = up.join(over.hint("merge"), on).select(*kept, "subroot", F.concat("_step", "path").alias("path"))
             ends = ends.union(went)
         above = ends
+        if k:
+            above.write.parquet(f"{folder}/paths-{k}")
+            above = spark.read.parquet(f"{folder}/paths-{k}")
     return above
 
 
@@ -204,8 +209,9 @@ def build(
     subroot; a run of one node gets a parent like any other. An empty table has no rows
     and no root. Null, empty and very long values have digests like any others, and other
     columns of ``df`` are not read. ``keep`` adds columns of the input to the result; the
-    key is always kept, under its name. ``folder`` gets a table per level of the trees
-    (``groups``) and of the tree over them (``top``); the rows of the result read them.
+    key is always kept, under its name. ``folder`` gets two tables per level of the trees
+    (``groups``) and of the tree over them (``top``): the nodes with their siblings, and
+    their paths to the root; the rows of the result read them.
     """
     keep = keep or {}
     slim = df.select(
@@ -241,10 +247,10 @@ def build(
     top = roots(over)
     found = top.select("node").collect()
     start = top.select("tree", "height", F.col("node").alias("subroot"), F.array().cast(PATH).alias("path"))
-    ends = descend(over, start, fanout).select(
+    ends = descend(over, start, fanout, f"{folder}/top").select(
         F.col("_of").alias("tree"), F.col("_height").alias("height"), F.col("node").alias("subroot"), "path"
     )
-    rows = descend(levels, pin(ends), fanout).select(
+    rows = descend(levels, pin(ends), fanout, f"{folder}/groups").select(
         F.col("_key").alias(key),
         *(F.col(f"_keep{k}").alias(name) for k, name in enumerate(keep)),
         F.col("node").alias("leaf"),
