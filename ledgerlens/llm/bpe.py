@@ -10,14 +10,16 @@ The table of last tokens answers three questions in one pass over a text: the to
 
 from __future__ import annotations
 
+import sys
 from collections import defaultdict
 from collections.abc import Callable, Hashable
 
 import ahocorasick
 
-#: pair tests and words kept per task before the memory is emptied and filled anew
-PAIR_MEMORY = 1_000_000
-WORD_MEMORY = 600_000
+#: bytes that the words of a task, and its pair tests, may take
+MEMORY_BYTES, PAIRS_BYTES = 60_000_000, 30_000_000
+#: what an entry of a dictionary takes beside its key and value; a pair test as a whole
+ENTRY_BYTES, PAIR_BYTES = 100, 160
 
 
 class PrefixTable:
@@ -54,7 +56,7 @@ class PrefixTable:
 
     def compatible(self, left: int, right: int) -> bool:
         """Does merging leave these two tokens (or, at the start, reach this one)?"""
-        if self.known >= PAIR_MEMORY:
+        if self.known * PAIR_BYTES >= PAIRS_BYTES:
             for row in self.pairs.values():
                 row.clear()
             self.known = 0
@@ -96,14 +98,23 @@ class PrefixTable:
 
 
 class Memory(dict):
-    """What has been worked out per word; emptied when full, so that it stays bounded."""
+    """What has been worked out per word, in two generations of bounded bytes.
 
-    def __init__(self, make: Callable[[Hashable], object], size: int = WORD_MEMORY):
+    When the young one is full it becomes the old one, which goes; words that occur
+    again move over from the old one, so frequent words stay.
+    """
+
+    def __init__(self, make: Callable[[Hashable], object], size: int = MEMORY_BYTES):
         super().__init__()
-        self.make, self.size = make, size
+        self.make, self.size, self.held, self.old = make, size // 2, 0, {}
 
     def __missing__(self, key):
-        if len(self) >= self.size:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self.held += sys.getsizeof(key) + sys.getsizeof(value) + ENTRY_BYTES
+        if self.held > self.size:
+            self.old, self.held = dict(self), 0
             self.clear()
-        value = self[key] = self.make(key)
+        self[key] = value
         return value

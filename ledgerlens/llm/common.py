@@ -63,12 +63,14 @@ def map_texts(
     text: str,
     function: Callable[[list[str | None]], list],
     schema: str,
+    release: Callable[[], None] | None = None,
 ) -> DataFrame:
     """One row out per row in: kept columns plus what ``function`` makes of the texts.
 
     ``keep`` maps output names to input columns; only these and the text are read.
     ``function`` gets texts and returns one sequence per column of ``schema``. It is
-    built once per task from a picklable callable.
+    built once per task from a picklable callable. ``release`` runs at the end of each
+    task and drops what the function keeps, as a worker goes on to other tasks.
     """
     frame = df.select(*(column(c).alias(n) for n, c in keep.items()), column(text).alias("_text"))
     kept = [frame.schema[n] for n in keep]
@@ -81,14 +83,18 @@ def map_texts(
     new = [f.name for f in out.fields][len(kept):]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("_text")
-            for start, run_of in slices(texts):
-                part = batch.slice(start, len(run_of))
-                made = function(run_of)
-                arrays = [part.column(n).cast(arrow.field(n).type) for n in keep]
-                arrays += [pa.array(v, type=arrow.field(n).type) for n, v in zip(new, made)]
-                yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+        try:
+            for batch in batches:
+                texts = batch.column("_text")
+                for start, run_of in slices(texts):
+                    part = batch.slice(start, len(run_of))
+                    made = function(run_of)
+                    arrays = [part.column(n).cast(arrow.field(n).type) for n in keep]
+                    arrays += [pa.array(v, type=arrow.field(n).type) for n, v in zip(new, made)]
+                    yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+        finally:
+            if release:
+                release()
 
     return frame.mapInArrow(run, out)
 

@@ -37,7 +37,11 @@ BITS_MOST = 1 << 16
 
 @lru_cache(maxsize=1)
 def word_hashes() -> Memory:
-    return Memory(xxhash.xxh3_64_intdigest, 300_000)
+    return Memory(xxhash.xxh3_64_intdigest)
+
+
+def release() -> None:
+    word_hashes.cache_clear()
 
 
 def shingles(text: str | None, size: int) -> np.ndarray:
@@ -138,6 +142,7 @@ def segment_rows(size: int, percent: int):
                     [pa.array(signed(np.concatenate(keys))), pa.array(np.concatenate(owners))],
                     names=["key", "node"],
                 )
+        release()
 
     return run
 
@@ -267,7 +272,7 @@ def similar_groups(
     component. Repeated rows stay repeated; an empty table gives an empty table.
     Equality of n-grams is equality of their 64-bit hashes.
     """
-    base = map_texts(docs, {"doc_id": doc_id}, text, features(size), "n long, d1 long, d2 long")
+    base = map_texts(docs, {"doc_id": doc_id}, text, features(size), "n long, d1 long, d2 long", release)
     base = pin(base)
     named = base.where("doc_id IS NOT NULL AND n > 0")
     classes = named.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c"))
@@ -291,7 +296,7 @@ def similar_groups(
     copied = placed.agg(F.sum(F.size("tiles"))).first()[0] or 0
     wanted = if_small(placed.select("node").distinct(), 16)
     sets = texts.join(wanted, "node", "left_semi")
-    sets = map_texts(sets, {"node": "node"}, "_text", set_bytes(size), "n long, hashes binary")
+    sets = map_texts(sets, {"node": "node"}, "_text", set_bytes(size), "n long, hashes binary", release)
     if copied * 64 <= BROADCAST_BYTES:  # about what the table of tiles takes in a task
         placed = F.broadcast(placed)
     tiles = sets.join(placed, ["node", "n"]).select("component", F.inline("tiles"), "node", "n", "hashes")

@@ -106,12 +106,16 @@ class Pieces:
         return ids.count(" ") + 1, ids, decoded
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def load(path: str) -> Pieces:
-    """One model per path and task process."""
+    """The model of a task; it goes with the task's last text."""
     return Pieces(path)
 
 
+def release() -> None:
+    load.cache_clear()
+
+
 def digests(path: str):
     """Texts → columns n_tokens, ids_sha256, decoded_sha256."""
 
@@ -152,7 +156,7 @@ def encode_digests(docs: DataFrame, path: str, keep: dict[str, str], text: str =
     columns that are not named are not read. A text of any length is encoded in whole.
     """
     schema = "n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return map_texts(docs, keep, text, digests(path), schema)
+    return map_texts(docs, keep, text, digests(path), schema, release)
 
 
 def encode(docs: DataFrame, path: str, keep: dict[str, str], text: str = "text") -> DataFrame:
@@ -161,4 +165,4 @@ def encode(docs: DataFrame, path: str, keep: dict[str, str], text: str = "text")
     Cases as in ``encode_digests``.
     """
     schema = "n_tokens long, ids array<int>, decoded string"
-    return map_texts(docs, keep, text, ids_and_text(path), schema)
+    return map_texts(docs, keep, text, ids_and_text(path), schema, release)

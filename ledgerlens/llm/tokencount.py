@@ -139,11 +139,16 @@ class TokenCounter:
         return sum(map(words.__getitem__, self.split(text)))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def load(path: str) -> TokenCounter:
+    """The counter of a task; it goes with the task's last text."""
     return TokenCounter(path)
 
 
+def release() -> None:
+    load.cache_clear()
+
+
 def counts(path: str, limit: int):
     """Texts → columns n_bytes, n_tokens, over_limit, fit_bytes."""
 
@@ -175,4 +180,4 @@ def token_counts(
     are not named are not read.
     """
     schema = "n_bytes long, n_tokens long, over_limit boolean, fit_bytes long"
-    return map_texts(docs, keep, text, counts(path, limit), schema)
+    return map_texts(docs, keep, text, counts(path, limit), schema, release)
