@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlens.llm import decontaminate, jaccard, langid, pieces, pii
-from ledgerlens.llm.common import column
+from ledgerlens.llm.common import column, scratch
 from ledgerlens.llm.queries import PIECE_MODEL, held_out
-from ledgerlens.operators.joins import ensure_checkpoint_dir
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,11 +59,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on the documents of a folder.
 
     Each result is stored in the shared checkpoint folder, in a folder of this run, and
-    read again as the next stage's input; the tables stay there for whoever reads the
-    last one.
+    read again as the next stage's input; the folder goes when the session's JVM ends.
     """
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    folder = scratch(spark, "pipeline")
     out = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = f"{folder}/{name}"
