@@ -1,66 +1,37 @@
 """Exact quantiles, outliers and histograms that scale past one task.
 
-Equal values are counted first, and running totals over the ordered values of a group
-tell which value holds each wanted rank. Values are cut into ordered buckets of about
-``BUCKET_ROWS`` rows by approximate quantiles of the whole column; a table that fits one
-bucket has no cut points. They only balance the work; the result is exact for any:
-
-1. count rows per (group, bucket) – combined map-side, tiny shuffle;
-2. running totals over the buckets of a group tell which bucket holds each rank;
-3. only rows of those buckets are counted and sorted, each bucket in its own task.
+Order statistics at any size, without cut points of our own and without sampling rows:
+
+1. equal values are counted, combined map-side, so a frequent value is one row;
+2. the counts are range-partitioned by (group, value), and stored with their partition;
+3. a cell is what one partition holds of a group; there are at most as many cells as
+   groups and partitions together. Running totals over a group's cells are the offsets at
+   which its partitions start, and tell which cell holds each wanted rank;
+4. only the rows of those cells are ordered, each cell in its own task.
+
+The input is read once. Nothing that grows with the table reaches the driver.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .joins import attach, broadcast_if_small, not_null
-
-#: rows a bucket should hold: what one task sorts at most, whatever the table's size
-BUCKET_ROWS = 1_000_000
-#: rows the cut points are estimated from, as in Spark's own range partitioning
-CUT_ROWS = 5_000_000
+from .joins import attach, broadcast_if_small, not_null, pin
 
 
-def value_splits(
-    df: DataFrame,
-    columns: list[str],
-    buckets: int | None = None,
-) -> dict[str, list[float]]:
-    """Cut points per double column: one less than the buckets, so none for one bucket.
+def ordered_counts(
+    rows: DataFrame, keys: list[str], value: str, counts: list[Column], parts: int | None = None
+) -> DataFrame:
+    """Counts per (keys, value), range-partitioned in that order, with ``_part``, stored.
 
-    The number of buckets grows with the table. The cut points balance the work and
-    do not touch the result, so they are estimated, from at most about ``CUT_ROWS``
-    rows; per column one number for each ``BUCKET_ROWS`` rows reaches the driver.
+    ``parts`` is the number of ranges, by default that of shuffle partitions.
     """
-    rows = df.count()
-    if buckets is None:
-        buckets = -(-rows // BUCKET_ROWS)
-    if buckets <= 1:
-        return {c: [] for c in columns}
-    steps = [i / buckets for i in range(1, buckets)]
-    basis = df if rows <= CUT_ROWS else df.sample(CUT_ROWS / rows, seed=17)
-    row = basis.agg(
-        *[
-            F.percentile_approx(c, steps, 4 * buckets).alias(f"_s{i}")
-            for i, c in enumerate(columns)
-        ]
-    ).first()
-    return {c: sorted(set(row[f"_s{i}"] or [])) for i, c in enumerate(columns)}
-
-
-def with_bucket(df: DataFrame, column: str, name: str, splits: list[float]) -> DataFrame:
-    """Ordered bucket number of a non-null double column."""
-    if not splits:
-        return df.withColumn(name, F.lit(0))
-    edges = [-float("inf"), *splits, float("inf")]
-    stage = Bucketizer(
-        splits=edges, inputCol=column, outputCol=name, handleInvalid="keep"
-    )
-    return stage.transform(df).withColumn(name, F.col(name).cast("int"))
+    counted = rows.groupBy(*keys, value).agg(*counts)
+    order = [F.col(c) for c in (*keys, value)]
+    placed = counted.repartitionByRange(parts, *order) if parts else counted.repartitionByRange(*order)
+    return pin(placed.withColumn("_part", F.spark_partition_id()))
 
 
 def group_quantiles(
@@ -73,39 +44,30 @@ def group_quantiles(
     """Linear-interpolated quantiles per group: columns ``q0``, ``q1``, ….
 
     Rows with a null group or value are left out. An empty ``group`` gives one row
-    for the whole table, none if it is empty.
+    for the whole table, none if it is empty. ``buckets`` is the number of ranges.
     """
     names = group or ["_all"]
     rows = df if group else df.withColumn("_all", F.lit(0))
     columns = [*names, "_v"]
     base = not_null(rows.withColumn("_v", F.col(value).cast("double")).select(*columns), columns)
+    placed = ordered_counts(base, names, "_v", [F.count(F.lit(1)).alias("_n")], buckets)
+    return quantiles_of(placed, names, quantiles).select(*group, *[f"q{i}" for i in range(len(quantiles))])
 
-    splits = value_splits(base, ["_v"], buckets)["_v"]
-    count = F.count(F.lit(1)).alias("_n")
-    ranks = _wanted_ranks(quantiles)
-    if splits:
-        cut = with_bucket(base, "_v", "_b", splits)
-        # at most one row per bucket in each window partition
-        sizes = _with_ends(cut.groupBy(*names, "_b").agg(count), names, "_b", total=True)
-        local = {
-            name: F.when(_holds(rank), rank - (F.col("_end") - F.col("_n")))
-            for name, rank in ranks.items()
-        }
-        cells = sizes.select(
-            *names, "_b", "_total", *[c.alias(name) for name, c in local.items()]
-        ).filter(F.coalesce(*[F.col(name) for name in local]).isNotNull())
-        # a side too large to broadcast leaves hot cells splittable
-        in_cell = attach(cut, broadcast_if_small(cells), [*names, "_b"], "inner")
-        counted = in_cell.groupBy(*names, "_b", "_v").agg(
-            count, *[F.any_value(c).alias(c) for c in ("_total", *ranks)]
-        )
-        values = _with_ends(counted, [*names, "_b"], "_v")
-        ranks = {name: F.col(name) for name in ranks}
-    else:  # every value is in the only bucket, so there is none to look for
-        counted = base.groupBy(*names, "_v").agg(count)
-        values = _with_ends(counted, names, "_v", total=True)
 
-    picks = [F.max(F.when(_holds(r), F.col("_v"))).alias(n) for n, r in ranks.items()]
+def quantiles_of(placed: DataFrame, names: list[str], quantiles: list[float]) -> DataFrame:
+    """Quantiles per group from ``ordered_counts`` with value ``_v`` and count ``_n``."""
+    ranks = _wanted_ranks(quantiles)
+    sizes = placed.groupBy(*names, "_part").agg(F.sum("_n").alias("_n"))
+    sizes = _with_ends(sizes, names, "_part", total=True)
+    local = {
+        name: F.when(_holds(rank), rank - (F.col("_end") - F.col("_n"))).alias(name)
+        for name, rank in ranks.items()
+    }
+    cells = sizes.select(*names, "_part", "_total", *local.values())
+    cells = cells.filter(F.coalesce(*[F.col(name) for name in local]).isNotNull())
+    in_cell = attach(placed, broadcast_if_small(cells), [*names, "_part"], "inner")
+    values = _with_ends(in_cell, [*names, "_part"], "_v")
+    picks = [F.max(F.when(_holds(F.col(n)), F.col("_v"))).alias(n) for n in ranks]
     found = values.groupBy(*names).agg(F.max("_total").alias("_total"), *picks)
     columns = []
     for i, q in enumerate(quantiles):
@@ -113,7 +75,7 @@ def group_quantiles(
         low, high = F.col(f"_low{i}"), F.col(f"_high{i}")
         between = low + (high - low) * (position - F.floor(position))
         columns.append(between.alias(f"q{i}"))
-    return found.select(*group, *columns)
+    return found.select(*names, *columns)
 
 
 def _wanted_ranks(quantiles: list[float]) -> dict[str, Column]:

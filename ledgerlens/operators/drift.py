@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.values import share
-from .distribution import value_splits, with_bucket
+from .distribution import ordered_counts
+from .joins import attach, broadcast_if_small
 
 Day = date | datetime | str
 
@@ -91,10 +92,10 @@ def wasserstein(
 ) -> DataFrame:
     """Area between the two distribution functions, per numeric column.
 
-    One scan for all columns. Values are reduced to counts, prefix sums run within
-    ordered buckets, and the per-bucket totals supply each bucket's starting point.
-    ``normed`` divides by the reference's standard deviation. An empty slice gives
-    null.
+    One scan for all columns. Values are reduced to counts, range-partitioned by column
+    and value; prefix sums run within a partition's values of a column, and the totals of
+    such cells supply each cell's starting point. ``normed`` divides by the reference's
+    standard deviation. An empty slice gives null.
     """
     names = roles.numeric
     rows = _both_slices(
@@ -104,48 +105,36 @@ def wasserstein(
         reference,
         current,
     )
-    splits = value_splits(rows, names, buckets)
-    args = [F.lit(len(names))]
-    for i, name in enumerate(names):
-        rows = with_bucket(rows, name, f"_b{i}", splits[name])
-        args += [F.lit(name), F.col(name), F.col(f"_b{i}")]
-    long = rows.select("_ref", "_cur", F.stack(*args).alias("column_name", "_v", "_b"))
-    long = long.filter(F.col("_v").isNotNull())
-
-    counted = long.groupBy("column_name", "_b", "_v").agg(
-        F.count_if("_ref").alias("_nr"), F.count_if("_cur").alias("_nc")
-    )
-    # one row per bucket of a column: bounded by columns × buckets; taken from the
-    # rows, as that needs a scan but next to no shuffle
-    cells = long.groupBy("column_name", "_b").agg(
-        F.count_if("_ref").alias("_cr"),
-        F.count_if("_cur").alias("_cc"),
+    long = rows.unpivot(["_ref", "_cur"], names, "column_name", "_v").filter(F.col("_v").isNotNull())
+    counts = [F.count_if("_ref").alias("_nr"), F.count_if("_cur").alias("_nc")]
+    counted = ordered_counts(long, ["column_name"], "_v", counts, buckets)
+    # at most one row per column and partition
+    cells = counted.groupBy("column_name", "_part").agg(
+        F.sum("_nr").alias("_cr"),
+        F.sum("_nc").alias("_cc"),
         F.min("_v").alias("_low"),
-        F.avg(F.when(F.col("_ref"), F.col("_v"))).alias("_mean"),
-        F.var_pop(F.when(F.col("_ref"), F.col("_v"))).alias("_var"),
+        F.sum(F.col("_v") * F.col("_nr")).alias("_sum"),
     )
     column = Window.partitionBy("column_name")
-    upto = column.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = column.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     starts = cells.select(
         "column_name",
-        "_b",
+        "_part",
         (F.sum("_cr").over(upto) - F.col("_cr")).alias("_sr"),
         (F.sum("_cc").over(upto) - F.col("_cc")).alias("_sc"),
         F.sum("_cr").over(column).alias("_tr"),
         F.sum("_cc").over(column).alias("_tc"),
-        F.lead("_low").over(column.orderBy("_b")).alias("_next_low"),
+        F.lead("_low").over(column.orderBy("_part")).alias("_next_low"),
+        share(F.sum("_sum").over(column), F.sum("_cr").over(column)).alias("_mean"),
     )
-    cell = Window.partitionBy("column_name", "_b").orderBy("_v")
+    cell = Window.partitionBy("column_name", "_part").orderBy("_v")
     running = cell.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    stepped = counted.select(
-        "column_name",
-        "_b",
-        "_v",
+    stepped = attach(counted, broadcast_if_small(starts), ["column_name", "_part"], "inner").select(
+        "*",
         F.sum("_nr").over(running).alias("_rr"),
         F.sum("_nc").over(running).alias("_rc"),
         F.lead("_v").over(cell).alias("_next"),
     )
-    joined = stepped.join(F.broadcast(starts), ["column_name", "_b"])
     gap = F.coalesce(F.col("_next"), F.col("_next_low")) - F.col("_v")
     height = F.abs(
         share(F.col("_sr") + F.col("_rr"), F.col("_tr"))
@@ -153,27 +142,12 @@ def wasserstein(
     )
     # a single distinct value on both sides has no gap: distance 0 if both exist
     both = (F.max("_tr") > 0) & (F.max("_tc") > 0)
-    distance = joined.groupBy("column_name").agg(
-        F.when(both, F.coalesce(F.sum(height * gap), F.lit(0.0))).alias("distance")
-    )
-    if not normed:
-        return distance
-    # the deviation of a column from those of its buckets: no further scan
-    all_rows = F.sum("_cr").over(column)
-    mean = F.try_divide(F.sum(F.col("_cr") * F.col("_mean")).over(column), all_rows)
-    spread = F.col("_cr") * (F.col("_var") + F.pow(F.col("_mean") - F.col("_all"), F.lit(2)))
-    deviation = F.sqrt(F.try_divide(F.sum(spread), F.sum(F.when(spread.isNotNull(), F.col("_cr")))))
-    scale = (
-        cells.withColumn("_all", mean)
-        .groupBy("column_name")
-        .agg(F.greatest(deviation, F.lit(min_scale)).alias("_scale"), F.sum("_cr").alias("_rows"))
-        .filter("_rows > 0")
-        .drop("_rows")
-    )
-    # both sides have one row per compared column
-    return distance.join(scale, "column_name", "left").select(
-        "column_name", F.try_divide(F.col("distance"), F.col("_scale")).alias("distance")
-    )
+    away = F.col("_v") - F.col("_mean")
+    deviation = F.sqrt(F.try_divide(F.sum(away * away * F.col("_nr")), F.max("_tr")))
+    distance = F.when(both, F.coalesce(F.sum(height * gap), F.lit(0.0)))
+    if normed:
+        distance = F.when(F.max("_tr") > 0, F.try_divide(distance, F.greatest(deviation, F.lit(min_scale))))
+    return stepped.groupBy("column_name").agg(distance.alias("distance"))
 
 
 def jensen_shannon(

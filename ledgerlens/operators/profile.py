@@ -5,25 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .distribution import group_quantiles
+from .distribution import ordered_counts, quantiles_of
 
 
 def numeric_profile(
     df: DataFrame, columns: list[str], buckets: int | None = None
 ) -> DataFrame:
-    """Count, mean, std, min, quartiles and max, one row per column."""
+    """Count, mean, std, min, quartiles and max, one row per column.
+
+    Two scans of the profiled columns: one aggregate for all plain figures, and the
+    counts of the values that the quartiles are found in.
+    """
     values = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    long = values.unpivot([], columns, "column_name", "value")
-    basics = long.groupBy("column_name").agg(
-        F.count("value").alias("count"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
+    figures = {
+        "count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max
+    }
+    row = values.agg(
+        *[
+            F.struct(F.lit(c).alias("column_name"), *[f(c).alias(n) for n, f in figures.items()]).alias(f"_{i}")
+            for i, c in enumerate(columns)
+        ]
+    )
+    basics = row.select(F.inline(F.array(*[f"_{i}" for i in range(len(columns))])))
+    long = values.unpivot([], columns, "column_name", "_v").filter(F.col("_v").isNotNull())
+    placed = ordered_counts(long, ["column_name"], "_v", [F.count(F.lit(1)).alias("_n")], buckets)
+    quartiles = quantiles_of(placed, ["column_name"], [0.25, 0.5, 0.75]).withColumnsRenamed(
+        {"q0": "p25", "q1": "p50", "q2": "p75"}
     )
-    quartiles = group_quantiles(
-        long, ["column_name"], "value", [0.25, 0.5, 0.75], buckets
-    ).withColumnsRenamed({"q0": "p25", "q1": "p50", "q2": "p75"})
     # both sides have one row per profiled column
     return basics.join(quartiles, "column_name", "left").select(
         "column_name", "count", "mean", "std", "min", "p25", "p50", "p75", "max"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.encoders import Encoder
 from ..functions.values import share
-from .joins import attach, not_null
+from .joins import BROADCAST_BYTES, attach, not_null, pin
 
 #: keyword rules in priority order: (label, keywords)
 Rules = list[tuple[str, list[str]]]
@@ -136,29 +136,34 @@ def encode_distinct(
     return values.mapInPandas(run, "value string, vector array<double>")
 
 
-def ngram_vectors(df: DataFrame, column: str, dimension: int = 64, size: int = 3) -> DataFrame:
-    """Built-in encoder: hashed character n-grams as unit vectors (``value``, ``vector``).
+def ngram_weights(df: DataFrame, column: str, dimension: int = 64, size: int = 3) -> DataFrame:
+    """Built-in encoder: hashed character n-grams as sparse unit vectors.
 
-    The lower-cased value is padded by ``size`` - 1 spaces in front and one behind; an
-    n-gram counts in the place that the first 32 bits of its MD5 give. Column
-    expressions only, each distinct value once.
+    Rows (``value``, ``place``, ``weight``), one per place that a value's n-grams fall
+    into. The lower-cased value is padded by ``size`` - 1 spaces in front and one behind;
+    an n-gram counts in the place that the first 32 bits of its MD5 give. Each n-gram of
+    each distinct value is hashed once, before it is counted.
     """
     values = not_null(df.select(F.col(column).alias("value")), ["value"]).distinct()
     padded = F.concat(F.lit(" " * (size - 1)), F.lower("value"), F.lit(" "))
     places = F.sequence(F.lit(1), F.char_length(padded) - (size - 1))
-    grams = F.transform(places, lambda i: F.substring(padded, i, size))
-    buckets = F.transform(
-        grams, lambda g: F.conv(F.substring(F.md5(g), 1, 8), 16, 10).cast("long") % dimension
-    )
-    counted = values.withColumn("_b", buckets)
-    numbers = F.transform(
-        F.sequence(F.lit(0), F.lit(dimension - 1)),
-        lambda k: F.size(F.filter("_b", lambda b: b == k)).cast("double"),
+    grams = values.select("value", F.explode(F.transform(places, lambda i: F.substring(padded, i, size))).alias("gram"))
+    # never null, and said so, as Spark would else test the hash for null in a filter, too
+    place = F.coalesce(F.conv(F.substring(F.md5("gram"), 1, 8), 16, 10).cast("long") % dimension, F.lit(0))
+    counts = grams.select("value", place.cast("int").alias("place")).groupBy("value", "place").count()
+    norms = counts.groupBy("value").agg(F.sqrt(F.sum(F.col("count") * F.col("count"))).alias("norm"))
+    return counts.join(norms, "value").select("value", "place", (F.col("count") / F.col("norm")).alias("weight"))
+
+
+def ngram_vectors(df: DataFrame, column: str, dimension: int = 64, size: int = 3) -> DataFrame:
+    """``ngram_weights`` as dense vectors: (``value``, ``vector``), one row per value."""
+    weights = ngram_weights(df, column, dimension, size)
+    cells = weights.groupBy("value").agg(
+        F.map_from_entries(F.collect_list(F.struct("place", "weight"))).alias("cells")
     )
-    counted = counted.select("value", numbers.alias("_n"))
-    norm = F.sqrt(dot(F.col("_n"), F.col("_n")))
-    normed = counted.withColumn("_norm", norm)
-    return normed.select("value", F.transform("_n", lambda x: x / F.col("_norm")).alias("vector"))
+    places = F.sequence(F.lit(0), F.lit(dimension - 1))
+    vector = F.transform(places, lambda k: F.coalesce(F.col("cells")[k], F.lit(0.0)))
+    return cells.select("value", vector.alias("vector"))
 
 
 def dot(left: Column, right: Column) -> Column:
@@ -193,17 +198,64 @@ def semantic_mismatches(
     all columns after the similarity, so that rows of a frequent pair spread over the
     sorted partitions; ``ordered=False`` leaves the sort to the reader of a stored
     result.
+
+    Trades are few as a rule: where their counted bytes allow it they are broadcast, and
+    a vector is shuffled once, with its company; else the pairs are shuffled by trade.
     """
     pairs = not_null(df.select(company, trade), [company, trade]).distinct()
     companies = _with_norm(company_vectors, company, "_left")
-    trades = _with_norm(trade_vectors, trade, "_right")
-    scored = attach(attach(pairs, companies, company, "inner"), trades, trade, "inner")
+    trades = _small_or_not(_with_norm(trade_vectors, trade, "_right"), "_right")
+    scored = attach(pairs, companies, company, "inner")
+    scored = scored.join(F.broadcast(trades[0]), trade) if trades[1] else attach(scored, trades[0], trade, "inner")
     cosine = F.try_divide(
         dot(F.col("_left"), F.col("_right")), F.col("_left_norm") * F.col("_right_norm")
     )
-    low = scored.select(company, trade, cosine.alias("similarity")).filter(
-        F.col("similarity") < F.lit(threshold)
+    scored = scored.select(company, trade, cosine.alias("similarity"))
+    return _below(df, company, trade, scored, threshold, ordered)
+
+
+def sparse_mismatches(
+    df: DataFrame,
+    company: str,
+    trade: str,
+    company_weights: DataFrame,
+    trade_weights: DataFrame,
+    threshold: float = 0.2,
+    ordered: bool = True,
+) -> DataFrame:
+    """``semantic_mismatches`` over sparse unit vectors (``value``, ``place``, ``weight``).
+
+    The product of two vectors is a join on the place and one sum per pair of names;
+    places that only one of them has add nothing. Pairs without a common place have
+    similarity 0; names without a vector never match.
+    """
+    pairs = not_null(df.select(company, trade), [company, trade]).distinct()
+    known = trade_weights.select(F.col("value").alias(trade)).distinct()
+    pairs = attach(pairs, known, trade, "left_semi")
+    left = company_weights.select(
+        F.col("value").alias(company), F.col("place").alias("_place"), F.col("weight").alias("_left")
+    )
+    right = trade_weights.select(
+        F.col("value").alias(trade), F.col("place").alias("_place"), F.col("weight").alias("_right")
     )
+    cells = attach(attach(pairs, left, company, "inner"), right, [trade, "_place"])
+    product = F.coalesce(F.col("_left") * F.col("_right"), F.lit(0.0))
+    scored = cells.groupBy(company, trade).agg(F.sum(product).alias("similarity"))
+    return _below(df, company, trade, scored, threshold, ordered)
+
+
+def _small_or_not(vectors: DataFrame, vector: str) -> tuple[DataFrame, bool]:
+    """Pinned vectors, and whether their counted bytes may be broadcast."""
+    pinned = pin(vectors)
+    held = pinned.agg(F.sum(F.size(vector) * F.lit(8) + F.lit(64))).first()[0] or 0
+    return pinned, held <= BROADCAST_BYTES
+
+
+def _below(
+    df: DataFrame, company: str, trade: str, scored: DataFrame, threshold: float, ordered: bool
+) -> DataFrame:
+    """Rows of the pairs whose similarity is below the threshold."""
+    low = scored.filter(F.col("similarity") < F.lit(threshold))
     found = attach(df, low, [company, trade], "inner").select(*df.columns, "similarity")
     if not ordered:
         return found

@@ -149,12 +149,12 @@ def semantic_mismatch(spark, folder):
 def part_name_mismatches(spark, folder):
     """Part names against part types, with the built-in 3-gram encoder."""
     part = frames.table(spark, folder, "part").select("p_partkey", "p_name", "p_type")
-    return text.semantic_mismatches(
+    return text.sparse_mismatches(
         part,
         "p_name",
         "p_type",
-        text.ngram_vectors(part, "p_name"),
-        text.ngram_vectors(part, "p_type"),
+        text.ngram_weights(part, "p_name"),
+        text.ngram_weights(part, "p_type"),
     )
 
 

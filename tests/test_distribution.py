@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerlens.operators import distribution, drift, profile
 from ledgerlens.operators.drift import DriftRoles
@@ -60,14 +61,24 @@ def test_outliers_match_pandas(spark, skewed, options):
     assert mirrored.count() == found.count()
 
 
-def test_result_does_not_depend_on_the_cut_points(spark, skewed, monkeypatch):
-    """Cut points from a handful of rows: uneven buckets, same quantiles."""
+def test_result_does_not_depend_on_the_ranges(spark, skewed):
+    """Any number of ranges, more than there are values included: same quantiles."""
     df = spark.createDataFrame(skewed).replace(float("nan"), None)
     qs = [0.01, 0.5, 0.99]
     plain = distribution.group_quantiles(df, ["g"], "v", qs).collect()
-    monkeypatch.setattr(distribution, "CUT_ROWS", 20)
-    rough = distribution.group_quantiles(df, ["g"], "v", qs, buckets=5)
-    assert sorted(map(tuple, rough.collect())) == sorted(map(tuple, plain))
+    for parts in (1, 5, 300):
+        cut = distribution.group_quantiles(df, ["g"], "v", qs, buckets=parts)
+        assert sorted(map(tuple, cut.collect())) == sorted(map(tuple, plain))
+
+
+def test_cells_are_as_many_as_groups_and_ranges(spark, skewed):
+    """Offsets stay small whatever the table, and a frequent value is one row."""
+    df = spark.createDataFrame(skewed).replace(float("nan"), None).dropna()
+    placed = distribution.ordered_counts(df, ["g"], "v", [F.count(F.lit(1)).alias("_n")], 9)
+    cells = placed.select("g", "_part").distinct().count()
+    assert cells <= df.select("g").distinct().count() + 9
+    assert placed.count() == df.select("g", "v").distinct().count()
+    assert placed.agg(F.sum("_n")).first()[0] == df.count()
 
 
 def test_histogram_keeps_every_value_below_the_limit(spark):

@@ -194,3 +194,31 @@ def test_top_values_break_ties_by_name(spark, rows):
     df = spark.createDataFrame([("b",), ("a",), ("c",), ("c",), (None,)], "v string")
     assert rows(timeagg.top_values(df, "v", 2)) == [("c", 2), ("a", 1)]
     assert timeagg.filter_selection(df, "v", []).count() == 5
+
+
+def test_sparse_similarity_equals_the_dense_one(spark):
+    """Same rows and similarities as dense vectors; names without a vector never match."""
+    rows = [("Roof Miller", "roofer"), ("Roof Miller", "plumber"), ("xyz", "roofer"), ("", "qq")]
+    df = spark.createDataFrame(rows * 3 + [(None, "roofer"), ("a", None)], "company string, trade string")
+    df = df.withColumn("id", F.monotonically_increasing_id())
+    sides = [text.ngram_vectors(df, c) for c in ("company", "trade")]
+    sparse = [text.ngram_weights(df, c) for c in ("company", "trade")]
+    dense = text.semantic_mismatches(df, "company", "trade", *sides, threshold=2.0).collect()
+    found = text.sparse_mismatches(df, "company", "trade", *sparse, threshold=2.0).collect()
+    assert len(found) == 12
+    assert {r["id"]: round(r["similarity"], 9) for r in found} == {r["id"]: round(r["similarity"], 9) for r in dense}
+    some = sparse[1].where("value <> 'qq'")
+    low = text.sparse_mismatches(df, "company", "trade", sparse[0], some, threshold=2.0)
+    assert {r["company"] for r in low.collect()} == {"Roof Miller", "xyz"}
+    lengths = sparse[0].groupBy("value").agg(F.sum(F.col("weight") * F.col("weight")).alias("n")).collect()
+    assert all(abs(r["n"] - 1) < 1e-12 for r in lengths)
+
+
+def test_names_are_hashed_below_the_first_aggregate(spark):
+    df = spark.createDataFrame([("Roof Miller", "roofer")], "company string, trade string")
+    sparse = [text.ngram_weights(df, c) for c in ("company", "trade")]
+    plan = text.sparse_mismatches(df, "company", "trade", *sparse)._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.splitlines()
+    hashed = [k for k, line in enumerate(lines) if "md5(" in line]
+    assert hashed and all(any("Aggregate [value" in up for up in lines[:k]) for k in hashed)
+    assert all("Filter" not in lines[k] and "Join" not in lines[k] for k in hashed)
