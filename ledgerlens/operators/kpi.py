@@ -8,21 +8,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.values import any_null, average, flag, from_cents, percent, share
+from ..functions.values import any_null, flag, from_cents, percent, share
 from ..roles import HeaderRoles, LineRoles
 from .checks import sign_pair_rules
-from .uniqueness import uniqueness
 
 
-def to_long(row: DataFrame) -> DataFrame:
-    """One-row frame → (metric, value); booleans 1/0, null, NaN or non-numeric 0."""
+def to_long(row: DataFrame, ids: tuple[str, ...] = ()) -> DataFrame:
+    """Rows → (``ids``, metric, value); booleans 1/0, null, NaN or non-numeric 0."""
+    metrics = [c for c in row.columns if c not in ids]
     cast = [
         F.coalesce(
             F.nanvl(F.col(c).cast("string").try_cast("double"), F.lit(0.0)), _truth(c)
         ).alias(c)
-        for c in row.columns
+        for c in metrics
     ]
-    return row.select(*cast).unpivot([], row.columns, "metric", "value")
+    return row.select(*ids, *cast).unpivot(list(ids), metrics, "metric", "value")
 
 
 def _truth(column: str) -> Column:
@@ -49,65 +49,113 @@ def with_not_run(kpis: DataFrame, metrics: list[str]) -> DataFrame:
     return kpis.withColumn("value", F.when(ran, F.col("value"))) if metrics else kpis
 
 
-def _null_row_pct(df: DataFrame, exclude: list[str]) -> Column:
+def _null_row_pct(df: DataFrame, exclude: list[str], within: Column) -> Column:
     checked = [c for c in df.columns if c not in exclude]
-    return F.coalesce(average(any_null(checked)) * 100.0, F.lit(0.0))
+    hit = F.when(any_null(checked), F.lit(1.0)).otherwise(F.lit(0.0))
+    return F.coalesce(F.avg(F.when(within, hit)) * 100.0, F.lit(0.0))
 
 
-def _overshoot(claimed: str, agreed: str) -> tuple[Column, Column]:
-    hit = rules.exceeds(F.col(agreed), F.col(claimed))
+def _overshoot(claimed: str, agreed: str, within: Column) -> tuple[Column, Column]:
+    hit = within & rules.exceeds(F.col(agreed), F.col(claimed))
     total = F.sum(F.when(hit, rules.overshoot_cents(F.col(agreed), F.col(claimed))))
     return F.count_if(hit), share(from_cents(total), F.count_if(hit))
 
 
-def header_counters(header: DataFrame, roles: HeaderRoles) -> DataFrame:
-    """All scalar header KPIs and issue counts in one aggregate, one scan."""
-    errors, mean = _overshoot(roles.claimed, roles.agreed)
+def header_aggregates(header: DataFrame, roles: HeaderRoles, within: Column) -> list[Column]:
+    """Scalar header KPIs and issue counts of the rows that meet a condition."""
+    errors, mean = _overshoot(roles.claimed, roles.agreed, within)
     amounts = F.col(roles.claimed), F.col(roles.agreed), F.col(roles.residual)
     odd = rules.odd_sign_out([F.col(a) for a in roles.amounts])
-    return header.agg(
-        F.count(F.lit(1)).alias("count_total_orders"),
-        F.count_if(F.col(roles.line_count).isNull()).alias("count_empty_orders"),
-        _null_row_pct(header, roles.not_counted_as_null).alias("null_row_pct_orders"),
-        F.count_if(rules.name_contains(F.col(roles.group), roles.test_word)).alias("count_test_rows"),
+    agreed = F.col(roles.agreed)
+    counts = {
+        "count_empty_orders": F.col(roles.line_count).isNull(),
+        "count_test_rows": rules.name_contains(F.col(roles.group), roles.test_word),
+        "count_pro_forma": rules.in_range(agreed, *roles.pro_forma),
+        "count_high_value": rules.at_least(agreed, roles.high_value),
+        "count_residual_errors": rules.residual_is_off(*amounts),
+        "count_sign_header": odd[0] | odd[1] | odd[2],
+    }
+    return [
+        F.count_if(within).alias("count_total_orders"),
+        _null_row_pct(header, roles.not_counted_as_null, within).alias("null_row_pct_orders"),
         errors.alias("count_overshoot_header"),
         mean.alias("avg_overshoot_header"),
-        F.count_if(rules.in_range(F.col(roles.agreed), *roles.pro_forma)).alias("count_pro_forma"),
-        F.count_if(rules.at_least(F.col(roles.agreed), roles.high_value)).alias("count_high_value"),
-        F.count_if(rules.residual_is_off(*amounts)).alias("count_residual_errors"),
-        F.count_if(odd[0] | odd[1] | odd[2]).alias("count_sign_header"),
-    )
+        *[F.count_if(within & hit).alias(name) for name, hit in counts.items()],
+    ]
 
 
-def line_counters(lines: DataFrame, roles: LineRoles) -> DataFrame:
-    """All scalar line KPIs and issue counts in one aggregate, one scan."""
-    errors, mean = _overshoot(roles.claimed, roles.agreed)
-    any_sign = F.lit(False)
-    for check in sign_pair_rules(
-        lines, roles.quantity, roles.quantity_agreed, roles.sign_pairs
-    ).values():
-        any_sign = any_sign | check
-    return lines.agg(
-        F.count(F.lit(1)).alias("count_total_lines"),
-        _null_row_pct(lines, roles.not_counted_as_null).alias("null_row_pct_lines"),
+def line_aggregates(lines: DataFrame, roles: LineRoles, within: Column) -> list[Column]:
+    """Scalar line KPIs and issue counts of the rows that meet a condition."""
+    errors, mean = _overshoot(roles.claimed, roles.agreed, within)
+    signs = sign_pair_rules(lines, roles.quantity, roles.quantity_agreed, roles.sign_pairs)
+    any_sign = reduce(lambda a, b: a | b, signs.values(), F.lit(False))
+    return [
+        F.count_if(within).alias("count_total_lines"),
+        _null_row_pct(lines, roles.not_counted_as_null, within).alias("null_row_pct_lines"),
         errors.alias("count_overshoot_line"),
         mean.alias("avg_overshoot_line"),
-        F.count_if(~flag(F.col(roles.is_plausible))).alias("count_discount_errors"),
-        F.count_if(any_sign).alias("count_sign_line"),
+        F.count_if(within & ~flag(F.col(roles.is_plausible))).alias("count_discount_errors"),
+        F.count_if(within & any_sign).alias("count_sign_line"),
+    ]
+
+
+def header_counters(header: DataFrame, roles: HeaderRoles) -> DataFrame:
+    """All scalar header KPIs and issue counts in one aggregate, one scan."""
+    return header.agg(*header_aggregates(header, roles, F.lit(True)))
+
+
+def line_counters(lines: DataFrame, roles: LineRoles) -> DataFrame:
+    """All scalar line KPIs and issue counts in one aggregate, one scan."""
+    return lines.agg(*line_aggregates(lines, roles, F.lit(True)))
+
+
+#: names of periods → condition on the rows of a table
+Periods = dict[str, Column]
+
+
+def _by_period(df: DataFrame, periods: Periods, aggregates) -> DataFrame:
+    """(period, one column per aggregate): all periods in one aggregate over the rows."""
+    row = df.agg(
+        *[F.struct(F.lit(name).alias("period"), *aggregates(F.coalesce(within, F.lit(False)))).alias(f"_{k}")
+          for k, (name, within) in enumerate(periods.items())]
     )
+    return row.select(F.inline(F.array(*[f"_{k}" for k in range(len(periods))])))
 
 
 def key_counters(
-    header: DataFrame, lines: DataFrame, h: HeaderRoles, ln: LineRoles
-) -> list[DataFrame]:
-    """Uniqueness flags of the three keys, and rows of repeated composite keys."""
-    key = uniqueness(header, h.key).select(F.col("is_unique").alias("is_unique_order_id"))
-    line = uniqueness(lines, ln.id).select(F.col("is_unique").alias("is_unique_line_id"))
-    number = uniqueness(header, [h.country, h.number], drop_null_keys=True).select(
-        F.col("is_unique").alias("is_unique_number_per_country"),
-        F.col("duplicate_rows").alias(DUPLICATES),
+    df: DataFrame, keys: dict[str, list[str]], periods: Periods, not_null: tuple[str, ...] = ()
+) -> DataFrame:
+    """(period, and per key whether it is unique and how many rows repeated keys cover).
+
+    All keys of a table are counted in one pass: each row gives one entry per key, and
+    entries are counted per period. Nulls count as values, but rows with a null part do
+    not count for the keys named in ``not_null``. Columns are called as the keys, and
+    ``<key>_repeated``.
+    """
+    entries = []
+    for name, columns in keys.items():
+        parts = F.array(*[F.col(c).cast("string") for c in columns])
+        if name in not_null:
+            parts = F.when(~any_null(columns), parts)
+        entries.append(F.struct(F.lit(name).alias("name"), parts.alias("key")))
+    flags = [F.coalesce(c, F.lit(False)).alias(f"_p{k}") for k, c in enumerate(periods.values())]
+    rows = df.select(F.inline(F.array(*entries)), *flags).filter("key IS NOT NULL")
+    counted = rows.groupBy("name", "key").agg(
+        *[F.count_if(f"_p{k}").alias(f"_p{k}") for k in range(len(periods))]
+    )
+
+    def states(k: int) -> list[Column]:
+        out = []
+        for name in keys:
+            repeated = (F.col("name") == name) & (F.col(f"_p{k}") > 1)
+            total = F.coalesce(F.sum(F.when(repeated, F.col(f"_p{k}"))), F.lit(0))
+            out += [(F.count_if(repeated) == 0).alias(name), total.alias(f"{name}_repeated")]
+        return out
+
+    row = counted.agg(
+        *[F.struct(F.lit(p).alias("period"), *states(k)).alias(f"_{k}") for k, p in enumerate(periods)]
     )
-    return [key, line, number]
+    return row.select(F.inline(F.array(*[f"_{k}" for k in range(len(periods))])))
 
 
 # The scalar KPIs of a run, in order.
@@ -131,16 +179,42 @@ SCALAR_KPIS = [
 
 
 def scalar_kpis(
-    header: DataFrame, lines: DataFrame, h: HeaderRoles, ln: LineRoles
+    header: DataFrame, lines: DataFrame, h: HeaderRoles, ln: LineRoles, **keys: DataFrame
 ) -> DataFrame:
     """(metric, value) rows of all scalar KPIs and rule counts of one run."""
-    return stack_rows(
-        [
-            header_counters(header, h),
-            line_counters(lines, ln),
-            *key_counters(header, lines, h, ln),
-        ]
-    )
+    every = {"all": F.lit(True)}
+    return scalar_kpis_by_period(header, lines, h, ln, every, every, **keys).drop("period")
+
+
+def scalar_kpis_by_period(
+    header: DataFrame,
+    lines: DataFrame,
+    h: HeaderRoles,
+    ln: LineRoles,
+    header_periods: Periods,
+    line_periods: Periods,
+    header_keys: DataFrame | None = None,
+    line_keys: DataFrame | None = None,
+) -> DataFrame:
+    """(period, metric, value): the scalar KPIs of several periods at once.
+
+    Four aggregates, whatever the number of periods: header rows, line rows, keys of
+    either. ``header_keys`` and ``line_keys`` are tables with the key columns (and those
+    of the conditions) alone, where they can be had without the joins of the others.
+    """
+    header_rows = _by_period(header, header_periods, lambda w: header_aggregates(header, h, w))
+    line_rows = _by_period(lines, line_periods, lambda w: line_aggregates(lines, ln, w))
+    order, number, line = "is_unique_order_id", "is_unique_number_per_country", "is_unique_line_id"
+    of_header = key_counters(
+        header if header_keys is None else header_keys,
+        {order: [h.key], number: [h.country, h.number]}, header_periods, (number,),
+    ).withColumnRenamed(f"{number}_repeated", DUPLICATES)
+    of_lines = key_counters(lines if line_keys is None else line_keys, {line: [ln.id]}, line_periods)
+    parts = [
+        header_rows, line_rows,
+        of_header.select("period", order, number, DUPLICATES), of_lines.select("period", line),
+    ]
+    return reduce(DataFrame.unionByName, [to_long(p, ("period",)) for p in parts])
 
 
 def scalar_row(kpis: DataFrame) -> DataFrame:
@@ -220,6 +294,11 @@ def compare_runs(current: DataFrame, previous: DataFrame | None) -> DataFrame:
         old = previous.select("metric", F.struct("value").alias("old"))
         value = F.when(F.col("old").isNull(), 0.0).otherwise(F.col("old.value"))
         both = new.join(old, "metric", "left").withColumn("old_value", value).drop("old")
+    return with_changes(both)
+
+
+def with_changes(both: DataFrame) -> DataFrame:
+    """Absolute and percent change of (metric, current_value, old_value), by metric."""
     change = F.col("current_value") - F.col("old_value")
     relative = (
         F.when(F.col("old_value") != 0, F.bround(percent(change, F.col("old_value")), 2))

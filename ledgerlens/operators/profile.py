@@ -68,6 +68,23 @@ def schema_rows(df: DataFrame) -> DataFrame:
     )
 
 
+def schema_profile(df: DataFrame) -> DataFrame:
+    """Position, name, type, and non-null and distinct values of every column.
+
+    One scan; distinct values are counted exactly, as texts, combined before the shuffle.
+    """
+    texts = df.select(*[F.col(c).cast("string").alias(c) for c in df.columns])
+    long = texts.unpivot([], df.columns, "column_name", "value")
+    counted = long.groupBy("column_name", "value").agg(F.count("value").alias("n"))
+    found = counted.groupBy("column_name").agg(
+        F.sum("n").alias("non_null"), F.count("value").alias("distinct_values")
+    )
+    # both sides have one row per column
+    joined = schema_rows(df).join(found, "column_name", "left")
+    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("non_null", "distinct_values")]
+    return joined.select("position", "column_name", "data_type", *zero)
+
+
 def preview(df: DataFrame, order: list[str], n: int = 1000) -> DataFrame:
     """First rows in a defined order."""
     return df.orderBy(*order).limit(n)

@@ -147,8 +147,11 @@ def cents_sql(expression: str) -> str:
     )
 
 
-def signed_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Lines with amounts of either sign, their text, and both plausibility flags."""
+def signed_lines(spark: SparkSession, folder: str, order_ts: str | None = None) -> DataFrame:
+    """Lines with amounts of either sign, their text, and both plausibility flags.
+
+    ``order_ts`` adds the date of the line's order under that name.
+    """
     base = lines(spark, folder)
     supplier = table(spark, folder, "supplier").select(
         F.col("s_suppkey").alias("supplier_id"),
@@ -163,6 +166,7 @@ def signed_lines(spark: SparkSession, folder: str) -> DataFrame:
         "order_id",
         F.col("balance").alias("customer_balance"),
         F.col("recommended").alias("excess"),
+        *([F.col("ts").alias(order_ts)] if order_ts else []),
     )
     joined = (
         base.join(supplier, "supplier_id", "left")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from ..operators import cleaning, kpi, timeagg
@@ -12,6 +14,7 @@ from .registry import query
 from .text import NEIGHBOUR_SQL, STATS_SQL, neighbour_mismatches, supplier_types
 
 CUT = "2001-01-01"
+NOW, BEFORE = "2026-02", "2026-01"
 
 
 def counted_header(spark, folder):
@@ -20,12 +23,42 @@ def counted_header(spark, folder):
     return cleaning.attach_line_count(header, counts, "order_id")
 
 
-def scalars(spark, folder, before: str | None = None):
-    header = counted_header(spark, folder)
-    if before:
-        header = header.filter(F.col("ts") < F.lit(before).cast("timestamp_ntz"))
+def header_keys(spark, folder):
+    """Key columns of the header, straight from the orders."""
+    orders = frames.table(spark, folder, "orders")
+    return orders.select(
+        F.col("o_orderkey").alias("order_id"), F.col("o_orderstatus").alias("status"),
+        F.col("o_orderdate").alias("ts"),
+    )
+
+
+def scalars(spark, folder):
+    line_keys = frames.table(spark, folder, "lineitem").select(F.col("l_linenumber").alias("line_no"))
     return kpi.scalar_kpis(
-        header, frames.signed_lines(spark, folder), frames.HEADER, frames.LINE
+        counted_header(spark, folder), frames.signed_lines(spark, folder), frames.HEADER, frames.LINE,
+        header_keys=header_keys(spark, folder), line_keys=line_keys,
+    )
+
+
+def scalars_of_two_runs(spark, folder):
+    """(period, metric, value): KPIs of all orders, and of those before the cut, in one pass.
+
+    A line belongs to the period of its order.
+    """
+    cut = F.lit(CUT).cast("timestamp_ntz")
+    header_periods = {NOW: F.lit(True), BEFORE: F.col("ts") < cut}
+    line_periods = {NOW: F.lit(True), BEFORE: F.col("_order_ts") < cut}
+    dates = header_keys(spark, folder).select("order_id", F.col("ts").alias("_order_ts"))
+    line_keys = frames.lines(spark, folder).select("order_id", "line_no").join(dates, "order_id", "left")
+    return kpi.scalar_kpis_by_period(
+        counted_header(spark, folder),
+        frames.signed_lines(spark, folder, "_order_ts"),
+        frames.HEADER,
+        replace(frames.LINE, not_counted_as_null=["_order_ts"]),
+        header_periods,
+        line_periods,
+        header_keys(spark, folder),
+        line_keys,
     )
 
 
@@ -50,6 +83,7 @@ _ODD_HEADER = """(claimed < 0) <> (recommended < 0) AND (claimed < 0) <> (agreed
 
 def scalars_sql(where: str = "true", suffix: str = "") -> str:
     """CTEs h, l, u and one-row ``k`` with all KPIs; needs the signed-line CTEs."""
+    of_lines = "true" if where == "true" else f"order_id IN (SELECT order_id FROM header WHERE {where})"
     return f"""hc{suffix} AS (
   SELECT header.* REPLACE (nullif(priority, '4-NOT SPECIFIED') AS priority), n AS line_count
   FROM header LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1)
@@ -73,10 +107,10 @@ l{suffix} AS (SELECT count(*) AS count_total_lines,
     count(*) FILTER (NOT is_plausible) AS count_discount_errors,
     count(*) FILTER (quantity < 0 OR quantity_agreed < 0
       OR (supplier_balance < 0) <> (customer_balance < 0)
-      OR (claimed < 0) <> (agreed < 0)) AS count_sign_line FROM flagged),
+      OR (claimed < 0) <> (agreed < 0)) AS count_sign_line FROM flagged WHERE {of_lines}),
 u{suffix} AS (SELECT
     (SELECT count(*) = count(DISTINCT order_id) FROM hc{suffix}) AS is_unique_order_id,
-    (SELECT count(*) = count(DISTINCT line_no) FROM lines) AS is_unique_line_id,
+    (SELECT count(*) = count(DISTINCT line_no) FROM lines WHERE {of_lines}) AS is_unique_line_id,
     (SELECT count(*) = count(DISTINCT (status, order_id)) FROM hc{suffix})
       AS is_unique_number_per_country,
     (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM hc{suffix}
@@ -175,17 +209,29 @@ comparison AS (SELECT *, CASE WHEN old_value <> 0 THEN
     WHEN current_value = 0 THEN 0 ELSE 100 END AS percent_change FROM changes)"""
 
 
-def comparison(spark, folder):
-    """KPIs on all orders against KPIs on the orders before the cut."""
-    keep = F.col("metric").isin(kpi.SCALAR_KPIS)
+def stored_comparison(spark, folder):
+    """KPIs of all orders against those of the orders before the cut, from stored rows.
+
+    Both runs' KPI rows come from one pass and are stored; the comparison, and any look
+    at a metric, reads the stored rows alone.
+    """
+    store = RunStore(spark, frames.scratch(spark))
+    rows = scalars_of_two_runs(spark, folder).filter(F.col("metric").isin(kpi.SCALAR_KPIS))
+    both = store.put("pass", "_kpi_values", rows)
+    for run in (BEFORE, NOW):
+        store.write(run, {"kpi_values": both.filter(F.col("period") == run).drop("period")})
     return kpi.compare_runs(
-        scalars(spark, folder).filter(keep), scalars(spark, folder, CUT).filter(keep)
+        store.read(NOW, "kpi_values"), store.read(store.previous(NOW), "kpi_values")
     )
 
 
 @query("k4_run_comparison", f"WITH {COMPARISON_SQL} SELECT * FROM comparison")
 def run_comparison(spark, folder):
-    return comparison(spark, folder)
+    """In one plan: no row is stored between the KPIs and their comparison."""
+    rows = scalars_of_two_runs(spark, folder).filter(F.col("metric").isin(kpi.SCALAR_KPIS))
+    value = {run: F.max(F.when(F.col("period") == run, F.col("value"))) for run in (NOW, BEFORE)}
+    both = rows.groupBy("metric").agg(value[NOW].alias("value"), value[BEFORE].alias("old"))
+    return kpi.with_changes(both.select("metric", F.col("value").alias("current_value"), F.col("old").alias("old_value")))
 
 
 @query(
@@ -195,7 +241,7 @@ def run_comparison(spark, folder):
     FROM comparison WHERE metric = 'count_total_orders'""",
 )
 def delta_lookup(spark, folder):
-    return kpi.delta_text(comparison(spark, folder), "count_total_orders")
+    return kpi.delta_text(stored_comparison(spark, folder), "count_total_orders")
 
 
 def _store(spark, folder):

@@ -83,16 +83,16 @@ _TYPES = {
 
 
 @query(
-    "p4_schema_listing",
+    "p4_schema_profile",
     " UNION ALL ".join(
         f"""(SELECT CAST({i} AS INTEGER) AS position, '{c}' AS column_name,
-      CASE typeof({c}) {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _TYPES.items())}
-      END AS data_type FROM orders LIMIT 1)"""
+      CASE any_value(typeof({c})) {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _TYPES.items())}
+      END AS data_type, count({c}) AS non_null, count(DISTINCT {c}) AS distinct_values FROM orders)"""
         for i, c in enumerate(ORDER_COLUMNS)
     ),
 )
-def schema_listing(spark, folder):
-    return profile.schema_rows(frames.raw(spark, folder, "orders"))
+def schema_profile(spark, folder):
+    return profile.schema_profile(frames.raw(spark, folder, "orders"))
 
 
 @query("p4_preview", "SELECT * FROM orders ORDER BY o_orderkey LIMIT 1000")

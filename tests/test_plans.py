@@ -132,3 +132,53 @@ def test_broadcast_only_within_the_row_limit(spark):
     assert "BroadcastHashJoin" in small
     hinted = plan(left.join(broadcast_if_small(side, 100 * width - 1), "key"))
     assert "strategy=broadcast" not in hinted
+
+
+def scans(df):
+    """File scans in the plan, reused exchanges aside."""
+    plan = df._jdf.queryExecution().explainString(
+        df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+    return [line for line in plan.splitlines() if "FileScan parquet" in line]
+
+
+def of_table(found, name):
+    return [line for line in found if f"/{name}.parquet" in line]
+
+
+def test_two_runs_are_compared_in_one_pass(spark):
+    """Header, lines and both keys: no more scans for two periods than for one."""
+    one = scans(contract.queries()["k1_scalar_kpi_table"](spark, FOLDER))
+    two = scans(contract.queries()["k4_run_comparison"](spark, FOLDER))
+    for name in ("part", "supplier"):
+        assert len(of_table(one, name)) == len(of_table(two, name)) == 1
+    # header and its keys, and the header of the lines; line counts, lines, line keys
+    assert len(of_table(one, "orders")) == 3 and len(of_table(one, "lineitem")) == 3
+    # the keys of lines, cut by the date of their order, read the orders once more
+    assert len(of_table(two, "orders")) == 4 and len(of_table(two, "lineitem")) == 3
+
+
+def test_lines_belong_to_the_period_of_their_order(spark):
+    found = contract.queries()["k4_run_comparison"](spark, FOLDER).collect()
+    change = {r["metric"]: r["absolute_change"] for r in found}
+    lines = [m for m in change if m in ("count_total_lines", "count_overshoot_line", "count_discount_errors")]
+    assert len(lines) == 3 and all(change[m] > 0 for m in lines) and change["count_total_orders"] > 0
+    old = {r["metric"]: r["old_value"] for r in found}
+    items = spark.read.parquet(f"{FOLDER}/lineitem.parquet")
+    orders = spark.read.parquet(f"{FOLDER}/orders.parquet").where("o_orderdate < TIMESTAMP_NTZ '2001-01-01'")
+    assert old["count_total_lines"] == items.join(orders, items.l_orderkey == orders.o_orderkey).count()
+
+
+def test_a_profile_scans_its_table_twice_whatever_the_columns(spark):
+    """Plain figures and value counts; the counts are stored, and only those are read again."""
+    from unittest import mock
+
+    from ledgerlens.operators import distribution
+
+    items = spark.read.parquet(f"{FOLDER}/lineitem.parquet")
+    made = []
+    with mock.patch.object(distribution, "pin", lambda df: made.append(df) or df):
+        rows = items.selectExpr("l_quantity q", "l_tax t").unpivot([], ["q", "t"], "column_name", "_v")
+        distribution.ordered_counts(rows, ["column_name"], "_v", [F.count(F.lit(1)).alias("_n")])
+    assert len(made) == 1 and len(scans(made[0])) == 1
+    found = contract.queries()["p1_numeric_profile_lines"](spark, FOLDER)
+    assert len(scans(found)) == 1
