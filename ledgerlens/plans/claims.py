@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules
+from ..functions.dates import month_label
 from ..functions.encoders import Encoder
 from ..operators import checks, cleaning, completeness, distribution, drift, kpi, profile
 from ..operators import text, timeagg
@@ -30,7 +31,10 @@ from ..sources.tables import read_table
 
 KEY = "KvaRechnung_ID"
 TS = "CRMEingangszeit"
+#: column that stored orders and positions are partitioned by; no metric looks at it
+MONTH = "_month"
 
+# Column names of the data model, and which of them drift reports compare.
 ORDER = HeaderRoles(
     key=KEY,
     number="KvaRechnung_Nummer",
@@ -65,9 +69,12 @@ ORDER_DRIFT = DriftRoles(
     TS,
     [ORDER.claimed, ORDER.recommended, ORDER.agreed, ORDER.residual],
     ["Land", ORDER.kind, "Falltyp_Name", ORDER.trade],
+    MONTH,
 )
 POSITION_DRIFT = DriftRoles(
-    TS, ["Menge", "Menge_Einigung", "EP", "EP_Einigung", "Forderung_Netto", "Einigung_Netto"]
+    TS,
+    ["Menge", "Menge_Einigung", "EP", "EP_Einigung", "Forderung_Netto", "Einigung_Netto"],
+    month=MONTH,
 )
 
 # Label columns that are text whatever the input says.
@@ -160,6 +167,7 @@ def order_metrics(
     orders: DataFrame, totals: DataFrame, settings: Settings
 ) -> dict[str, DataFrame]:
     """Metric tables over the stored orders, by stored name."""
+    # Names of the stored tables and of their columns.
     o = ORDER
     agreed = F.col(o.agreed)
     stats = text.association_stats(orders, o.company, o.trade)
@@ -253,6 +261,7 @@ def _semantic(orders: DataFrame, settings: Settings) -> DataFrame:
 
 def position_metrics(positions: DataFrame) -> dict[str, DataFrame]:
     """Metric tables over the stored positions, by stored name."""
+    # Names of the stored tables and of their columns.
     p = POSITION
     pair_rules = checks.sign_pair_rules(
         positions, p.quantity, p.quantity_agreed, p.sign_pairs
@@ -296,14 +305,14 @@ def run(
         "_timed_orders",
         time_orders(cleaning.narrow_integers(raw_orders), times, settings.time_dedupe),
     )
-    positions = store.put(run_id, "positionsdaten", clean_positions(raw_positions, timed))
+    positions = _by_month(store, run_id, "positionsdaten", clean_positions(raw_positions, timed))
     totals = store.put(
         run_id,
         "_order_totals",
         checks.line_totals(positions, KEY, POSITION.claimed, POSITION.agreed, POSITION.id),
     )
     counts = totals.select(KEY, "line_count")
-    orders = store.put(run_id, "auftragsdaten", clean_orders(timed, counts))
+    orders = _by_month(store, run_id, "auftragsdaten", clean_orders(timed, counts))
 
     tables = {
         **order_metrics(orders, totals, settings),
@@ -346,6 +355,12 @@ def run(
     return store
 
 
+def _by_month(store: RunStore, run_id: str, name: str, df: DataFrame) -> DataFrame:
+    """Store a table by month, so that date ranges read their months alone."""
+    months = df.withColumn(MONTH, month_label(TS))
+    return store.put(run_id, name, months, [MONTH]).drop(MONTH)
+
+
 def _long(scalars: DataFrame, issues: DataFrame) -> DataFrame:
     """Both KPI rows as (metric, value), each metric once; null means "not run"."""
     new = [c for c in issues.columns if c not in scalars.columns]

@@ -35,13 +35,15 @@ class RunStore:
             return self.spark.createDataFrame([], _MANIFEST)
         return self.spark.read.schema(_MANIFEST).parquet(path)
 
-    def put(self, run_id: str, name: str, df: DataFrame) -> DataFrame:
+    def put(
+        self, run_id: str, name: str, df: DataFrame, partition_by: list[str] | None = None
+    ) -> DataFrame:
         """Write one table without listing it, and return it as stored."""
-        write_table(df, self._path(run_id, name))
+        write_table(df, self._path(run_id, name), partition_by)
         return self.read(run_id, name)
 
     def put_all(
-        self, run_id: str, tables: dict[str, DataFrame], parallel: int = 4
+        self, run_id: str, tables: dict[str, DataFrame], parallel: int = 8
     ) -> dict[str, DataFrame]:
         """Write several tables, a few jobs at a time, to keep the cluster busy."""
         with ThreadPoolExecutor(parallel) as pool:

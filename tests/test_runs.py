@@ -6,7 +6,8 @@ import pytest
 
 from encoder_helper import trigram_encoder
 from ledgerlens.operators import kpi
-from ledgerlens.plans import claims
+from ledgerlens.operators import drift
+from ledgerlens.plans import batch, claims
 from ledgerlens.sources.drift_store import DriftStore
 from ledgerlens.sources.runs import RunStore
 from ledgerlens.sources.tables import export_csv
@@ -272,3 +273,31 @@ def test_claims_run_without_encoder_on_clean_data(spark, tmp_path):
     again = claims.run(spark, paths, str(tmp_path / "out"), "r2", claims.Settings([]))
     row = again.read("r2", "metric_comparison").filter("Metric = 'count_semantic_outliers'").first()
     assert row["Current_Value"] is None and row["Percent_Change"] is None
+
+
+def test_two_batch_runs_over_the_small_tables(spark, monkeypatch):
+    """Both registered queries read one pair of runs; dates are pruned by month."""
+    folder = "/root/testdata/sf0.001"
+    store = batch.both_runs(spark, folder)
+    monkeypatch.setattr(batch, "both_runs", lambda *_: store)
+    counted = batch.table_counts(store).collect()
+    assert batch.batch_run_tables(spark, folder).count() == 16
+    for run in batch.RUNS:
+        assert sorted(r["table_name"] for r in counted if r["run_id"] == run) == sorted(RESULTS)
+    rows = {(r["run_id"], r["table_name"]): r["row_count"] for r in counted}
+    new = {r["Metric"]: r["Current_Value"] for r in batch.batch_comparison(spark, folder).collect()}
+    old = {r["Metric"]: r["Old_Value"] for r in batch.batch_comparison(spark, folder).collect()}
+    for run, values in zip(batch.RUNS, (old, new)):
+        assert rows[run, "auftragsdaten"] == values["count_total_orders"]
+        assert rows[run, "positionsdaten"] == values["count_total_positions"]
+        assert rows[run, "metric_above_50k"] == values["count_above_50k"]
+        assert rows[run, "metric_empty_orders_dataframe"] == values["count_empty_orders"]
+    assert old["count_total_positions"] < new["count_total_positions"]
+
+    orders = store.read(batch.RUNS[1], "auftragsdaten")
+    slices = drift._both_slices(
+        orders, claims.ORDER_DRIFT, [claims.ORDER.claimed], ("1996-01-01", "1996-03-01"), ("1997-02-01", "1997-03-01")
+    )
+    plan = slices._jdf.queryExecution().executedPlan().toString()
+    filters = plan.split("PartitionFilters: [")[1].split("], PushedFilters")[0]
+    assert "_month" in filters and "1996-01" in filters and "1997-02" in filters
