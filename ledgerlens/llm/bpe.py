@@ -17,7 +17,7 @@ from collections.abc import Callable, Hashable
 import ahocorasick
 
 #: bytes that the words of a task, and its pair tests, may take
-MEMORY_BYTES, PAIRS_BYTES = 60_000_000, 30_000_000
+MEMORY_BYTES, PAIRS_BYTES = 100_000_000, 40_000_000
 #: what an entry of a dictionary takes beside its key and value; a pair test as a whole
 ENTRY_BYTES, PAIR_BYTES = 100, 160
 
