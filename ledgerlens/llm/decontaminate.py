@@ -6,13 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.joins import pin
-from .common import column, skewed_join
+from .common import column, if_small, skewed_join
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Fixed value: what a word is, after lower-casing A-Z.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: largest number of test n-grams that becomes a hash set inside the plan
-SET_SIZE = 50_000
+#: test windows whose hashes are broadcast in one pass over the documents: about 50 MB as a hash table
+PASS_HASHES = 1_000_000
+#: bytes of an MD5 in hexadecimal as a row of a hash table
+DIGEST_BYTES = 96
 
 
 def words_of(text: Column) -> Column:
@@ -25,8 +27,8 @@ def gram_at(words: Column, start: Column, size: int) -> Column:
 
 
 def hash_at(words: Column, start: Column, size: int) -> Column:
-    """Hash of ``size`` words from ``start`` (1-based), without joining them."""
-    return F.xxhash64(*[F.element_at(words, (start + k).cast("int")) for k in range(size)])
+    """Hash of ``size`` words from ``start`` (1-based) and of their number, without joining them."""
+    return F.xxhash64(F.lit(size), *[F.element_at(words, (start + k).cast("int")) for k in range(size)])
 
 
 def starts(words: Column, size: int) -> Column:
@@ -61,20 +63,6 @@ def covered(spans: Column) -> Column:
     return F.aggregate(spans, begin, add, lambda acc: acc["n"])
 
 
-def span(start: Column, size: int, gram: Column) -> Column:
-    return F.struct(start.alias("start"), F.lit(size).alias("n"), gram.alias("gram"))
-
-
-def spans_at(words: Column, places: Column, size: int) -> Column:
-    return F.transform(places, lambda i: span(i, size, gram_at(words, i, size)))
-
-
-def verified(words: Column, size: int, hashes: list[int], grams: list[str]) -> Column:
-    """Windows of ``size`` words whose hash is in the set and whose words are, too."""
-    hits = F.filter(starts(words, size), lambda i: hash_at(words, i, size).isin(hashes))
-    return F.filter(spans_at(words, hits, size), lambda s: s["gram"].isin(grams))
-
-
 def with_words(text: Column, make) -> Column:
     """``make(words)`` with the words cut out once.
 
@@ -85,44 +73,92 @@ def with_words(text: Column, make) -> Column:
     return F.transform(F.array(words), make)[0]
 
 
-def scan(
-    docs: DataFrame, items: DataFrame, keep: dict[str, str], text: str = "text",
-    item_id: str = "item_id", item_text: str = "text", size: int = 10, set_size: int = SET_SIZE,
-) -> DataFrame:
-    """Kept columns of every document plus n_words and ``spans``: (start, n, gram) found.
+def hash_table(windows: DataFrame, sizes: list[int]) -> DataFrame:
+    """(hash, n) of every distinct test window, pinned."""
+    words = windows.select("gram", "n").distinct().withColumn("w", F.split("gram", " "))
+    made = F.lit(None).cast("long")
+    for n in sizes:
+        made = F.when(F.col("n") == n, hash_at(F.col("w"), F.lit(1), n)).otherwise(made)
+    return pin(words.select(made.alias("hash"), "n").distinct())
+
+
+def looked_up(texts: DataFrame, keep: list[str], hashes: DataFrame, sizes: list[int], first: bool) -> DataFrame:
+    """Rows (keep, digest, n_words, copy, span) of one pass; one row a text without a span if ``first``.
 
-    The hash of every window is looked up in the hash set of the test windows, and hits
-    are verified on their words. Up to ``set_size`` counted test windows the sets are part of the
-    plan and no row is moved; beyond it windows and test windows are joined.
+    The window hashes of a text, shorter windows first, are one array; place 0 stands for
+    the text itself. Place and size of a hit give its start. Only hits get their words
+    joined, as all between is one stage that writes no row.
     """
-    windows = pin(test_windows(items, item_id, item_text, size))
-    out = docs.select(*(column(c).alias(n) for n, c in keep.items()), column(text).alias("_text"))
-    empty = F.array().cast("array<struct<start:int,n:int,gram:string>>")
-    sizes = [r["n"] for r in windows.select("n").distinct().orderBy("n").collect()]
-    if windows.count() > set_size:
-        out = pin(out.withColumn("_place", F.monotonically_increasing_id()))
-        every = with_words(
-            F.col("_text"), lambda w: F.concat(*[spans_at(w, starts(w, n), n) for n in sizes])
-        )
-        own = out.select("_place", F.inline(every))
-        hits = own.join(windows.select("gram", "n").distinct(), ["gram", "n"])
-        hits = hits.groupBy("_place").agg(F.array_sort(F.collect_set(F.struct("start", "n", "gram"))).alias("spans"))
-        out = out.join(hits, "_place", "left")
-        number = with_words(F.col("_text"), F.size)
-        return out.select(*keep, number.cast("long").alias("n_words"), F.coalesce("spans", empty).alias("spans"))
-    sets = []
-    for n in sizes:
-        own = windows.where(F.col("n") == n).select("gram").distinct()
-        own = own.withColumn("_v", F.split("gram", " "))
-        rows = own.select("gram", hash_at(F.col("_v"), F.lit(1), n).alias("hash")).collect()
-        sets.append((n, list({r["hash"] for r in rows}), [r["gram"] for r in rows]))
+    def hashes_of(words: Column, size: int) -> Column:
+        return F.transform(starts(words, size), lambda i: hash_at(words, i, size))
 
     def look(words: Column) -> Column:
-        found = [verified(words, *own) for own in sets]
-        return F.struct(F.size(words).alias("n"), F.array_sort(F.concat(empty, *found)).alias("spans"))
+        own = [hashes_of(words, n) for n in sizes]
+        return F.struct(words.alias("w"), F.concat(F.array(F.lit(0).cast("long")), *own).alias("h"))
+
+    cut = texts.select(*keep, "digest", with_words(F.col("_text"), look).alias("_f"))
+    # explode_outer: for a plain one Spark adds a filter that would hash all windows twice
+    rows = cut.select(*keep, "digest", F.col("_f.w").alias("w"), F.posexplode_outer("_f.h").alias("place", "hash"))
+    number, found = F.size("w"), rows.join(F.broadcast(hashes), "hash", "left")
+    before = F.lit(0)
+    start = F.lit(None).cast("int")
+    for n in sizes:
+        start = F.when(F.col("n") == n, F.col("place") - before).otherwise(start)
+        before = before + F.greatest(number - (n - 1), F.lit(0))
+    hit = (F.col("place") > 0) & F.col("n").isNotNull() & start.between(1, number - F.col("n") + 1)
+    itself = (F.col("place") == 0) & F.lit(first)
+    found = found.where(F.coalesce(hit, F.lit(False)) | itself)
+    gram = F.concat_ws(" ", F.slice("w", start, F.col("n")))
+    one = F.struct(start.cast("int").alias("start"), F.col("n").cast("int").alias("n"), gram.alias("gram"))
+    copy = F.when(F.col("place") == 0, 1).otherwise(0)
+    return found.select(*keep, "digest", number.alias("n_words"), copy.alias("copy"), F.when(copy == 0, one).alias("span"))
 
-    out = out.withColumn("_f", with_words(F.col("_text"), look))
-    return out.select(*keep, F.col("_f.n").cast("long").alias("n_words"), F.col("_f.spans").alias("spans"))
+
+def scan(
+    docs: DataFrame, windows: DataFrame, keep: dict[str, str], text: str = "text",
+    pass_hashes: int | None = None, clean: bool = True,
+) -> DataFrame:
+    """Kept columns of the documents, digest, n_words, copies, and ``spans``: (start, n, gram) found.
+
+    ``windows`` is pinned and has (item, gram, n). The hash of every window of a text is
+    looked up in a broadcast table of the test windows' hashes; more than ``pass_hashes``
+    of these (default ``PASS_HASHES``) take several passes over the documents, each with
+    its part of the hashes, by the same plan. No text is moved: what is shuffled is a slim
+    row per text (without ``clean`` only for those with hits) and the hits, combined per
+    text. Equal rows become one with their number. Hits are verified on their words.
+    """
+    limit = pass_hashes or PASS_HASHES
+    sizes = [r["n"] for r in windows.select("n").distinct().orderBy("n").collect()]  # 1 to size
+    hashes = hash_table(windows, sizes)
+    passes = max(1, -(-hashes.count() // limit))
+    source = docs.select(*(column(c).alias(n) for n, c in keep.items()), column(text).alias("_text"))
+    source = source.withColumn("digest", F.md5(F.col("_text").cast("binary")))
+    found = None
+    for k in range(passes):
+        part = hashes.where(F.pmod("hash", F.lit(passes)) == k)
+        rows = looked_up(source, list(keep), part, sizes, clean and k == 0)
+        found = rows if found is None else found.unionByName(rows)
+    spans = F.array_sort(F.collect_set("span")).alias("spans")
+    texts = found.groupBy(*keep, "digest").agg(F.max("n_words").cast("long").alias("n_words"), F.sum("copy").alias("copies"), spans)
+    return verified(pin(texts), windows)
+
+
+def verified(texts: DataFrame, windows: DataFrame) -> DataFrame:
+    """Spans whose words are a test window; those of equal hashes alone go.
+
+    Of the hits only the distinct grams are moved. That two texts of words share a 64-bit
+    hash is rare, so the rows are mostly left as they are.
+    """
+    grams = texts.select(F.explode("spans.gram").alias("gram")).distinct()
+    wrong = if_small(grams.join(windows.select("gram").distinct(), "gram", "left_anti"), 256)
+    if wrong.isEmpty():
+        return texts
+    names = [c for c in texts.columns if c != "spans"]
+    keys = F.struct(*names).alias("_key")
+    each = texts.select(keys, F.explode_outer("spans").alias("span")).withColumn("gram", F.col("span.gram"))
+    marked = each.join(wrong.withColumn("wrong", F.lit(True)), "gram", "left")
+    right = marked.groupBy("_key").agg(F.collect_set(F.when(F.col("wrong").isNull(), F.col("span"))).alias("spans"))
+    return right.select("_key.*", F.array_sort("spans").alias("spans"))
 
 
 def contamination(
@@ -138,16 +174,18 @@ def contamination(
     joined with the items, on (id, hash of what was found), so that equal rows share
     one list.
     """
-    scanned = scan(docs, items, {"doc_id": doc_id}, text, item_id, item_text, size)
+    windows = pin(test_windows(items, item_id, item_text, size))
+    scanned = scan(docs, windows, {"doc_id": doc_id}, text)
     slim = scanned.select(
-        "doc_id", "n_words", covered(F.col("spans")).alias("n_hit"),
-        F.array_distinct(F.transform("spans", lambda s: s["gram"])).alias("grams"),
+        "doc_id", "n_words", "copies", covered(F.col("spans")).alias("n_hit"),
+        F.array_distinct("spans.gram").alias("grams"),
     ).withColumn("digest", F.md5(F.concat_ws("\n", "grams")))
+    slim = slim.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("_", "copies")
     slim = pin(slim)
-    windows = test_windows(items, item_id, item_text, size).select("item", "gram")
     hit = slim.where(F.size("grams") > 0)
     lists = hit.groupBy("digest").agg(F.first("grams").alias("grams"))
-    pairs = lists.select("digest", F.explode("grams").alias("gram")).join(windows, "gram")
+    pairs = lists.select("digest", F.explode("grams").alias("gram"))
+    pairs = skewed_join(pairs, windows.select("item", "gram"), ["gram"], "inner")
     found = pairs.groupBy("digest").agg(F.array_sort(F.collect_set("item")).alias("items"))
     joined = skewed_join(hit.drop("grams"), found, ["digest"], "left").select("doc_id", "n_words", "n_hit", "items")
     clean = slim.where(F.size("grams") == 0)
@@ -160,8 +198,13 @@ def contamination(
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", size: int = 10) -> DataFrame:
-    """Documents in which no test window occurs; their columns stay as they are."""
-    columns = docs.columns
-    row = docs.select(F.struct(*(column(c) for c in columns)).alias("_row"), column(text).alias("_text"))
-    scanned = scan(row, items, {"_row": "_row"}, "_text", size=size)
-    return scanned.where(F.size("spans") == 0).select("_row.*")
+    """Documents in which no test window occurs; their columns stay as they are.
+
+    What the windows occur in is known by the texts' digests; rows are moved only if these
+    outgrow a broadcast.
+    """
+    windows = pin(test_windows(items, "item_id", "text", size))
+    hit = scan(docs, windows, {}, text, clean=False).where(F.size("spans") > 0)
+    hit = if_small(hit.select(F.col("digest").alias("_digest")), DIGEST_BYTES)
+    digest = F.md5(column(text).cast("binary"))
+    return docs.join(hit, digest == F.col("_digest"), "left_anti")

@@ -3,6 +3,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerlens.llm import decontaminate
 
@@ -44,9 +45,50 @@ def tables(spark):
     return docs, items, made, spark.createDataFrame(items, "item_id long, text string")
 
 
-@pytest.mark.parametrize("set_size", [50_000, 0])
-def test_hits_equal_brute_force(spark, monkeypatch, set_size):
-    monkeypatch.setattr(decontaminate.scan, "__defaults__", (*decontaminate.scan.__defaults__[:-1], set_size))
+@pytest.mark.parametrize("pass_hashes", [None, 30])
+def test_hits_equal_brute_force(spark, monkeypatch, pass_hashes):
+    """In one pass and in several."""
+    if pass_hashes:
+        monkeypatch.setattr(decontaminate, "PASS_HASHES", pass_hashes)
+    check(spark)
+
+
+def test_equal_hashes_are_told_apart_by_words(spark, monkeypatch):
+    """A hash that only knows the first two words: hits of other words are no hits."""
+    monkeypatch.setattr(decontaminate, "hash_at", lambda words, start, size: F.xxhash64(
+        *[F.element_at(words, (start + k).cast("int")) for k in range(min(size, 2))]))
+    check(spark)
+
+
+def shape(df):
+    text = df._jdf.queryExecution().optimizedPlan().toString()
+    return re.findall(r"(?m)^[ :+-]*(\w+)", text)
+
+
+def test_one_plan_for_one_and_for_many_windows(spark):
+    docs, items, df, _ = tables(spark)
+    schema = "item_id long, text string"
+    target = items[0][1]
+    one = spark.createDataFrame([(0, " ".join(target.split()[:10]))], schema)
+    many = spark.range(2000).selectExpr(
+        "id AS item_id", "concat_ws(' ', transform(sequence(1, 109), k -> concat('v', id, 'x', k))) AS text")
+    many = many.union(one)
+    plans = []
+    for bench, least in ((one, 1), (many, 200_000)):
+        windows = decontaminate.pin(decontaminate.test_windows(bench, "item_id", "text", 10))
+        assert windows.count() >= least
+        hashes = decontaminate.hash_table(windows, [10])
+        source = df.select("doc_id", F.col("text").alias("_text"), F.md5(F.col("text").cast("binary")).alias("digest"))
+        rows = decontaminate.looked_up(source, ["doc_id"], hashes, [10], True)
+        assert rows._jdf.queryExecution().sparkPlan().toString().count("BroadcastHashJoin") == 1
+        plans.append(shape(rows))
+    assert plans[0] == plans[1]
+    want = sorted((str(i), brute(t, [(0, " ".join(target.split()[:10]))])[1]) for i, t in docs)
+    found = decontaminate.contamination(df, many).collect()
+    assert sorted((str(r["doc_id"]), r["n_hit"]) for r in found) == want
+
+
+def check(spark):
     docs, items, df, bench = tables(spark)
     found = decontaminate.contamination(df, bench).collect()
     want = [(i, *brute(t, items)) for i, t in docs]
