@@ -3,7 +3,8 @@
 1. Documents with equal sets form classes; the smallest id of each goes on.
 2. Sets of similar size share a *band*. A band cuts the hash range into more segments
    than two linked sets can differ in, so that linked sets agree in a whole segment.
-   Documents that agree in a segment are put into the same candidate group.
+   Documents that agree in a segment are put into the same candidate group: first within
+   each run of texts of a task, so that a frequent segment is one row per run in the shuffle.
 3. Candidate groups are cut into *tiles*: pairs of blocks of neighbouring sizes. In a
    tile hashed bitmaps bound each pair's overlap from above (a bit that only one side
    has is an element that only it has); the sorted hash arrays of the surviving pairs
@@ -125,8 +126,30 @@ def features(size: int):
     return run
 
 
+def local_stars(keys: np.ndarray, owners: np.ndarray) -> pa.RecordBatch:
+    """(key, node) pairs → the first node of each key, and links of the others to it.
+
+    A row without ``head`` still has to meet its key's other rows. A link (head, node) is
+    settled, once however many keys agree; its key only spreads it over the tasks.
+    """
+    unique, first, place = np.unique(keys, return_index=True, return_inverse=True)
+    heads = owners[first][place]
+    links = np.unique(np.stack([heads, owners])[:, heads != owners], axis=1)
+    spread = mix(mix(links[0].view(np.uint64), 20) ^ links[1].view(np.uint64), 21)
+    settled = np.arange(len(unique) + links.shape[1]) >= len(unique)
+    head = np.concatenate([owners[first], links[0]])
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(signed(np.concatenate([unique, spread]))),
+            pa.array(np.concatenate([owners[first], links[1]])),
+            pa.array(head, mask=~settled),
+        ],
+        names=["key", "node", "head"],
+    )
+
+
 def segment_rows(size: int, percent: int):
-    """(node, text) batches → (key, node) rows."""
+    """(node, text) batches → (key, node, head) rows, combined within each run of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
@@ -138,10 +161,7 @@ def segment_rows(size: int, percent: int):
                     for own in bands.keys(shingles(text, size)):
                         keys.append(own)
                         owners.append(np.full(len(own), node, np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(np.concatenate(keys))), pa.array(np.concatenate(owners))],
-                    names=["key", "node"],
-                )
+                yield local_stars(np.concatenate(keys), np.concatenate(owners))
         release()
 
     return run
@@ -269,9 +289,10 @@ def similar_groups(
     Links: 100 · overlap ≥ percent · union of the sets of word n-grams; a text with
     fewer words is one n-gram, one without words links with nothing. Rows with one and
     the same id are one document, whatever their texts. Rows without an id get no
-    component. Repeated rows stay repeated; an empty table gives an empty table.
-    Equality of n-grams is equality of their 64-bit hashes.
+    component. Repeated rows stay repeated; an empty table gives an empty table. Ids are
+    integers (cast to long). Equality of n-grams is equality of their 64-bit hashes.
     """
+    docs = docs.select(column(doc_id).cast("long").alias(doc_id), column(text).alias(text))
     base = map_texts(docs, {"doc_id": doc_id}, text, features(size), "n long, d1 long, d2 long", release)
     base = pin(base)
     named = base.where("doc_id IS NOT NULL AND n > 0")
@@ -286,8 +307,9 @@ def similar_groups(
     texts = texts.where("node IS NOT NULL AND _text IS NOT NULL")
     left_out = if_small(left_out.select(F.col("doc_id").alias("node")), 16)
     heads = texts.join(left_out, "node", "left_anti")
-    keyed = heads.mapInArrow(segment_rows(size, percent), "key long, node long")
-    first = keyed.withColumn("a", F.expr("min(node) OVER (PARTITION BY key)"))
+    keyed = heads.mapInArrow(segment_rows(size, percent), "key long, node long, head long")
+    least = "min(CASE WHEN head IS NULL THEN node END) OVER (PARTITION BY key)"
+    first = keyed.withColumn("a", F.expr(f"coalesce(head, {least})"))
     stars = first.where("node != a").select("a", F.col("node").alias("b")).distinct()
     groups = components(stars)
 
