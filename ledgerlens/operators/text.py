@@ -14,6 +14,8 @@ from .joins import BROADCAST_BYTES, attach, not_null, pin
 
 #: keyword rules in priority order: (label, keywords)
 Rules = list[tuple[str, list[str]]]
+#: characters of a gram in the index of a rule table
+GRAM = 3
 
 
 def association_stats(
@@ -53,16 +55,11 @@ def keyword_verdict(company: Column, trade: Column, rules: Rules) -> Column:
     return _verdict(matching_labels(company, rules_array(rules)), trade)
 
 
-def rules_array(rules: Rules | DataFrame) -> Column:
+def rules_array(rules: Rules) -> Column:
     """Rules as one array of (label, lower-case words) in order of priority.
 
-    A list becomes a literal; a table (priority, label, keywords) a scalar subquery, so
-    that it never passes through the driver.
+    For a list of rules, which becomes a literal; ``rule_labels`` takes a table.
     """
-    if isinstance(rules, DataFrame):
-        words = F.transform("keywords", F.lower)
-        rule = F.struct("priority", "label", words.alias("words"))
-        return rules.agg(F.array_sort(F.collect_list(rule))).scalar()
     if not rules:
         return F.array().cast("array<struct<label:string,words:array<string>>>")
     words = [F.array(*[F.lit(w.lower()) for w in found]).cast("array<string>") for _, found in rules]
@@ -88,15 +85,70 @@ def _verdict(labels: Column, trade: Column) -> Column:
     return F.coalesce(confirmed, conflict, F.lit("NO_KEYWORD_INFO"))
 
 
+def keyword_index(rules: DataFrame) -> DataFrame:
+    """Inverted index of a rule table: (size, gram, word, priority, label).
+
+    Each keyword stands under one of its grams, the one that the fewest keywords hold (of
+    equal ones the first by text). Grams have three characters; a shorter keyword is its
+    own gram.
+    """
+    words = rules.select("priority", "label", F.explode("keywords").alias("word"))
+    words = words.select("priority", "label", F.lower("word").alias("word")).where("word IS NOT NULL")
+    words = words.distinct()
+    size = F.least(F.length("word"), F.lit(GRAM))
+    grams = words.select("word").distinct().select("word", size.alias("size"))
+    grams = grams.select("word", "size", F.explode(grams_of("word", F.col("size"))).alias("gram"))
+    held = grams.groupBy("size", "gram").agg(F.count(F.lit(1)).alias("held"))
+    rated = attach(grams, held, ["size", "gram"])
+    best = rated.groupBy("word").agg(F.min(F.struct("held", "size", "gram")).alias("best"))
+    return attach(words, best, "word", "inner").select(
+        "best.size", "best.gram", "word", "priority", "label"
+    )
+
+
+def grams_of(text: str, size: Column) -> Column:
+    """Distinct substrings of ``size`` characters; the empty one for size 0."""
+    last = F.length(text) - size + 1
+    places = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(places, lambda i: F.substring(F.col(text), i, size)))
+
+
+def rule_labels(names: DataFrame, name: str, rules: DataFrame) -> DataFrame:
+    """Distinct names with ``_labels``: distinct labels of the matching rules, by priority.
+
+    The grams of the names are joined with the keywords' index, and what they find is
+    verified on the whole keyword. So a name is compared with the few keywords that share
+    a gram with it, whatever the number of rules, and no row holds all of them. Names
+    without a match have no row.
+    """
+    index = pin(keyword_index(rules))
+    sizes = F.array(*[F.lit(r["size"]) for r in index.select("size").distinct().collect()])  # 0 to GRAM
+    own = names.select(F.col(name).alias("_name"), F.lower(name).alias("_text"))
+    own = own.select("_name", "_text", F.explode(sizes.cast("array<int>")).alias("size"))
+    own = own.select("_name", "_text", "size", F.explode(grams_of("_text", F.col("size"))).alias("gram"))
+    met = attach(own, index, ["size", "gram"], "inner").where(F.contains("_text", "word"))
+    found = met.groupBy("_name", "label").agg(F.min("priority").alias("priority"))
+    found = found.groupBy("_name").agg(F.collect_list(F.struct("priority", "label")).alias("hits"))
+    labels = F.transform(F.array_sort("hits"), lambda hit: hit["label"])
+    return found.select(F.col("_name").alias(name), labels.alias("_labels"))
+
+
 def with_keyword_verdict(
     df: DataFrame, company: str, trade: str, rules: Rules | DataFrame, name: str = "check_result"
 ) -> DataFrame:
-    """Add the verdict; each distinct name is matched with the keywords once."""
+    """Add the verdict; each distinct name is matched with the keywords once.
+
+    ``rules`` is a list in order of priority or a table (priority, label, keywords).
+    """
     names = not_null(df.select(F.col(company).alias("_name")), ["_name"]).distinct()
-    labels = matching_labels(F.col("_name"), F.col("_rules")).alias("_labels")
-    labelled = names.withColumn("_rules", rules_array(rules))
-    labelled = labelled.select(F.col("_name").alias(company), labels)
-    verdict = _verdict(F.col("_labels"), F.col(trade))
+    names = names.withColumnRenamed("_name", company)
+    if isinstance(rules, DataFrame):
+        labelled = rule_labels(names, company, rules)
+    else:
+        labels = matching_labels(F.col(company), F.col("_rules")).alias("_labels")
+        labelled = names.withColumn("_rules", rules_array(rules)).select(company, labels)
+    labels = F.coalesce("_labels", F.array().cast("array<string>"))
+    verdict = _verdict(labels, F.col(trade))
     return attach(df, labelled, company).withColumn(name, verdict).drop("_labels")
 
 

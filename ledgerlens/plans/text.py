@@ -121,6 +121,34 @@ def keyword_classification_many_rules(spark, folder):
     return text.with_keyword_verdict(part, "p_name", "p_type", MANY_RULES)
 
 
+@query(
+    "t3_keyword_rule_table",
+    """WITH named AS (
+      SELECT p_partkey, p_brand || ' ' || p_name AS company, p_type FROM part),
+    rules AS (
+      SELECT lower(company) AS word, min(p_partkey) AS priority, arg_min(p_type, p_partkey) AS label
+      FROM named GROUP BY 1),
+    hits AS (
+      SELECT company, label, min(priority) AS priority
+      FROM (SELECT DISTINCT company FROM named) JOIN rules ON contains(lower(company), word)
+      GROUP BY 1, 2),
+    verdicts AS (
+      SELECT n.company, n.p_type, bool_or(label = n.p_type) AS own,
+        arg_min(label, priority) FILTER (label IS DISTINCT FROM n.p_type) AS other
+      FROM (SELECT DISTINCT company, p_type FROM named) n LEFT JOIN hits USING (company) GROUP BY 1, 2)
+    SELECT p_partkey, n.company, n.p_type, CASE WHEN own THEN 'CONFIRMED_BY_NAME'
+      WHEN other IS NOT NULL THEN 'CONFLICT_WITH_' || upper(other) ELSE 'NO_KEYWORD_INFO' END AS check_result
+    FROM named n JOIN verdicts v ON n.company = v.company AND n.p_type IS NOT DISTINCT FROM v.p_type""",
+)
+def keyword_rule_table(spark, folder):
+    """Rules as a table that grows with the data: each brand and name stands for its first part's type."""
+    company = F.concat_ws(" ", "p_brand", "p_name").alias("company")
+    part = frames.table(spark, folder, "part").select("p_partkey", company, "p_type")
+    first = part.groupBy("company").agg(F.min("p_partkey").alias("priority"), F.min_by("p_type", "p_partkey").alias("label"))
+    rules = first.select("priority", "label", F.array("company").alias("keywords"))
+    return text.with_keyword_verdict(part, "company", "p_type", rules)
+
+
 NEIGHBOUR_SQL = """neighbours AS (
   SELECT a.vec_id AS company, b.vec_id AS trade, list_cosine_similarity(
       CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS similarity

@@ -1,3 +1,4 @@
+import zlib
 from datetime import datetime
 
 import pytest
@@ -56,6 +57,44 @@ def test_rules_from_a_table_keep_their_order(spark):
     }
 
 
+def test_a_rule_table_equals_a_list_of_rules(spark):
+    """Short, empty, null, repeated and mixed-case keywords; null names and trades."""
+    rules = [
+        (1, "One", ["a"]), (2, "Two", ["AB", "zz", "ab"]), (3, "Three", ["äöü", "%_", "c++"]),
+        (4, "Four", []), (5, "Five", ["longer words", None]), (6, "One", ["zz"]), (7, "All", [""]),
+    ]
+    table = spark.createDataFrame(rules, "priority int, label string, keywords array<string>")
+    names = ["A", "xabx", "ÄÖÜ", "50%_", "C++", "some longer words", "longer", "", "zz", None]
+    rows = [(n, t, "k") for n in names for t in ["One", "Three", None, "All"]]
+    df = spark.createDataFrame(rows, "company string, trade string, priority string")
+    listed = [(label, [w for w in words if w is not None]) for _, label, words in rules]
+    for some in (table, table.where("label != 'All'"), table.limit(0)):
+        kept = {r["priority"] for r in some.collect()}
+        own = [rule for rule, (k, *_) in zip(listed, rules) if k in kept]
+        want = text.with_keyword_verdict(df, "company", "trade", own).collect()
+        found = text.with_keyword_verdict(df, "company", "trade", some).collect()
+        assert sorted(map(repr, found)) == sorted(map(repr, want))
+
+
+def test_twenty_thousand_rules_of_a_table(spark):
+    rules = spark.range(20_000).selectExpr(
+        "id AS priority", "concat('T', id % 5000) AS label",
+        "array(concat('w', id, 'x'), concat('key ', id * 7, ' of')) AS keywords")
+    names = spark.range(200_000).selectExpr(
+        "concat('Firma W', id * 13 % 60000, 'X und key ', id % 200000, ' of') AS company",
+        "concat('T', id % 5000) AS trade")
+    found = text.with_keyword_verdict(names, "company", "trade", rules)
+    plan = text.rule_labels(names.select("company"), "company", rules)
+    assert "ScalarSubquery" not in plan._jdf.queryExecution().optimizedPlan().toString()
+    words = [(label, keys) for _, label, keys in map(tuple, rules.collect())]
+    part = [r for r in found.collect() if zlib.crc32(r["company"].encode()) % 2000 == 0]
+    assert len(part) > 30
+    for company, trade, verdict in part:
+        hits = [label for label, keys in words if any(w in company.lower() for w in keys)]
+        want = f"CONFLICT_WITH_{hits[0]}" if hits else "NO_KEYWORD_INFO"
+        assert verdict == ("CONFIRMED_BY_NAME" if trade in hits else want)
+
+
 def test_many_keyword_rules_compile_and_equal_brute_force(spark):
     rules = [(f"T{i}", [f"w{i}x{k}" for k in range(6)]) for i in range(62)]
     rows = [(f"a w{i}x{i % 6} and W{(7 * i) % 62}x{k} z", f"T{k * 9}") for i in range(62) for k in range(6)]
