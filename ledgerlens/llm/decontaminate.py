@@ -83,10 +83,12 @@ def hash_table(windows: DataFrame, sizes: list[int]) -> DataFrame:
 
 
 def looked_up(texts: DataFrame, keep: list[str], hashes: DataFrame, sizes: list[int], first: bool) -> DataFrame:
-    """Rows (keep, digest, n_words, copy, span) of one pass; one row a text without a span if ``first``.
+    """Rows (keep, digest, n_words, copy, span) of one pass: a text's hits, and a row without a span.
 
     The window hashes of a text, shorter windows first, are one array; place 0 stands for
-    the text itself. Place and size of a hit give its start. Only hits get their words
+    the text itself, which ``first`` counts as a copy. That row is there in every pass:
+    the generated code of a plan that emits nothing for most texts ended the JVM (SIGSEGV
+    in the slice of words; cause not found). Place and size of a hit give its start. Only hits get their words
     joined, as all between is one stage that writes no row.
     """
     def hashes_of(words: Column, size: int) -> Column:
@@ -106,17 +108,17 @@ def looked_up(texts: DataFrame, keep: list[str], hashes: DataFrame, sizes: list[
         start = F.when(F.col("n") == n, F.col("place") - before).otherwise(start)
         before = before + F.greatest(number - (n - 1), F.lit(0))
     hit = (F.col("place") > 0) & F.col("n").isNotNull() & start.between(1, number - F.col("n") + 1)
-    itself = (F.col("place") == 0) & F.lit(first)
+    itself = F.col("place") == 0
     found = found.where(F.coalesce(hit, F.lit(False)) | itself)
     gram = F.concat_ws(" ", F.slice("w", start, F.col("n")))
     one = F.struct(start.cast("int").alias("start"), F.col("n").cast("int").alias("n"), gram.alias("gram"))
-    copy = F.when(F.col("place") == 0, 1).otherwise(0)
-    return found.select(*keep, "digest", number.alias("n_words"), copy.alias("copy"), F.when(copy == 0, one).alias("span"))
+    copy = F.when(itself, int(first)).otherwise(0)
+    return found.select(*keep, "digest", number.alias("n_words"), copy.alias("copy"), F.when(~itself, one).alias("span"))
 
 
 def scan(
     docs: DataFrame, windows: DataFrame, keep: dict[str, str], text: str = "text",
-    pass_hashes: int | None = None, clean: bool = True,
+    pass_hashes: int | None = None,
 ) -> DataFrame:
     """Kept columns of the documents, digest, n_words, copies, and ``spans``: (start, n, gram) found.
 
@@ -124,8 +126,7 @@ def scan(
     looked up in a broadcast table of the test windows' hashes; more than ``pass_hashes``
     of these (default ``PASS_HASHES``) take several passes over the documents, each with
     its part of the hashes, by the same plan. No text is moved: what is shuffled is a slim
-    row per text (without ``clean`` only for those with hits) and the hits, combined per
-    text. Equal rows become one with their number. Hits are verified on their words.
+    row per text and the hits, combined per text. Equal rows become one with their number. Hits are verified on their words.
     """
     limit = pass_hashes or PASS_HASHES
     sizes = [r["n"] for r in windows.select("n").distinct().orderBy("n").collect()]  # 1 to size
@@ -136,7 +137,7 @@ def scan(
     found = None
     for k in range(passes):
         part = hashes.where(F.pmod("hash", F.lit(passes)) == k)
-        rows = looked_up(source, list(keep), part, sizes, clean and k == 0)
+        rows = looked_up(source, list(keep), part, sizes, k == 0)
         found = rows if found is None else found.unionByName(rows)
     spans = F.array_sort(F.collect_set("span")).alias("spans")
     texts = found.groupBy(*keep, "digest").agg(F.max("n_words").cast("long").alias("n_words"), F.sum("copy").alias("copies"), spans)
@@ -204,7 +205,7 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", s
     outgrow a broadcast.
     """
     windows = pin(test_windows(items, "item_id", "text", size))
-    hit = scan(docs, windows, {}, text, clean=False).where(F.size("spans") > 0)
+    hit = scan(docs, windows, {}, text).where(F.size("spans") > 0)
     hit = if_small(hit.select(F.col("digest").alias("_digest")), DIGEST_BYTES)
     digest = F.md5(column(text).cast("binary"))
     return docs.join(hit, digest == F.col("_digest"), "left_anti")

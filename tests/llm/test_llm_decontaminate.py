@@ -99,6 +99,29 @@ def check(spark):
     assert sorted(map(repr, ((r[0], r[1]) for r in kept.collect()))) == sorted(map(repr, clean))
 
 
+def test_passes_over_the_documents_agree(spark, monkeypatch):
+    folder = "/root/testdata/sf0.01"
+    docs, bench = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "benchmark"))
+    want = docs.select("doc_id", "text").collect()
+    rows = [(str(r["item_id"]), r["text"]) for r in bench.collect()]
+    grams = {}
+    for item, content in rows:
+        w = words(content)
+        n = min(10, len(w))
+        for i in range(len(w) - n + 1 if n else 0):
+            grams.setdefault(n, set()).add(tuple(w[i : i + n]))
+    clean = set()
+    for doc, text in want:
+        w = words(text)
+        if not any(tuple(w[i : i + n]) in own for n, own in grams.items() for i in range(len(w) - n + 1)):
+            clean.add(doc)
+    for limit in (10**6, 400):
+        monkeypatch.setattr(decontaminate, "PASS_HASHES", limit)
+        assert {r["doc_id"] for r in decontaminate.remove_contaminated(docs, bench).collect()} == clean
+        judged = decontaminate.contamination(docs, bench).where("NOT contaminated").collect()
+        assert len(judged) == len(clean) and {r["doc_id"] for r in judged} == clean
+
+
 def test_empty_tables(spark):
     docs, _, df, bench = tables(spark)
     assert decontaminate.contamination(df.limit(0), bench).count() == 0
