@@ -174,6 +174,23 @@ def line_totals(
     )
 
 
+def with_line_gaps(
+    header: DataFrame, totals: DataFrame, key: str, claimed: str, agreed: str
+) -> DataFrame:
+    """Headers with the cents by which their amounts differ from their line sums.
+
+    No lines: sum 0. A null header amount has a null gap, which ``off_by`` calls a difference.
+    """
+    joined = attach(header, totals.select(key, "claimed_sum", "agreed_sum"), key)
+    zero = F.lit(0)
+    return joined.withColumns(
+        {
+            "claimed_gap": cents(F.col(claimed) - F.coalesce("claimed_sum", zero)),
+            "agreed_gap": cents(F.col(agreed) - F.coalesce("agreed_sum", zero)),
+        }
+    ).drop("claimed_sum", "agreed_sum")
+
+
 def reconciliation_rows(
     header: DataFrame,
     totals: DataFrame,
@@ -187,11 +204,9 @@ def reconciliation_rows(
     A null header amount is a difference.
     """
     slim = header.select(key, claimed, agreed, *extra)
-    joined = attach(slim, totals.select(key, "claimed_sum", "agreed_sum"), key)
-    zero = F.lit(0)
-    claimed_gap = cents(F.col(claimed) - F.coalesce("claimed_sum", zero))
-    agreed_gap = cents(F.col(agreed) - F.coalesce("agreed_sum", zero))
-    return joined.filter(off_by(claimed_gap) | off_by(agreed_gap)).select(
+    gaps = with_line_gaps(slim, totals, key, claimed, agreed)
+    claimed_gap, agreed_gap = F.col("claimed_gap"), F.col("agreed_gap")
+    return gaps.filter(off_by(claimed_gap) | off_by(agreed_gap)).select(
         key,
         from_cents(claimed_gap).alias("claimed_diff"),
         from_cents(agreed_gap).alias("agreed_diff"),

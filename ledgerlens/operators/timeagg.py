@@ -145,6 +145,48 @@ def monthly_incidents(rows: dict[str, DataFrame], ts: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def rule_labels(tests: dict[str, Column]) -> Column:
+    """Labels of the rules that flag a row, as an array; an unknown result flags nothing."""
+    return F.array_compact(F.array(*[F.when(test, F.lit(label)) for label, test in tests.items()]))
+
+
+def monthly_rule_incidents(df: DataFrame, tests: dict[str, Column], ts: str) -> DataFrame:
+    """Rows per month and category, for any number of rules in one scan of the rows.
+
+    A row counts once for every rule that flags it; rows without a timestamp do not count.
+    """
+    flagged = df.filter(F.col(ts).isNotNull()).select(
+        month_start(ts).alias("month"), F.explode(rule_labels(tests)).alias("category")
+    )
+    return flagged.groupBy("month", "category").agg(F.count(F.lit(1)).alias("incidents"))
+
+
+def flagged_rows(
+    df: DataFrame,
+    tests: dict[str, tuple[Column, list[str]]],
+    ts: str,
+    first: object,
+    last: object,
+) -> DataFrame:
+    """Rows of a date range once per rule that flags them, in one scan; days included.
+
+    Each rule names the columns that it shows; those of other rules are null in its rows.
+    """
+    shown: dict[str, list[str]] = {}
+    for label, (_, columns) in tests.items():
+        for name in columns:
+            shown.setdefault(name, []).append(label)
+    near = df.filter(F.to_date(ts).between(F.lit(first).cast("date"), F.lit(last).cast("date")))
+    labels = rule_labels({label: test for label, (test, _) in tests.items()})
+    each = near.select(F.explode(labels).alias("_category"), *shown)
+    values = [
+        F.col(name) if len(labels) == len(tests)
+        else F.when(F.col("_category").isin(labels), F.col(name)).alias(name)
+        for name, labels in shown.items()
+    ]
+    return each.select(F.col("_category").alias("category"), *values)
+
+
 def filter_categories(
     trend: DataFrame, categories: list[str], first: object, last: object
 ) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import rules
+from ..functions.values import off_by
 from ..operators import checks, distribution, timeagg
 from . import frames
 from .checks import (
@@ -12,7 +13,6 @@ from .checks import (
     RECONCILED_SQL,
     RESIDUAL_OFF,
     overshoots,
-    reconciliation,
 )
 from .registry import query
 
@@ -101,14 +101,18 @@ def trend_classification(spark, folder):
     return timeagg.trend_class(monthly(spark, folder), "period", "avg_lines")
 
 
-def _incident_rows(spark, folder):
-    header = frames.header(spark, folder)
+def _incidents(spark, folder):
+    """All rules on the headers with their line gaps: orders and lines are read once."""
+    totals = checks.line_totals(frames.lines(spark, folder), "order_id", "claimed", "claimed")
+    slim = frames.header(spark, folder).select("order_id", "claimed", "agreed", "residual", "ts")
+    rows = checks.with_line_gaps(slim, totals, "order_id", "claimed", "agreed")
     amounts = F.col("claimed"), F.col("agreed"), F.col("residual")
-    return {
-        "residual": checks.rule_rows(header, rules.residual_is_off(*amounts)),
-        "high value": checks.rule_rows(header, rules.at_least(F.col("agreed"), 490000)),
-        "sum mismatch": reconciliation(spark, folder),
+    tests = {
+        "residual": rules.residual_is_off(*amounts),
+        "high value": rules.at_least(F.col("agreed"), 490000),
+        "sum mismatch": off_by(F.col("claimed_gap")) | off_by(F.col("agreed_gap")),
     }
+    return timeagg.monthly_rule_incidents(rows, tests, "ts")
 
 
 INCIDENT_SQL = f"""{RECONCILED_SQL},
@@ -122,7 +126,7 @@ trend AS (SELECT CAST(date_trunc('month', ts) AS TIMESTAMP) AS month, count(*) A
 
 @query("a7_monthly_incident_trend", f"WITH {INCIDENT_SQL} SELECT * FROM trend")
 def monthly_incident_trend(spark, folder):
-    return timeagg.monthly_incidents(_incident_rows(spark, folder), "ts")
+    return _incidents(spark, folder)
 
 
 @query(
@@ -131,7 +135,7 @@ def monthly_incident_trend(spark, folder):
     AND month BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1997-12-01'""",
 )
 def category_filter(spark, folder):
-    trend = timeagg.monthly_incidents(_incident_rows(spark, folder), "ts")
+    trend = _incidents(spark, folder)
     first, last = [F.lit(d).cast("timestamp_ntz") for d in ("1996-01-01", "1997-12-01")]
     return timeagg.filter_categories(trend, ["residual", "high value"], first, last)
 
@@ -147,14 +151,13 @@ def category_filter(spark, folder):
 )
 def labelled_rows(spark, folder):
     header = frames.header(spark, folder)
-    test = rules.name_contains(F.col("segment"), "build")
-    rows = {
-        "test data": checks.rule_rows(header, test, ["order_id", "segment", "ts"]),
-        "high value": checks.rule_rows(
-            header, rules.at_least(F.col("claimed"), 490000), ["order_id", "ts", "claimed"]
+    tests = {
+        "test data": (
+            rules.name_contains(F.col("segment"), "build"), ["order_id", "segment", "ts"]
         ),
+        "high value": (rules.at_least(F.col("claimed"), 490000), ["order_id", "ts", "claimed"]),
     }
-    return timeagg.labelled_rows(rows, "ts", "1997-01-01", "1997-06-30")
+    return timeagg.flagged_rows(header, tests, "ts", "1997-01-01", "1997-06-30")
 
 
 @query(
