@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import cleaning, timeagg
+from ..sources.runs import RunStore
 from ..sources.tables import export_csv, read_raw, write_table
 from . import frames
 from .registry import query
@@ -157,6 +158,28 @@ def integer_narrowing(spark, folder):
     )
 
 
+@query(
+    "c6_types_across_runs",
+    f"""WITH keys AS (SELECT '2026-01' AS run_id, s_suppkey AS key FROM supplier
+      UNION ALL SELECT '2026-02', o_orderkey FROM orders),
+    widest AS ({_int_type_sql("keys", "key")})
+    SELECT run_id, any_value(data_type) AS data_type, count(*) AS row_count,
+      CAST(sum(key) AS BIGINT) AS total FROM keys, widest GROUP BY run_id""",
+)
+def types_across_runs(spark, folder):
+    """Two runs with values of different ranges, read as one table in the widest type."""
+    store = RunStore(spark, frames.scratch(spark))
+    sources = {"2026-01": ("supplier", "s_suppkey"), "2026-02": ("orders", "o_orderkey")}
+    for run_id, (table, key) in sources.items():
+        keys = frames.table(spark, folder, table).select(F.col(key).alias("key"))
+        store.write(run_id, {"keys": cleaning.narrow_integers(keys)})
+    return store.read_all("keys").groupBy("run_id").agg(
+        F.first(F.typeof("key")).alias("data_type"),
+        F.count(F.lit(1)).alias("row_count"),
+        F.sum(F.col("key").cast("long")).alias("total"),
+    )
+
+
 def _float_type_sql(column: str, expression: str) -> str:
     near = f"round_even({expression}, 4)"
     return f"""SELECT '{column}' AS column_name,

@@ -5,6 +5,8 @@ from datetime import datetime
 import pytest
 
 from encoder_helper import trigram_encoder
+from pyspark.sql import functions as F
+
 from ledgerlens.operators import kpi
 from ledgerlens.operators import drift
 from ledgerlens.plans import batch, claims
@@ -70,6 +72,31 @@ def test_run_store(spark, tmp_path):
     assert [r[0] for r in store.current_and_previous().collect()] == ["r3", "r2"]
 
 
+def test_types_are_a_contract_between_runs(spark, tmp_path):
+    store = RunStore(spark, str(tmp_path))
+    base = spark.range(3).select(F.col("id").alias("n"), F.lit("x").alias("s"))
+
+    def run(run_id, type_name, **more):
+        df = base.withColumn("n", F.col("n").cast(type_name))
+        RunStore(spark, str(tmp_path)).write(run_id, {"t": df.withColumns(more)})
+
+    run("r1", "byte")
+    run("r2", "int", extra=F.lit(1.5).cast("float"))
+    run("r3", "byte", extra=F.lit(2).cast("short"))  # would fit a narrower type again
+    assert dict(store.read("r1", "t").dtypes)["n"] == "tinyint"
+    assert dict(store.read("r3", "t").dtypes) == {"n": "int", "s": "string", "extra": "double"}
+    whole = store.read_all("t")
+    assert dict(whole.dtypes) == {"n": "int", "s": "string", "extra": "double", "run_id": "string"}
+    found = whole.groupBy("run_id").agg(F.sum("n"), F.sum("extra")).orderBy("run_id").collect()
+    assert [tuple(r) for r in found] == [("r1", 3, None), ("r2", 3, 4.5), ("r3", 3, 6.0)]
+    store.drop_older("r3")  # the types of the dropped run stay
+    again = RunStore(spark, str(tmp_path)).contract()["t"]
+    assert {f.name: f.dataType.simpleString() for f in again} == {"n": "int", "s": "string", "extra": "double"}
+    with pytest.raises(TypeError, match="column n of t"):
+        run("r4", "string")
+    assert RunStore(spark, str(tmp_path / "none")).contract() == {}
+
+
 def test_drift_store_computes_once(spark, tmp_path):
     store = DriftStore(spark, str(tmp_path / "drift"))
     assert store.catalogue().count() == 0
