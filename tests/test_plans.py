@@ -186,3 +186,19 @@ def test_a_profile_scans_its_table_twice_whatever_the_columns(spark):
     assert len(made) == 1 and len(scans(made[0])) == 1
     found = contract.queries()["p1_numeric_profile_lines"](spark, FOLDER)
     assert len(scans(found)) == 1
+
+
+@needs_data
+@pytest.mark.parametrize("name", ["a7_monthly_incident_trend", "a8_category_filter", "a9_labelled_rows"])
+def test_rules_of_one_table_share_a_scan(spark, name):
+    text = physical(contract.queries()[name](spark, FOLDER))
+    first = text.split("+- == Initial Plan ==")[0]
+    read = [line.split("/")[-1].split(".parquet")[0] for line in first.splitlines() if "FileScan" in line]
+    assert sorted(read) == sorted(set(read)) and "orders" in read
+
+
+@needs_data
+@pytest.mark.parametrize("name", ["p1_sketch_profile_bounds", "p2_sketch_distinct_by_month"])
+def test_sketches_are_combined_before_the_shuffle(spark, name):
+    text = physical(contract.queries()[name](spark, FOLDER))
+    assert "partial_hll_sketch_agg" in text and "partial_kll_sketch_agg_double" in text
