@@ -3,9 +3,10 @@
 Centroids are fitted on a bounded sample by balanced splitting. Every vector is posted
 to its nearest lists (boundary vectors to several), a query reads the lists whose
 centroid is not much further away than the nearest one, however many these are: few
-where vectors form clusters, most where they do not. Posting walks a neighbour graph of
-the centroids in memory, a query measures all of them. Lists are cut into blocks, so
-that neither a full list nor a list that many queries read is one task.
+where vectors form clusters, most where they do not. Both find their lists on a
+neighbour graph of the centroids in memory. The number of lists grows with the table.
+Lists are cut into blocks, so that neither a full list nor a list that many queries read
+is one task.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,16 +25,23 @@ from pyspark.sql import functions as F
 from ..operators.joins import pin
 from .common import column, skewed_join
 
-#: vectors, about, that the centroids are fitted on; the only thing that is sampled
-SAMPLE = 20_000
-#: vectors per list aimed at, and most lists: bounds the rows that a query is sent as
-LIST, MOST_LISTS = 512, 256
+#: vectors, about, that the centroids are fitted on, and for each list beyond; the only
+#: thing that is sampled
+SAMPLE, PER_LIST = 20_000, 40
+#: vectors per list aimed at
+LIST = 512
+#: bytes of all centroids, which every task holds: with 64 components some 8,000 lists.
+#: The sample is at most PER_LIST times that. Beyond, lists get longer, in more blocks
+INDEX_BYTES = 4_000_000
 #: most lists a vector is posted to, and how much further off than the nearest they may be
 COPIES, COPY_RATIO = 2, 1.03
 #: how much further off than the nearest the lists are that a query reads, and the nearest
 #: ones that it reads at any distance; there is no upper limit to their number
 PROBE_RATIO, LEAST_PROBES = 1.3, 8
-BLOCK = 16_384
+#: bytes of the vectors in a block
+BLOCK_BYTES = 1 << 23
+#: pairs of queries and centroids looked at together
+WALK = 1 << 22
 #: more than rounding can move a cosine of unit vectors
 MARGIN = 1e-9
 DEGREE, BEAM = 16, 64
@@ -58,7 +67,7 @@ class Index:
         work, means = [sample], []
         while work:
             own = work.pop()
-            if len(own) <= leaf or len(np.unique(own, axis=0)) == 1:
+            if len(own) <= leaf or (own == own[0]).all():
                 means.append(own.mean(axis=0))
                 continue
             parts = Index.balanced(own, min(8, math.ceil(len(own) / leaf)), random)
@@ -89,7 +98,12 @@ class Index:
     def link(centroids: np.ndarray, random) -> Index:
         number = len(centroids)
         degree = min(DEGREE, number)
-        near = np.argsort(-(centroids @ centroids.T), axis=1, kind="stable")[:, :degree]
+        near = np.empty((number, degree), np.int64)
+        for start in range(0, number, 512):
+            close = -(centroids[start : start + 512] @ centroids.T)
+            few = np.argpartition(close, degree - 1, axis=1)[:, :degree]
+            order = np.argsort(np.take_along_axis(close, few, axis=1), axis=1)
+            near[start : start + 512] = np.take_along_axis(few, order, axis=1)
         far = random.integers(0, number, (number, 4))  # long ways keep the graph connected
         entries = random.choice(number, min(number, 8), replace=False)
         return Index(centroids, np.hstack([near, far]), entries)
@@ -110,9 +124,10 @@ class Index:
                 break
             done[rows[:, 0], best] = True
             new = np.sort(self.graph[ids[rows[:, 0], best]], axis=1)
-            fresh = ~seen[rows, new] & np.isfinite(waiting[rows[:, 0], best])[:, None]
+            going = np.isfinite(waiting[rows[:, 0], best])[:, None]
+            fresh = ~seen[rows, new] & going
             fresh[:, 1:] &= new[:, 1:] != new[:, :-1]
-            seen[rows, new] |= fresh
+            seen[rows, new] |= going  # the same for all places of an id
             more = 1 - np.einsum("qd,qkd->qk", queries, self.centroids[new])
             apart = np.hstack([apart, np.where(fresh, more, np.inf)])
             ids, done = np.hstack([ids, new]), np.hstack([done, np.zeros(new.shape, bool)])
@@ -121,11 +136,40 @@ class Index:
         distance = np.sqrt(np.maximum(2 * apart[:, :keep], 0))
         return ids[:, :keep], distance
 
-    def measure(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All centroids and their distances, nearest first."""
-        apart = np.sqrt(np.maximum(2 - 2 * (queries @ self.centroids.T), 0))
-        ids = np.argsort(apart, axis=1, kind="stable")
-        return ids, np.take_along_axis(apart, ids, axis=1)
+    def within(self, queries: np.ndarray, ratio: float, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query, list) pairs: lists at most ``ratio`` times as far as the nearest, and the ``least`` nearest.
+
+        A walk finds the nearest lists; from those near enough the graph is flooded, along
+        lists that are near enough, so what is read has no upper limit.
+        """
+        number = len(self.centroids)
+        ids, apart = self.search(queries, min(max(BEAM, least), number))
+        limit = ratio * apart[:, 0] + 1e-12
+        seen = np.zeros((len(queries), number), bool)
+        row = np.broadcast_to(np.arange(len(queries))[:, None], ids.shape)
+        reached = np.isfinite(apart)
+        seen[row[reached], ids[reached]] = True
+        taken = np.zeros_like(seen)
+        close = apart <= limit[:, None]
+        first = close.copy()
+        first[:, :least] |= reached[:, :least]
+        taken[row[first], ids[first]] = True
+        q, k = row[close], ids[close]
+        while len(q):
+            near = self.graph[k]
+            flat = np.repeat(q, near.shape[1]) * number + near.ravel()
+            flat = np.unique(flat[~seen.ravel()[flat]])
+            q, k = flat // number, flat % number
+            seen[q, k] = True
+            distance = np.empty(len(q))
+            for start in range(0, len(q), 65_536):
+                own = slice(start, start + 65_536)
+                products = np.einsum("nd,nd->n", queries[q[own]], self.centroids[k[own]])
+                distance[own] = np.sqrt(np.maximum(2 - 2 * products, 0))
+            close = distance <= limit[q]
+            q, k = q[close], k[close]
+            taken[q, k] = True
+        return np.nonzero(taken)
 
 
 def matrix(array: pa.Array) -> np.ndarray:
@@ -133,27 +177,50 @@ def matrix(array: pa.Array) -> np.ndarray:
     return flat.reshape(len(array), -1)
 
 
-def post(index: Index, keep: int | None, ratio: float, least: int = 1):
+def post(indexes: dict[int, tuple[int, Index]], keep: int | None, ratio: float, least: int = 1):
     """(vid, v) → one row per list that is near enough: (list, vid, v).
 
     At most ``keep`` lists, all that are near enough without it; the ``least`` nearest
-    at any distance.
+    at any distance. ``indexes`` has the first list and the index by the length of
+    vectors; those of a length without an index share one list.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, 1024):
-                batch = whole.slice(start, 1024)
-                v = unit(matrix(batch.column("v")))
-                ids, apart = index.search(v, keep) if keep else index.measure(v)
+    def lists_of(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        length = v.shape[1]
+        if length not in indexes:
+            return np.arange(len(v)), np.full(len(v), -length)
+        offset, index = indexes[length]
+        rows, lists = [], []
+        step = max(16, min(1024, WALK // len(index.centroids)))
+        for start in range(0, len(v), step):
+            own = unit(v[start : start + step])
+            if keep:
+                ids, apart = index.search(own, keep)
                 near = np.isfinite(apart) & (apart <= ratio * apart[:, :1] + 1e-12)
                 near[:, :least] |= np.isfinite(apart[:, :least])
                 row, at = np.nonzero(near)
-                taken = batch.take(pa.array(row))
-                lists = pa.array(ids[row, at].astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [lists, taken.column("vid"), taken.column("v")], names=["list", "vid", "v"]
-                )
+                found = ids[row, at]
+            else:
+                row, found = index.within(own, ratio, least)
+            rows.append(start + row)
+            lists.append(offset + found)
+        return np.concatenate(rows), np.concatenate(lists)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            lengths = pc.list_value_length(whole.column("v")).to_numpy(zero_copy_only=False)
+            for length in np.unique(lengths):
+                same = whole.take(pa.array(np.flatnonzero(lengths == length)))
+                for start in range(0, same.num_rows, 1024):
+                    batch = same.slice(start, 1024)
+                    row, lists = lists_of(matrix(batch.column("v")))
+                    # few rows at a time: a query may be sent to many lists
+                    for few in range(0, len(row), 8192):
+                        taken = batch.take(pa.array(row[few : few + 8192]))
+                        ids = pa.array(lists[few : few + 8192].astype(np.int32))
+                        yield pa.RecordBatch.from_arrays(
+                            [ids, taken.column("vid"), taken.column("v")], names=["list", "vid", "v"]
+                        )
 
     return run
 
@@ -202,8 +269,36 @@ def usable(df: DataFrame, vec_id: str, vector: str) -> DataFrame:
     )
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = rows.where(~F.coalesce(bad, F.lit(True)) & F.exists("v", lambda x: x != 0))
-    length = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    return rows.where(F.size("v") == (length["d"] if length else 0)).distinct()
+    return rows.distinct()
+
+
+def lists_by_length(counts: dict[int, int]) -> dict[int, int]:
+    """Number of lists for the vectors of each length; lengths that one list serves are left out.
+
+    ``INDEX_BYTES`` are shared in proportion to the number of vectors.
+    """
+    every = sum(counts.values())
+    lists = {d: min(math.ceil(n / LIST), int(INDEX_BYTES * n / every / (8 * d))) for d, n in counts.items()}
+    return {d: k for d, k in lists.items() if k > 1}
+
+
+def fit_indexes(points: DataFrame) -> dict[int, tuple[int, Index]]:
+    """First list and index by length of vectors, fitted on a bounded sample of (vid, v)."""
+    lengths = points.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()
+    counts = {r["d"]: r["n"] for r in lengths}
+    lists = lists_by_length(counts)
+    indexes, offset = {}, 0
+    for d, number in sorted(lists.items()):
+        aimed = max(SAMPLE, PER_LIST * number)
+        share = int(min(1.0, aimed / counts[d]) * 1_000_000) + 1
+        some = points.where((F.size("v") == d) & (F.pmod(F.xxhash64("vid"), F.lit(1_000_000)) < share))
+        fitted = some.select("v").limit(2 * aimed).toArrow()
+        if not fitted.num_rows:
+            continue
+        index = Index.fit(unit(matrix(fitted["v"].combine_chunks())), min(number, fitted.num_rows))
+        indexes[d] = offset, index
+        offset += len(index.centroids)
+    return indexes
 
 
 def nearest(
@@ -213,41 +308,34 @@ def nearest(
 
     Score: cosine in double precision on the vectors as given; ties go to the smaller
     id. Null ids and vectors that are null, zero, or hold a null or non-finite component
-    take no part, nor do vectors of another length than most. Equal rows count once; a
-    query never finds its own id. Equal vectors are one point of the index with the
+    take no part. A cosine needs two vectors of one length, so a query finds those of its
+    own length, each length having lists of its own; a length that one list serves is
+    searched whole. Equal rows count once; a query never finds its own id. Equal vectors are one point of the index with the
     ``keep`` + 1 smallest of their ids, which is all that an answer can hold. An empty
     table gives an empty table.
     """
     rows = pin(usable(df, vec_id, vector).withColumn("h", F.xxhash64("v")))
+    # Spark keeps the first ids of a vector in every task before it moves rows
     same = W.partitionBy("h", "v").orderBy("id")
     first = rows.withColumn("k", F.row_number().over(same)).where(F.col("k") <= keep + 1)
     points = first.groupBy("h", "v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     points = pin(points.withColumn("vid", F.col("ids")[0]))
-    number = points.count()
     asked = queries.select(column(vec_id).cast("long").alias("id")).distinct()
     wanted = rows.join(asked, "id", "left_semi").select(F.col("id").alias("query_id"), "h", "v")
     wanted = skewed_join(wanted, points.select("h", "v", "vid"), ["h", "v"], "inner")
     wanted = pin(wanted.select("query_id", F.col("vid").alias("qid")))
 
-    share = min(1.0, SAMPLE / max(number, 1))
-    some = points.where(F.pmod(F.xxhash64("vid"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
-    fitted = some.select("v").limit(2 * SAMPLE).toArrow()
-    lists = max(1, min(MOST_LISTS, math.ceil(number / LIST), fitted.num_rows))
-    if not fitted.num_rows:
-        return wanted.select(
-            "query_id", F.lit(0).alias("rank"), F.col("qid").alias("vec_id"), F.lit(0.0).alias("score")
-        ).limit(0)
-    index = Index.fit(unit(matrix(fitted["v"].combine_chunks())), lists)
-
+    indexes = fit_indexes(points)
     kind = points.schema["v"].dataType.simpleString()
     schema = f"list int, vid long, v {kind}"
     slim = points.select("vid", "v")
-    posted = pin(slim.mapInArrow(post(index, COPIES, COPY_RATIO), schema))
+    posted = pin(slim.mapInArrow(post(indexes, COPIES, COPY_RATIO), schema))
     ids = wanted.select(F.col("qid").alias("vid")).distinct()
-    probes = pin(slim.join(ids, "vid", "left_semi").mapInArrow(post(index, None, PROBE_RATIO, LEAST_PROBES), schema))
+    probes = pin(slim.join(ids, "vid", "left_semi").mapInArrow(post(indexes, None, PROBE_RATIO, LEAST_PROBES), schema))
 
     def cut(frame, name):
-        return frame.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+        size = F.sum(F.size("v") * F.lit(8).cast("long"))
+        return frame.groupBy("list").agg(F.ceil(size / BLOCK_BYTES).cast("int").alias(name))
 
     blocks = cut(posted, "vs").join(cut(probes, "qs"), "list")
 

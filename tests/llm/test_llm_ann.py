@@ -3,6 +3,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import ann
+from ledgerlens.operators.joins import pin
 
 
 def brute(rows, keep=5):
@@ -13,7 +14,7 @@ def brute(rows, keep=5):
         scores = {}
         for own in (np.array(v) for j, v in usable if j == i):
             for j, v in usable:
-                if j != i:
+                if j != i and len(v) == len(own):
                     v = np.array(v)
                     score = own @ v / (np.sqrt(own @ own) * np.sqrt(v @ v))
                     scores[j] = max(scores.get(j, -2), score)
@@ -32,9 +33,11 @@ def test_small_tables_equal_brute_force(spark):
     rows += [(50, rows[50][1])] * 2 + [(500, [2 * x for x in rows[3][1]])]
     rows += [(2000, None), (2050, [0.0] * 8), (2100, [1.0] * 7 + [float("nan")]), (2150, [None] + [1.0] * 7),
              (2200, [float("inf")] * 8), (2250, []), (2300, [1.0, 2.0]), (None, rows[0][1])]
+    rows += [(3000 + 10 * i, random.normal(size=3).tolist()) for i in range(40)]  # a rarer length
     df = frame(spark, rows)
     found = ann.nearest(df, df.where("vec_id % 50 = 0")).collect()
-    want = brute([(i, v) for i, v in rows if v is None or len(v) in (0, 8)])
+    want = {query: own for query, own in brute(rows).items() if own}
+    assert len(want[3000]) == 5 and 2300 not in want
     got = {}
     for r in found:
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
@@ -86,7 +89,8 @@ def test_recall_without_clusters_and_with_hundreds_of_lists(spark, monkeypatch):
     monkeypatch.setattr(ann.Index, "fit", staticmethod(lambda *a: fitted.append(fit(*a)) or fitted[-1]))
     df = spark.range(0, 40_000, 1, 8).select(
         F.col("id").alias("vec_id"), F.array(*(F.randn(k) for k in range(64))).alias("embedding")
-    ).localCheckpoint()
+    )
+    df = pin(df)
     found = {(r["query_id"], r["vec_id"]) for r in ann.nearest(df, df.where("vec_id % 50 = 0")).collect()}
     unit = ann.unit(ann.matrix(df.orderBy("vec_id").toArrow()["embedding"].combine_chunks()))
     scores = unit[::50] @ unit.T
@@ -98,8 +102,30 @@ def test_recall_without_clusters_and_with_hundreds_of_lists(spark, monkeypatch):
 def test_a_query_reads_the_nearest_lists_at_any_distance():
     index = ann.Index.fit(ann.unit(np.random.default_rng(5).normal(size=(400, 6))), 40)
     batch = pa.RecordBatch.from_pylist([{"vid": 7, "v": index.centroids[3].tolist()}])
-    (rows,) = ann.post(index, None, ann.PROBE_RATIO, 5)([batch])
-    assert rows.num_rows == 5 and 3 in rows.column("list").to_pylist()
+    (rows,) = ann.post({6: (100, index)}, None, ann.PROBE_RATIO, 5)([batch])
+    assert rows.num_rows == 5 and 103 in rows.column("list").to_pylist()
+
+
+def test_lists_grow_with_the_table_within_the_bytes_of_the_index():
+    assert ann.lists_by_length({64: 200_000}) == {64: 391}
+    assert ann.lists_by_length({64: 2_000_000}) == {64: 3907}
+    many = ann.lists_by_length({64: 10**10, 1536: 10**8, 3: 500})
+    assert set(many) == {64} or sum(8 * d * n for d, n in many.items()) <= ann.INDEX_BYTES
+    assert ann.lists_by_length({}) == {} and ann.lists_by_length({8: 512}) == {}
+
+
+def test_the_walk_finds_the_lists_within_the_ratio():
+    random = np.random.default_rng(6)
+    for points in (random.normal(size=(6000, 24)), np.repeat(random.normal(size=(60, 24)), 100, axis=0) + 0.2 * random.normal(size=(6000, 24))):
+        index = ann.Index.fit(ann.unit(points), 150)
+        queries = ann.unit(points[::40])
+        q, k = index.within(queries, ann.PROBE_RATIO, ann.LEAST_PROBES)
+        apart = np.sqrt(np.maximum(2 - 2 * queries @ index.centroids.T, 0))
+        want = apart <= ann.PROBE_RATIO * apart.min(axis=1, keepdims=True)
+        found = np.zeros_like(want)
+        found[q, k] = True
+        assert (found & want).sum() >= 0.98 * want.sum()
+        assert found.sum(axis=1).min() >= ann.LEAST_PROBES
 
 
 def test_parallel_vectors_that_tie_keep_the_smallest_ids():
