@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions.dates import lenient_timestamp
 from ..functions.rules import DISCOUNT_WORDS, contains_word, sign_is_plausible
-from .joins import attach
+from .joins import attach, not_null
 
 # Texts that stand for a missing value (whole value, case-sensitive).
 PLACEHOLDERS = [
@@ -42,15 +42,35 @@ def attach_timestamps(
     Duplicate keys of the time table fan out. With ``dedupe_on`` only the row with
     the earliest value of that column is kept per key.
     """
+    side = _times(header, times, key, dedupe_on)
+    return header.join(side, key, "left") if dedupe_on is None else attach(header, side, key)
+
+
+def _times(header: DataFrame, times: DataFrame, key: str, dedupe_on: str | None) -> DataFrame:
+    """Key and new columns of the time table, all rows or the earliest one of each key."""
     extra = [c for c in times.columns if c not in header.columns and c != key]
     side = times.select(key, *extra)
     if dedupe_on is None:
-        return header.join(side, key, "left")
+        return side
     values = F.struct(*extra)
     # nulls sort last: a known time beats an unknown one
     order = F.struct(F.col(dedupe_on).isNull(), F.col(dedupe_on), *extra)
     first = side.groupBy(key).agg(F.min_by(values, order).alias("_first"))
-    return attach(header, first, key).select(*header.columns, "_first.*")
+    return first.select(key, "_first.*")
+
+
+def attach_times_and_count(
+    header: DataFrame, times: DataFrame, counts: DataFrame, key: str, name: str,
+    dedupe_on: str | None = None,
+) -> DataFrame:
+    """``attach_timestamps`` and ``attach_line_count`` in one: the header is shuffled once.
+
+    Both slim sides are joined first; the wide header then gets their rows.
+    """
+    key_type = header.schema[key].dataType
+    side = _times(header, times, key, dedupe_on).withColumn(key, F.col(key).cast(key_type))
+    both = not_null(side, [key]).join(counts.select(key, name), key, "full")
+    return attach_line_count(header, both, key, name)
 
 
 def propagate_to_lines(

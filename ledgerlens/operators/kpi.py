@@ -132,22 +132,25 @@ def key_counters(
     not count for the keys named in ``not_null``. Columns are called as the keys, and
     ``<key>_repeated``.
     """
-    entries = []
-    for name, columns in keys.items():
-        parts = F.array(*[F.col(c).cast("string") for c in columns])
-        if name in not_null:
-            parts = F.when(~any_null(columns), parts)
-        entries.append(F.struct(F.lit(name).alias("name"), parts.alias("key")))
+    # a key is its number and its parts as columns, so that the shuffled rows are slim
+    width = max(map(len, keys.values()))
+    part_names, entries = [f"_k{i}" for i in range(width)], []
+    for number, (name, columns) in enumerate(keys.items()):
+        texts = [F.col(c).cast("string") for c in columns]
+        texts += [F.lit(None).cast("string")] * (width - len(columns))
+        counts = ~any_null(columns) if name in not_null else F.lit(True)
+        parts = [t.alias(p) for t, p in zip(texts, part_names)]
+        entries.append(F.struct(F.lit(number).alias("name"), counts.alias("counts"), *parts))
     flags = [F.coalesce(c, F.lit(False)).alias(f"_p{k}") for k, c in enumerate(periods.values())]
-    rows = df.select(F.inline(F.array(*entries)), *flags).filter("key IS NOT NULL")
-    counted = rows.groupBy("name", "key").agg(
+    rows = df.select(F.inline(F.array(*entries)), *flags).filter("counts")
+    counted = rows.groupBy("name", *part_names).agg(
         *[F.count_if(f"_p{k}").alias(f"_p{k}") for k in range(len(periods))]
     )
 
     def states(k: int) -> list[Column]:
         out = []
-        for name in keys:
-            repeated = (F.col("name") == name) & (F.col(f"_p{k}") > 1)
+        for number, name in enumerate(keys):
+            repeated = (F.col("name") == number) & (F.col(f"_p{k}") > 1)
             total = F.coalesce(F.sum(F.when(repeated, F.col(f"_p{k}"))), F.lit(0))
             out += [(F.count_if(repeated) == 0).alias(name), total.alias(f"{name}_repeated")]
         return out

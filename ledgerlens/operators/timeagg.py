@@ -32,8 +32,13 @@ def lines_per_order_by_month(
     """
     orders = header.filter(F.col(ts).isNotNull()).select(key, ts)
     per_order = attach(orders, counts.select(key, "line_count"), key)
-    lines = F.coalesce("line_count", F.lit(0))
-    monthly = per_order.groupBy(month_label(ts).alias("period")).agg(
+    return own_lines_by_month(per_order, ts, "line_count")
+
+
+def own_lines_by_month(header: DataFrame, ts: str, line_count: str) -> DataFrame:
+    """``lines_per_order_by_month`` for orders that hold their line count already."""
+    lines = F.coalesce(line_count, F.lit(0))
+    monthly = header.filter(F.col(ts).isNotNull()).groupBy(month_label(ts).alias("period")).agg(
         F.avg(lines).alias("avg_lines"),
         F.sum(lines).alias("total_lines"),
         F.count(F.lit(1)).alias("orders"),

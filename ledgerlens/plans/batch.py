@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.joins import attach
 from ..sources.runs import RunStore
+from ..sources.tables import read_if_there, write_table
 from . import claims, frames
 from .registry import query
 
@@ -14,14 +16,18 @@ RUNS = ["2026-01", "2026-02"]
 TRADES = [("1-URGENT", ["customer#1"]), ("2-HIGH", ["customer#2"])]
 
 
-def claim_orders(spark: SparkSession, folder: str, before: str | None) -> DataFrame:
-    """Orders under the names of the claims data model."""
+def _early(ts: str, cut: str):
+    """Is the order before the cut? An order without a date is not."""
+    return F.coalesce(F.col(ts) < F.lit(cut).cast("timestamp_ntz"), F.lit(False))
+
+
+def claim_orders(spark: SparkSession, folder: str, cut: str) -> DataFrame:
+    """Orders under the names of the claims data model, and ``early``: before the cut."""
     rows = frames.header(spark, folder)
-    if before:
-        rows = rows.filter(F.col("ts") < F.lit(before).cast("timestamp_ntz"))
     key = F.col("order_id").cast("string")
     none = F.lit(None).cast("string")
     return rows.select(
+        _early("ts", cut).alias("early"),
         F.concat(F.lit("A"), key).alias("Auftrag_ID"),
         F.concat(F.lit("S"), key).alias("Schadensnummer"),
         key.alias("KvaRechnung_ID"),
@@ -41,16 +47,24 @@ def claim_orders(spark: SparkSession, folder: str, before: str | None) -> DataFr
     )
 
 
-def claim_positions(spark: SparkSession, folder: str, orders: DataFrame) -> DataFrame:
-    """Line items of the given orders under the names of the claims data model."""
+def claim_positions(spark: SparkSession, folder: str, cut: str) -> DataFrame:
+    """Line items of the orders under the names of the claims data model.
+
+    ``early``: the line's order, or one of that key, is before the cut.
+    """
+    orders = frames.raw(spark, folder, "orders").groupBy(F.col("o_orderkey").alias("order_id"))
+    orders = orders.agg(F.bool_or(_early("o_orderdate", cut)).alias("early"))
     part = frames.table(spark, folder, "part").select(
         F.col("p_partkey").alias("part_id"), F.col("p_name").alias("Bezeichnung")
     )
     key = F.col("order_id").cast("string")
-    lines = frames.lines(spark, folder).join(part, "part_id", "left")
-    rows = lines.withColumn("KvaRechnung_ID", key).join(orders.select("KvaRechnung_ID"), "KvaRechnung_ID", "left_semi")
+    lines = frames.lines(spark, folder).select(
+        "order_id", "line_no", "part_id", "quantity", "claimed", "agreed"
+    )
+    rows = attach(lines, orders, "order_id", "inner").join(part, "part_id", "left")
     return rows.select(
-        "KvaRechnung_ID",
+        "early",
+        key.alias("KvaRechnung_ID"),
         F.concat(F.lit("KVR-"), F.lpad(key, 7, "0")).alias("KvaRechnung_Nummer"),
         F.concat_ws("-", "order_id", "line_no").alias("Position_ID"),
         F.lit("Stk").alias("Mengeneinheit"),
@@ -78,16 +92,28 @@ def claim_times(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def store_halves(df: DataFrame, path: str) -> None:
+    """Rows before the cut and the others as two tables, each there even if it is empty."""
+    df.write.partitionBy("early").option("compression", "zstd").parquet(path)
+    for half in ("true", "false"):
+        if read_if_there(df.sparkSession, f"{path}/early={half}") is None:
+            write_table(df.drop("early").limit(0), f"{path}/early={half}")
+
+
 def both_runs(spark: SparkSession, folder: str) -> RunStore:
-    """Two batch runs into a new store: orders before the cut, then all orders."""
+    """Two batch runs into a new store: orders before the cut, then all orders.
+
+    The sources are stored once: the first run reads the half before the cut, the second
+    both halves.
+    """
     root = frames.scratch(spark)
     settings, store = claims.Settings(TRADES), None
-    for run_id, before in zip(RUNS, (CUT, None)):
-        sources = {name: f"{root}/sources/{run_id}/{name}" for name in ("orders", "positions", "times")}
-        claim_orders(spark, folder, before).write.parquet(sources["orders"])
-        orders = spark.read.parquet(sources["orders"])
-        claim_positions(spark, folder, orders).write.parquet(sources["positions"])
-        claim_times(spark, folder).write.parquet(sources["times"])
+    store_halves(claim_orders(spark, folder, CUT), f"{root}/sources/orders")
+    store_halves(claim_positions(spark, folder, CUT), f"{root}/sources/positions")
+    write_table(claim_times(spark, folder), f"{root}/sources/times")
+    for run_id, halves in zip(RUNS, ("early=true", "early=*")):
+        sources = {name: f"{root}/sources/{name}/{halves}" for name in ("orders", "positions")}
+        sources["times"] = f"{root}/sources/times"
         store = claims.run(spark, sources, f"{root}/store", run_id, settings)
     return store
 

@@ -5,7 +5,7 @@ the stage before has stored, so a lost executor costs a task, not the run:
 
 1. positions with timestamp and discount flags → ``positionsdaten``
 2. one aggregate per order (count and both sums) → working table
-3. orders with timestamps and position count → ``auftragsdaten``
+3. orders with timestamps and position count, in one shuffle → ``auftragsdaten``
 4. every metric table, from the stored tables (pruned columns, pushed filters)
 5. scalar KPIs, issue roll-up from the stored row counts, comparison with the last run
 """
@@ -136,10 +136,10 @@ class Settings:
 
 
 def clean_positions(
-    positions: DataFrame, timed_orders: DataFrame
+    positions: DataFrame, dates: DataFrame
 ) -> DataFrame:
     """Positions with the order's timestamp, nulled placeholders and both flags."""
-    dated = cleaning.propagate_to_lines(positions, timed_orders, KEY, [TS])
+    dated = cleaning.propagate_to_lines(positions, dates, KEY, [TS])
     tidy = cleaning.as_strings(cleaning.placeholders_to_null(dated), POSITION_LABELS)
     flagged = cleaning.flag_discounts(tidy, POSITION.text, name=POSITION.is_discount)
     return cleaning.flag_sign_plausibility(
@@ -149,16 +149,24 @@ def clean_positions(
 
 def time_orders(orders: DataFrame, times: DataFrame, dedupe: bool = False) -> DataFrame:
     """Orders with the timestamps of the time table."""
-    timed = cleaning.attach_timestamps(orders, times, KEY, TS if dedupe else None)
-    return timed.withColumnRenamed("Auftrag_ID", "AuftragID")
+    return cleaning.attach_timestamps(orders, times, KEY, TS if dedupe else None)
 
 
-def clean_orders(timed_orders: DataFrame, counts: DataFrame) -> DataFrame:
-    """Timed orders with position count, nulled placeholders, corrected labels."""
-    counted = cleaning.attach_line_count(
-        timed_orders, counts.withColumnRenamed("line_count", ORDER.line_count), KEY,
-        ORDER.line_count,
-    )
+def dates_of(orders: DataFrame, times: DataFrame, dedupe: bool = False) -> DataFrame:
+    """Key and timestamp alone of ``time_orders``, which the positions need."""
+    slim = [[c for c in (KEY, TS) if c in df.columns] for df in (orders, times)]
+    timed = time_orders(orders.select(*slim[0]), times.select(*slim[1]), dedupe)
+    return timed.select(KEY, TS)
+
+
+def clean_orders(
+    orders: DataFrame, times: DataFrame, counts: DataFrame, dedupe: bool = False
+) -> DataFrame:
+    """Orders with timestamps and position count, nulled placeholders, corrected labels."""
+    named = counts.withColumnRenamed("line_count", ORDER.line_count)
+    counted = cleaning.attach_times_and_count(
+        orders, times, named, KEY, ORDER.line_count, TS if dedupe else None
+    ).withColumnRenamed("Auftrag_ID", "AuftragID")
     tidy = cleaning.correct_values(cleaning.placeholders_to_null(counted))
     return cleaning.as_strings(tidy, ORDER_LABELS)
 
@@ -175,7 +183,7 @@ def order_metrics(
     ratios = completeness.null_ratio_by_column(orders).withColumnRenamed(
         "null_pct", "null_ratio"
     )
-    monthly = timeagg.lines_per_order_by_month(orders, totals, KEY, TS)
+    monthly = timeagg.own_lines_by_month(orders, TS, o.line_count)
     grouped = completeness.grouped_null_ratio(orders, o.group)
     signs = checks.sign_majority_rows(orders, [KEY], o.amounts)
     return {
@@ -300,19 +308,18 @@ def run(
     raw_positions = read_table(spark, sources["positions"])
     times = read_table(spark, sources["times"])
 
-    timed = store.put(
-        run_id,
-        "_timed_orders",
-        time_orders(cleaning.narrow_integers(raw_orders), times, settings.time_dedupe),
-    )
-    positions = _by_month(store, run_id, "positionsdaten", clean_positions(raw_positions, timed))
+    dates = dates_of(raw_orders, times, settings.time_dedupe)
+    positions = _by_month(store, run_id, "positionsdaten", clean_positions(raw_positions, dates))
     totals = store.put(
         run_id,
         "_order_totals",
         checks.line_totals(positions, KEY, POSITION.claimed, POSITION.agreed, POSITION.id),
     )
     counts = totals.select(KEY, "line_count")
-    orders = _by_month(store, run_id, "auftragsdaten", clean_orders(timed, counts))
+    complete = clean_orders(
+        cleaning.narrow_integers(raw_orders), times, counts, settings.time_dedupe
+    )
+    orders = _by_month(store, run_id, "auftragsdaten", complete)
 
     tables = {
         **order_metrics(orders, totals, settings),

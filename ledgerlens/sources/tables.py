@@ -55,13 +55,14 @@ def write_table(
     """Parquet write, optionally partitioned (e.g. by month, for pruned slices).
 
     Rows of a partition value meet before the write, so that there are few files;
-    the rebalance hint lets AQE split a value that holds too many rows.
+    the rebalance hint lets AQE split a value that holds too many rows. Files are
+    compressed with zstd.
     """
     if not partition_by:
-        df.write.mode(mode).parquet(path)
+        df.write.mode(mode).option("compression", "zstd").parquet(path)
         return
     columns = [F.col(name) for name in partition_by]
-    writer = df.hint("rebalance", *columns).write.mode(mode)
+    writer = df.hint("rebalance", *columns).write.mode(mode).option("compression", "zstd")
     writer.partitionBy(*partition_by).parquet(path)
 
 

@@ -49,6 +49,25 @@ def test_line_count_is_null_without_lines(spark, rows):
     assert rows(done.orderBy("id")) == [("a", 3), ("b", None)]
 
 
+def test_times_and_count_in_one_shuffle_of_the_header(spark, rows):
+    header = spark.createDataFrame(
+        [("a", "n1"), ("a", "n2"), ("b", "n3"), ("c", "n4"), ("d", "n5"), (None, "n6")], "id string, no string"
+    )
+    early, late = datetime(2024, 1, 1), datetime(2024, 2, 1)
+    times = spark.createDataFrame(
+        [("a", "x", late), ("a", "x", early), ("b", "x", None), (None, "x", late), ("z", "x", late)],
+        "id string, no string, ts timestamp_ntz",
+    )
+    counts = spark.createDataFrame([("a", 3), ("c", 2), ("y", 1)], "id string, line_count long")
+    for dedupe in (None, "ts"):
+        stepwise = cleaning.attach_line_count(cleaning.attach_timestamps(header, times, "id", dedupe), counts, "id")
+        at_once = cleaning.attach_times_and_count(header, times, counts, "id", "line_count", dedupe)
+        assert at_once.dtypes == stepwise.dtypes
+        assert sorted(map(repr, rows(at_once))) == sorted(map(repr, rows(stepwise)))
+        joins = [d._jdf.queryExecution().optimizedPlan().toString().count("LeftOuter") for d in (stepwise, at_once)]
+        assert joins == [2, 1]  # joins that the header is shuffled for
+
+
 def test_narrowing(spark):
     df = spark.createDataFrame(
         [(1, 200, 70000, 2**40, 0.12345678, 0.5), (2, -5, 0, 0, 0.98765432, 0.25)],

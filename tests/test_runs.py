@@ -302,6 +302,24 @@ def test_claims_run_without_encoder_on_clean_data(spark, tmp_path):
     assert row["Current_Value"] is None and row["Percent_Change"] is None
 
 
+def test_sources_are_stored_once_in_two_halves(spark, tmp_path):
+    df = spark.createDataFrame([(1, True), (2, True)], "n int, early boolean")
+    batch.store_halves(df, str(tmp_path / "t"))
+    whole = spark.read.parquet(str(tmp_path / "t" / "early=*"))
+    assert whole.columns == ["n"] and whole.count() == 2
+    assert spark.read.parquet(str(tmp_path / "t" / "early=true")).count() == 2
+    assert spark.read.parquet(str(tmp_path / "t" / "early=false")).count() == 0
+
+
+def test_orders_are_stored_once_in_a_run(spark, sources, tmp_path):
+    """Trend and counts come from the orders' own column; dates alone go to the positions."""
+    store = claims.run(spark, sources, str(tmp_path / "out"), "r1", claims.Settings([]))
+    assert not (tmp_path / "out" / "run_id=r1" / "_timed_orders").exists()
+    monthly = store.read("r1", "metric_positions_over_time").collect()
+    found = {r["Zeitperiode"]: (r["Total_Positionen"], r["Anzahl_Auftraege"]) for r in monthly}
+    assert found == {"2024-01": (3, 2), "2024-02": (3, 2), "2024-03": (1, 2)}
+
+
 def test_two_batch_runs_over_the_small_tables(spark, monkeypatch):
     """Both registered queries read one pair of runs; dates are pruned by month."""
     folder = "/root/testdata/sf0.001"
