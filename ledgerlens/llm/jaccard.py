@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..operators.joins import pin
 from .bpe import Memory
-from .common import BROADCAST_BYTES, column, components, if_small, map_texts, mix, skewed_join, slices
+from .common import BROADCAST_BYTES, column, components, frugal, if_small, map_texts, mix, skewed_join, slices
 
 #: groups up to this size are one tile; most documents of a block (a tile has two)
 TILE, TILE_MOST = 64, 4096
@@ -307,7 +307,7 @@ def similar_groups(
     texts = texts.where("node IS NOT NULL AND _text IS NOT NULL")
     left_out = if_small(left_out.select(F.col("doc_id").alias("node")), 16)
     heads = texts.join(left_out, "node", "left_anti")
-    keyed = heads.mapInArrow(segment_rows(size, percent), "key long, node long, head long")
+    keyed = heads.mapInArrow(frugal(segment_rows(size, percent)), "key long, node long, head long")
     least = "min(CASE WHEN head IS NULL THEN node END) OVER (PARTITION BY key)"
     first = keyed.withColumn("a", F.expr(f"coalesce(head, {least})"))
     stars = first.where("node != a").select("a", F.col("node").alias("b")).distinct()

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import column, map_texts, slices
+from .common import column, frugal, map_texts, slices
 
 #: characters taken at once; a longer text is counted in overlapping blocks
 BLOCK = 500_000
@@ -141,7 +141,7 @@ def learn(
     """
     seen = docs.select(column(lang).alias("_lang"), column(text).alias("_text"))
     seen = seen.where("_lang IS NOT NULL AND _text IS NOT NULL")
-    counted = seen.mapInArrow(count_batches, "lang string, gram long, n long")
+    counted = seen.mapInArrow(frugal(count_batches), "lang string, gram long, n long")
     counted = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = [F.desc("n"), F.asc("gram")]
     salted = W.partitionBy("lang", F.pmod(F.xxhash64("gram"), F.lit(64))).orderBy(*order)

@@ -36,3 +36,24 @@ def test_a_run_of_texts_is_bounded_and_complete(monkeypatch):
     runs = list(common.slices(pa.array(texts)))
     assert [t for _, run in runs for t in run] == texts
     assert [start for start, _ in runs] == [sum(len(r) for _, r in runs[:k]) for k in range(len(runs))]
+
+
+def test_freed_arrow_memory_goes_back_after_every_result(monkeypatch):
+    """A worker goes on to other tasks; what it has freed must not stay with it."""
+    import pyarrow as pa
+
+    log = []
+
+    class Pool:
+        def release_unused(self):
+            log.append("memory")
+
+    monkeypatch.setattr(pa, "default_memory_pool", Pool)
+    made = common.frugal(lambda batches: (b + 1 for b in batches), lambda: log.append("model"))
+    assert list(made(iter([1, 2]))) == [2, 3]
+    assert log == ["memory", "memory", "model", "memory"]
+    log.clear()
+    stopped = made(iter([1, 2]))  # Spark may stop a task early
+    next(stopped)
+    stopped.close()
+    assert log == ["model", "memory"]
