@@ -35,7 +35,7 @@ class Pieces:
         special = self.silent | set(self.bytes.values())
         special |= {i for i in range(size) if model.is_unknown(i)}
         plain = {self.names[i]: i for i in range(size) if i not in special}
-        scores = [model.get_score(i) for i in range(size)]
+        ranks = [-model.get_score(i) for i in range(size)]
         marks = any(SPACE in name.lstrip(SPACE) for name in plain)
         gaps = any(c not in plain for name in plain for c in name)
         probe = model.decode(model.encode(" a  Äﬁ "))
@@ -43,11 +43,12 @@ class Pieces:
             raise ValueError(f"{path}: not a plain BPE model with byte fallback")
         self.end = model.eos_id()
         self.value = {i: b for b, i in self.bytes.items()}
+        self.hidden = self.silent | set(self.value)
         names, known = self.names, plain
 
         def merge(left: int, right: int):
             found = known.get(names[left] + names[right])
-            return None if found is None else (-scores[found], found)
+            return None if found is None else (ranks[found], found)
 
         self.prefixes = PrefixTable(plain, merge)
         self.words = Memory(self.word)
@@ -57,6 +58,8 @@ class Pieces:
     def ids(self, chunk: str) -> list[int]:
         """Ids of one chunk, in which spaces are spaces."""
         text = chunk.replace(" ", SPACE)
+        if not self.outside.search(text):
+            return self.prefixes.encode(text)
         ids, start = [], 0
         for found in self.outside.finditer(text):
             ids += self.prefixes.encode(text[start : found.start()])
@@ -66,6 +69,8 @@ class Pieces:
 
     def text(self, ids: list[int]) -> str:
         """Text of ids of one chunk; runs of byte pieces are UTF-8."""
+        if self.hidden.isdisjoint(ids):
+            return "".join([self.names[i] for i in ids]).replace(SPACE, " ")
         out, run = [], bytearray()
         for i in ids:
             if i in self.value:

@@ -122,12 +122,12 @@ class TokenCounter:
         self.words = Memory(self.word)
 
     def word(self, word: str) -> int:
-        """Tokens of one pre-token: the count of its last prefix."""
-        return self.prefixes.table(word.encode("utf-8").decode("latin-1"))[1][-1]
+        """Number of tokens of one pre-token."""
+        return len(self.prefixes.encode(word.encode("utf-8").decode("latin-1")))
 
     def characters(self, word: str) -> list[int]:
         """Tokens of the prefixes of 0, 1, … characters of one pre-token."""
-        count = self.prefixes.table(word.encode("utf-8").decode("latin-1"))[1]
+        count = self.prefixes.counts(word.encode("utf-8").decode("latin-1"))
         ends = accumulate((len(c.encode()) for c in word), initial=0)
         return [count[e] for e in ends]
 

@@ -8,7 +8,7 @@ import pytest
 import sentencepiece
 import tokenizers
 
-from ledgerlens.llm import pieces, tokencount
+from ledgerlens.llm import bpe, pieces, tokencount
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -75,3 +75,36 @@ def test_every_prefix_has_its_exact_count(text):
 def test_other_models_are_refused():
     with pytest.raises(ValueError):
         tokencount.TokenCounter(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def small_table(seed):
+    """A made vocabulary over two symbols, ranks in any order, with its plain merging."""
+    draw = random.Random(seed)
+    tokens, ranks = {"a": 0, "b": 1}, {}
+    for _ in range(12):
+        left, right = draw.choice(list(tokens)), draw.choice(list(tokens))
+        merged = tokens.setdefault(left + right, len(tokens))
+        ranks[(tokens[left], tokens[right])] = (draw.randrange(8), merged)
+    return bpe.PrefixTable(tokens, lambda a, b: ranks.get((a, b)))
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_pair_tests_equal_plain_merging(seed):
+    table = small_table(seed)
+    for left, a in table.tokens.items():
+        for right, b in table.tokens.items():
+            assert table.apart(a, b) == (table.merged(left + right) == [a, b])
+
+
+def test_a_pair_test_looks_only_at_the_border():
+    """Merging both tokens anew took 66 looks a pair here."""
+    model = pieces.Pieces(PIECES)
+    table, looks = model.prefixes, []
+    plain = table.merge
+    table.merge = lambda a, b: looks.append(1) or plain(a, b)
+    long = [t for t in table.tokens if len(t) == 8 and t.isascii()][:60]
+    for left in long:
+        for right in long:
+            table.encode(left + right)
+    assert table.known > 3000 and len(looks) < 10 * table.known
+    assert table.encode(long[0] + long[1]) == table.merged(long[0] + long[1])
