@@ -14,7 +14,7 @@ from .bpe import Memory, PrefixTable
 from .common import map_texts
 
 #: Fixed value: how byte-level vocabularies split a text before merging.
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+SPLIT = r" ?\p{L}+| ?\p{N}+|'(?:s|t|re|ve|m|ll|d)| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BLANK = regex.compile(r"\s+").fullmatch
 
 
@@ -34,21 +34,11 @@ class Prefixes:
     what is cut off, which is as short as that pre-token.
     """
 
-    def __init__(self, counter: TokenCounter, text: str):
+    def __init__(self, counter: TokenCounter, text: str, parts: tuple[list, list] | None = None):
         self.counter, self.text = counter, text
-        self.ends, self.totals = [0], [0]
-        at = total = 0
-        for k, part in enumerate(text.split(counter.special) if counter.special else [text]):
-            if k:
-                at += len(counter.special)
-                total += 1
-                self.ends.append(at)
-                self.totals.append(total)
-            for word in counter.split(part):
-                at += len(word)
-                total += counter.words[word]
-                self.ends.append(at)
-                self.totals.append(total)
+        words, numbers = parts or counter.parts(text)
+        self.ends = list(accumulate(map(len, words), initial=0))
+        self.totals = list(accumulate(numbers, initial=0))
 
     def run_start(self, k: int) -> int:
         """Last pre-token end at or before ``ends[k]`` that no white space precedes.
@@ -131,12 +121,20 @@ class TokenCounter:
         ends = accumulate((len(c.encode()) for c in word), initial=0)
         return [count[e] for e in ends]
 
-    def count(self, text: str) -> int:
-        words = self.words
-        if self.special and self.special in text:
-            parts = text.split(self.special)
-            return len(parts) - 1 + sum(words[w] for p in parts for w in self.split(p))
-        return sum(map(words.__getitem__, self.split(text)))
+    def parts(self, text: str) -> tuple[list[str], list[int]]:
+        """Pre-tokens and special tokens of a text, and the number of tokens of each."""
+        if not self.special or self.special not in text:
+            words = self.split(text)
+            return words, [*map(self.words.__getitem__, words)]
+        words, numbers = [], []
+        for k, part in enumerate(text.split(self.special)):
+            if k:
+                words.append(self.special)
+                numbers.append(1)
+            found = self.split(part)
+            words += found
+            numbers += map(self.words.__getitem__, found)
+        return words, numbers
 
 
 @lru_cache(maxsize=1)
@@ -157,13 +155,14 @@ def counts(path: str, limit: int):
         columns = ([], [], [], [])
         for text in texts:
             text = text or ""
-            size, number = len(text.encode()), counter.count(text)
+            parts = counter.parts(text)
+            size, number = len(text.encode()), sum(parts[1])
             over = number > limit
             columns[0].append(size)
             columns[1].append(number)
             columns[2].append(over)
-            kept = len(text[: Prefixes(counter, text).fit(limit)].encode()) if over else size
-            columns[3].append(kept)
+            fit = Prefixes(counter, text, parts).fit(limit) if over else len(text)
+            columns[3].append(len(text[:fit].encode()) if over else size)
         return columns
 
     return run

@@ -108,3 +108,16 @@ def test_a_pair_test_looks_only_at_the_border():
             table.encode(left + right)
     assert table.known > 3000 and len(looks) < 10 * table.known
     assert table.encode(long[0] + long[1]) == table.merged(long[0] + long[1])
+
+
+def test_a_text_over_the_limit_is_split_once():
+    counter, calls = tokencount.load(BYTES), []
+    plain = counter.split
+    counter.split = lambda text: calls.append(len(text)) or plain(text)
+    try:
+        text = "one two, three  four\n" * 500
+        columns = tokencount.counts(BYTES, 100)([text])
+    finally:
+        counter.split = plain
+    assert columns[2] == [True] and columns[3][0] < len(text)
+    assert calls.count(len(text)) == 1
