@@ -1,10 +1,11 @@
 """Exact self-join of documents on the Jaccard similarity of their word n-grams.
 
 1. Documents with equal sets form classes; the smallest id of each goes on.
-2. Sets of similar size share a *band*. A band cuts the hash range into more segments
-   than two linked sets can differ in, so that linked sets agree in a whole segment.
-   Documents that agree in a segment are put into the same candidate group: first within
-   each run of texts of a task, so that a frequent segment is one row per run in the shuffle.
+2. The n-grams of all texts have one order: those that few texts seem to hold come first,
+   by counts in hashed cells. Two linked sets share ``SHARED`` of their first n-grams at
+   least, whatever the order (see ``Bands``); a good order only keeps chance and boilerplate
+   out of them. Documents that share so many are candidates, and so are all that share one
+   n-gram with more than ``FEW`` others. These go into the same candidate group.
 3. Candidate groups are cut into *tiles*: pairs of blocks of neighbouring sizes. In a
    tile hashed bitmaps bound each pair's overlap from above (a bit that only one side
    has is an element that only it has); the sorted hash arrays of the surviving pairs
@@ -18,13 +19,14 @@ gathered in one task: a large one has many tiles.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.joins import pin
@@ -34,6 +36,12 @@ from .common import BROADCAST_BYTES, column, components, frugal, if_small, map_t
 #: groups up to this size are one tile; most documents of a block (a tile has two)
 TILE, TILE_MOST = 64, 4096
 BITS_MOST = 1 << 16
+#: first n-grams that linked sets have in common, at least
+SHARED = 4
+#: documents of a key up to which their pairs are counted; beyond, all of them are linked
+FEW = 16
+#: cells in which n-grams are counted for their order, as a power of two, and parts of them
+CELL_BITS, PARTS = 20, 64
 
 
 @lru_cache(maxsize=1)
@@ -66,10 +74,22 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def cells(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
+def rare_first(hashes: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """A set in the order that all sets share: by the level of its n-grams, then by hash."""
+    return hashes[np.argsort(levels[cells(hashes)], kind="stable")]
+
+
 class Bands:
-    """Size bands with the number of segments that linked sets cannot all break.
+    """Size bands, and how many first elements of a set a linked set has some of.
 
-    ``percent``: two sets link if 100 · overlap ≥ percent · union.
+    ``percent``: two sets link if 100 · overlap ≥ percent · union. Sets that share o
+    elements share k at least of their first size - o + k ones, in any order common to
+    both: if fewer, take the set whose first ones end earlier in that order; o - k
+    elements of it stand behind them, so that it would share less than o in all.
     """
 
     def __init__(self, percent: int, ratio: float = 1.5):
@@ -81,75 +101,109 @@ class Bands:
     def of(self, size: int) -> int:
         return int(np.searchsorted(self.lows, size, "right")) - 1
 
-    def differ(self, band: int) -> int:
-        """Most elements in which a linked pair differs whose smaller set is in the band."""
+    def overlap(self, size: int, other: int) -> int:
+        """Fewest elements that linked sets of these sizes share."""
+        return -(-(size + other) * self.percent // (100 + self.percent))
+
+    def shared(self, band: int) -> int:
+        """First elements that linked sets share, the smaller of which is in the band; 0: only equal sets link."""
         small = self.lows[band + 1] - 1
-        large = small * 100 // self.percent
-        return (small + large) * (100 - self.percent) // (100 + self.percent)
+        if small * 100 // self.percent == small and self.overlap(small, small) == small:
+            return 0
+        return SHARED if self.overlap(self.lows[band], self.lows[band]) >= SHARED else 1
 
-    def keys(self, hashes: np.ndarray) -> list[np.ndarray]:
-        """Segment digests of a set, for each band that a linked pair of it may be in.
+    def keys(self, ordered: np.ndarray) -> list[np.ndarray]:
+        """Keys of a set's first elements, for each band that a linked pair of it may be in.
 
-        Empty segments have no key. A set with so many of them that differences could
-        break all others gets one extra key, which all such sets of the band share.
+        Its lowest bit says whether a single common key makes two sets candidates.
         """
-        out = []
-        size = len(hashes)
+        size, out = len(ordered), []
         for band in range(self.of(-(-size * self.percent // 100)), self.of(size) + 1):
-            differ = self.differ(band)
-            if not differ:
-                continue  # only equal sets link
-            number = math.ceil((differ + 1) * 1.08) + 3
-            segment = mix(hashes, 100 + band) % np.uint64(number)
-            order = np.argsort(segment, kind="stable")
-            places, first = np.unique(segment[order], return_index=True)
-            sums = np.add.reduceat(mix(hashes, 3)[order], first)
-            out.append(mix(sums ^ mix(places, 1000 + band)))
-            if len(places) <= differ:
-                out.append(mix(np.array([band], np.uint64), 77))
+            shared = self.shared(band)
+            if not shared:
+                continue
+            least = max(self.lows[band], -(-size * self.percent // 100))
+            first = ordered[: size - self.overlap(size, least) + shared]
+            out.append(mix(first, 100 + band) & ~np.uint64(1) | np.uint64(shared == 1))
         return out
 
 
-def features(size: int):
-    """Texts → columns n, d1, d2: number of distinct n-grams and a 128-bit digest of the set."""
+def feature_rows(size: int):
+    """(doc_id, text) batches → n, d1, d2 per row: number of n-grams and a 128-bit digest of the set.
 
-    def run(texts):
-        columns = ([], [], [])
-        for text in texts:
-            own = shingles(text, size)
-            columns[0].append(len(own))
-            for k in (1, 2):
-                digest = int(signed(mix(own, 10 + k).sum(keepdims=True))[0]) if len(own) else None
-                columns[k].append(digest)
-        return columns
+    Then, without n, the task's number of texts with an n-gram of each cell, in parts.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << CELL_BITS, np.uint32)
+        schema = pa.schema([*((c, pa.int64()) for c in ("doc_id", "n", "d1", "d2")), ("part", pa.int32()), ("counts", pa.binary())])
+        for batch in batches:
+            for start, texts in slices(batch.column("_text")):
+                sets = [shingles(t, size) for t in texts]
+                columns = [batch.column("doc_id").slice(start, len(texts)), pa.array([len(s) for s in sets], pa.int64())]
+                for k in (1, 2):
+                    digests = [int(signed(mix(s, 10 + k).sum(keepdims=True))[0]) if len(s) else None for s in sets]
+                    columns.append(pa.array(digests, pa.int64()))
+                columns += [pa.nulls(len(texts), pa.int32()), pa.nulls(len(texts), pa.binary())]
+                counts += np.bincount(cells(np.concatenate(sets)), minlength=len(counts)).astype(np.uint32)
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+        packed = [zlib.compress(part.tobytes(), 1) for part in counts.reshape(PARTS, -1)] if counts.any() else []
+        none = pa.nulls(len(packed), pa.int64())
+        columns = [none] * 4 + [pa.array(range(len(packed)), pa.int32()), pa.array(packed, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return run
 
 
+def sum_counts(part: pa.Table) -> pa.Table:
+    """All tasks' counts of a part → one row."""
+    total = np.zeros((1 << CELL_BITS) // PARTS, np.uint64)
+    for packed in part["counts"]:
+        total += np.frombuffer(zlib.decompress(packed.as_py()), np.uint32)
+    return pa.table({"part": part["part"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
+
+
+def cell_levels(counted: DataFrame) -> np.ndarray:
+    """Level of each cell, 2 MB however large the table: the root of its count.
+
+    Roots of counts vary by chance about equally in cells of few and of many n-grams.
+    """
+    levels = np.zeros((PARTS, (1 << CELL_BITS) // PARTS), np.uint16)
+    summed = counted.groupBy("part").applyInArrow(sum_counts, "part int, counts binary")
+    for row in summed.collect():  # one per part
+        counts = np.frombuffer(bytes(row["counts"]), np.uint64)
+        levels[row["part"]] = np.minimum(2 * np.sqrt(counts), 65535)
+    return levels.ravel()
+
+
 def local_stars(keys: np.ndarray, owners: np.ndarray) -> pa.RecordBatch:
-    """(key, node) pairs → the first node of each key, and links of the others to it.
+    """(key, node) pairs → the same; of a key with more than ``FEW`` the first node and links of the others to it.
 
-    A row without ``head`` still has to meet its key's other rows. A link (head, node) is
-    settled, once however many keys agree; its key only spreads it over the tasks.
+    A row without ``head`` still has to meet its key's other rows; ``many`` says that its key
+    has had links. A link (head, node) is settled, once however many keys agree; its key
+    only spreads it over the tasks.
     """
-    unique, first, place = np.unique(keys, return_index=True, return_inverse=True)
-    heads = owners[first][place]
-    links = np.unique(np.stack([heads, owners])[:, heads != owners], axis=1)
+    unique, first, place, number = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+    heads, many = owners[first][place], number > FEW
+    links = np.unique(np.stack([heads, owners])[:, many[place] & (heads != owners)], axis=1)
     spread = mix(mix(links[0].view(np.uint64), 20) ^ links[1].view(np.uint64), 21)
-    settled = np.arange(len(unique) + links.shape[1]) >= len(unique)
-    head = np.concatenate([owners[first], links[0]])
+    plain = ~many[place]
+    plain[first] = True
+    rest = int(plain.sum())
+    settled = np.arange(rest + links.shape[1]) >= rest
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(signed(np.concatenate([unique, spread]))),
-            pa.array(np.concatenate([owners[first], links[1]])),
-            pa.array(head, mask=~settled),
+            pa.array(signed(np.concatenate([keys[plain], spread]))),
+            pa.array(np.concatenate([owners[plain], links[1]])),
+            pa.array(np.concatenate([owners[plain], links[0]]), mask=~settled),
+            pa.array(np.concatenate([many[place][plain], settled[rest:]])),
         ],
-        names=["key", "node", "head"],
+        names=["key", "node", "head", "many"],
     )
 
 
-def segment_rows(size: int, percent: int):
-    """(node, text) batches → (key, node, head) rows, combined within each run of texts."""
+def key_rows(size: int, percent: int, levels: np.ndarray):
+    """(node, text) batches → (key, node, head, many) rows; frequent keys are combined within each run of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
@@ -158,7 +212,7 @@ def segment_rows(size: int, percent: int):
             for start, texts in slices(batch.column("_text")):
                 keys, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
                 for node, text in zip(nodes[start:], texts):
-                    for own in bands.keys(shingles(text, size)):
+                    for own in bands.keys(rare_first(shingles(text, size), levels)):
                         keys.append(own)
                         owners.append(np.full(len(own), node, np.int64))
                 yield local_stars(np.concatenate(keys), np.concatenate(owners))
@@ -167,6 +221,24 @@ def segment_rows(size: int, percent: int):
     return run
 
 
+def candidate_links(keyed: DataFrame) -> DataFrame:
+    """Rows of ``key_rows`` → links (a, b) that connect the documents of each candidate group."""
+    key = Window.partitionBy("key")
+    open_node = F.when(F.col("head").isNull(), F.col("node"))
+    met = keyed.withColumns({
+        "c": F.count(open_node).over(key), "least": F.min(open_node).over(key), "much": F.bool_or("many").over(key),
+    }).where("head IS NOT NULL OR c > 1")
+    enough = F.col("head").isNotNull() | F.col("much") | (F.col("c") > FEW) | (F.col("key").bitwiseAND(1) == 1)
+    met = met.select("key", "node", F.coalesce("head", "least").alias("first"), F.when(enough, F.col("node")).alias("alone"))
+    # the rows of a key are together already; a frequent key's are not gathered
+    met = met.groupBy("key", "alone", "first").agg(F.collect_set("node").alias("nodes"))
+    pairs = F.flatten(F.transform("nodes", lambda x, i: F.transform(
+        F.slice("nodes", F.lit(1), i), lambda y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), F.lit(1).alias("w")))))
+    single = F.array(F.struct(F.col("first").alias("a"), F.col("alone").alias("b"), F.lit(SHARED).alias("w")))
+    linked = met.select(F.inline(F.when(F.col("alone").isNull(), pairs).otherwise(single))).where("a != b")
+    return linked.groupBy("a", "b").agg(F.sum("w").alias("w")).where(F.col("w") >= SHARED).select("a", "b")
+
+
 def set_bytes(size: int):
     def run(texts):
         sets = [shingles(t, size) for t in texts]
@@ -293,8 +365,10 @@ def similar_groups(
     integers (cast to long). Equality of n-grams is equality of their 64-bit hashes.
     """
     docs = docs.select(column(doc_id).cast("long").alias(doc_id), column(text).alias(text))
-    base = map_texts(docs, {"doc_id": doc_id}, text, features(size), "n long, d1 long, d2 long", release)
-    base = pin(base)
+    texts = docs.select(column(doc_id).alias("doc_id"), column(text).alias("_text"))
+    known = "doc_id long, n long, d1 long, d2 long, part int, counts binary"
+    known = pin(texts.mapInArrow(frugal(feature_rows(size), release), known))
+    base = known.where("n IS NOT NULL").select("doc_id", "n", "d1", "d2")
     named = base.where("doc_id IS NOT NULL AND n > 0")
     classes = named.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c"))
     classes = pin(classes.where("c > 1").select("d1", "d2", "rep"))
@@ -303,14 +377,13 @@ def similar_groups(
     again = named.groupBy("doc_id").count().where("count > 1").select("doc_id")
     left_out = copies.select(F.col("a").alias("doc_id")).join(again, "doc_id", "left_anti")
 
-    texts = docs.select(column(doc_id).alias("node"), column(text).alias("_text"))
+    texts = texts.withColumnRenamed("doc_id", "node")
     texts = texts.where("node IS NOT NULL AND _text IS NOT NULL")
     left_out = if_small(left_out.select(F.col("doc_id").alias("node")), 16)
     heads = texts.join(left_out, "node", "left_anti")
-    keyed = heads.mapInArrow(frugal(segment_rows(size, percent)), "key long, node long, head long")
-    least = "min(CASE WHEN head IS NULL THEN node END) OVER (PARTITION BY key)"
-    first = keyed.withColumn("a", F.expr(f"coalesce(head, {least})"))
-    stars = first.where("node != a").select("a", F.col("node").alias("b")).distinct()
+    levels = cell_levels(known.where("n IS NULL"))
+    keyed = heads.mapInArrow(frugal(key_rows(size, percent, levels)), "key long, node long, head long, many boolean")
+    stars = candidate_links(keyed)
     groups = components(stars)
 
     sizes = named.select(F.col("doc_id").alias("node"), "n").distinct()

@@ -93,3 +93,35 @@ def test_linked_sets_share_a_key(small):
                 continue
             keys = [set(np.concatenate(bands.keys(x) or [np.zeros(0, np.uint64)]).tolist()) for x in (a, b)]
             assert keys[0] & keys[1]
+
+
+@pytest.mark.parametrize("size", [8, 30, 170, 900])
+def test_linked_sets_share_several_keys(size):
+    """In any common order, with the fewest elements that linked sets share."""
+    bands, random_ = jaccard.Bands(85), np.random.default_rng(size)
+    for large in (size, size * 100 // 85):
+        overlap = bands.overlap(size, large)
+        for _ in range(30):
+            pool = random_.permutation(np.arange(size + large, dtype=np.uint64) + np.uint64(1))
+            a, b = pool[:size], np.concatenate([pool[:overlap], pool[size : size + large - overlap]])
+            keys = [set(np.concatenate(bands.keys(np.sort(x))).tolist()) for x in (a, b)]
+            assert len(keys[0] & keys[1]) >= jaccard.SHARED
+
+
+def test_a_common_passage_makes_no_candidates(spark, monkeypatch):
+    draw = random.Random(9)
+    words = [f"w{k}" for k in range(3000)]
+    passage = " ".join(draw.choice(words) for _ in range(60))
+    texts = [" ".join(draw.choice(words) for _ in range(100)) for _ in range(200)]
+    rows = [(k, f"{t} {passage}") for k, t in enumerate(texts)]
+    rows += [(200 + k, f"{texts[k]} {passage} end") for k in range(6)]
+    seen, tiles_of = [], jaccard.tiles_of
+
+    def tiles(members, percent):
+        seen.append(members.count())
+        return tiles_of(members, percent)
+
+    monkeypatch.setattr(jaccard, "tiles_of", tiles)
+    found = jaccard.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == {k: k % 200 for k, _ in rows}
+    assert seen == [12]
