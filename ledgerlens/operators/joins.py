@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -97,6 +99,31 @@ def pin(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+@contextmanager
+def measured_broadcasts(spark: SparkSession, most: int = 1_000_000) -> Iterator[None]:
+    """Jobs inside broadcast a join side only by its measured size, or where a plan asks for it.
+
+    Spark takes a stored table for as large as its compressed files, so the driver collects
+    sides of many times the session's limit, each a copy of its own. Inside, the limit holds
+    for the rows that AQE has seen in a shuffle, and is ``most`` bytes at most, as several jobs
+    run at a time; a limit set for AQE itself stays. Jobs that run later are not covered.
+    """
+    static, adaptive = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    before = {name: spark.conf.get(name, None) for name in (static, adaptive)}  # None: not set
+    if before[adaptive] is None:
+        limit = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+        spark.conf.set(adaptive, str(min(limit, most)))
+    spark.conf.set(static, "-1")
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
 def row_bytes(df: DataFrame) -> int:
     """Estimated bytes of a row: 16 per number, 64 per text or nested value."""
     wide = (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType)

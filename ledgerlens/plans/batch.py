@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.joins import attach
+from ..operators.joins import attach, measured_broadcasts
 from ..sources.runs import RunStore
 from ..sources.tables import read_if_there, write_table
 from . import claims, frames
@@ -108,9 +108,10 @@ def both_runs(spark: SparkSession, folder: str) -> RunStore:
     """
     root = frames.scratch(spark)
     settings, store = claims.Settings(TRADES), None
-    store_halves(claim_orders(spark, folder, CUT), f"{root}/sources/orders")
-    store_halves(claim_positions(spark, folder, CUT), f"{root}/sources/positions")
-    write_table(claim_times(spark, folder), f"{root}/sources/times")
+    with measured_broadcasts(spark):
+        store_halves(claim_orders(spark, folder, CUT), f"{root}/sources/orders")
+        store_halves(claim_positions(spark, folder, CUT), f"{root}/sources/positions")
+        write_table(claim_times(spark, folder), f"{root}/sources/times")
     for run_id, halves in zip(RUNS, ("early=true", "early=*")):
         sources = {name: f"{root}/sources/{name}/{halves}" for name in ("orders", "positions")}
         sources["times"] = f"{root}/sources/times"

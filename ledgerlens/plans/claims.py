@@ -24,6 +24,7 @@ from ..operators import checks, cleaning, completeness, distribution, drift, kpi
 from ..operators import text, timeagg
 from ..operators import uniqueness as unique
 from ..operators.drift import Day, DriftRoles
+from ..operators.joins import measured_broadcasts
 from ..roles import HeaderRoles, LineRoles
 from ..sources.drift_store import DriftStore
 from ..sources.runs import RunStore
@@ -303,7 +304,13 @@ def run(
     settings: Settings,
 ) -> RunStore:
     """One batch run. ``sources`` names the Parquet paths of orders, positions, times."""
-    store = RunStore(spark, out)
+    with measured_broadcasts(spark):
+        return _run(spark, sources, RunStore(spark, out), run_id, settings)
+
+
+def _run(
+    spark: SparkSession, sources: dict[str, str], store: RunStore, run_id: str, settings: Settings
+) -> RunStore:
     raw_orders = read_table(spark, sources["orders"])
     raw_positions = read_table(spark, sources["positions"])
     times = read_table(spark, sources["times"])
